@@ -69,7 +69,7 @@ def as_item(item_id: int, text: bytes, answer: bytes | None, width: int) -> Item
 class Index:
     """Inverted index of one shard of items with block maxima."""
 
-    def __init__(self, items: list[Item], df: dict[bytes, int], n_items: int, mean_len: float, overlap: float, block: int = 16):
+    def __init__(self, items: list[Item], df: dict[bytes, int], n_items: int, mean_len: float, overlap: float, block: int = 4):
         items = sorted(items, key=lambda x: (len(x.words), x.item_id))  # alike lengths share a block
         self.items, self.block, self.overlap = items, block, overlap
         self.longest = max(len(x.words) for x in items)
@@ -97,58 +97,68 @@ class Index:
         # a term of most blocks says little about any: bounded by its maximum, not opened
         self.common = np.diff(self.block_begin) > max(4, self.n_blocks // 2)
 
-    def search(self, ids: np.ndarray, first: np.ndarray, span: int) -> list[tuple[int, int, float]]:
-        """(window, item, score) of all windows ids[f : f + span] that reach an item's threshold."""
+    def search(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, float]]:
+        """(window, item, score) of all windows ids[first : last] that reach an item's threshold."""
         known = np.flatnonzero(ids >= 0)
-        lo, hi = np.searchsorted(known, first), np.searchsorted(known, first + span)
+        lo, hi = np.searchsorted(known, first), np.searchsorted(known, last)
         weight = np.concatenate(([0.0], np.cumsum(self.term_max[ids[known]])))
-        alive = np.flatnonzero(weight[hi] - weight[lo] >= self.threshold.min())
+        alive = np.flatnonzero(weight[hi] - weight[lo] >= self.threshold.min() - 1e-6)
         out: list[tuple[int, int, float]] = []
-        for i in range(0, len(alive), max(1, 200_000 // span)):
-            part = alive[i : i + max(1, 200_000 // span)]
+        some = max(1, min(2_000_000 // len(self.items), 400_000 // (2 * self.longest)))
+        for i in range(0, len(alive), some):
+            part = alive[i : i + some]
             # distinct terms of each window
-            n = hi[part] - lo[part]
-            win = np.repeat(np.arange(len(part)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)
+            win, at = _spread(lo[part], hi[part])
             pair = np.unique(win * len(self.term) + ids[known[at]])
             win, term = pair // len(self.term), pair % len(self.term)
             common = self.common[term]
             floor = np.bincount(win[common], self.term_max[term[common]], len(part))
-            win, term = win[~common], term[~common]
-            n = self.block_begin[term + 1] - self.block_begin[term]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.block_begin[term], n)
-            cell = np.repeat(win, n) * self.n_blocks + self.block_of[at]
+            own, at = _spread(self.block_begin[term[~common]], self.block_begin[term[~common] + 1])
+            cell = win[~common][own] * self.n_blocks + self.block_of[at]
             bound = np.bincount(cell, self.block_max[at], len(part) * self.n_blocks).reshape(len(part), -1) + floor[:, None]
-            for w, b in zip(*np.nonzero(bound >= self.block_least), strict=True):
-                here = pair[np.searchsorted(pair, w * len(self.term)) : np.searchsorted(pair, (w + 1) * len(self.term))] % len(self.term)
-                score = np.zeros(min(self.block, len(self.items) - b * self.block))
-                for t in here:
-                    s, e = self.begin[t], self.begin[t + 1]
-                    s, e = s + np.searchsorted(self.post_item[s:e], [b * self.block, (b + 1) * self.block])
-                    score[self.post_item[s:e] - b * self.block] += self.post_impact[s:e]
-                for j in np.flatnonzero(score >= self.threshold[b * self.block : b * self.block + len(score)]):
-                    out.append((int(part[w]), int(b * self.block + j), float(score[j])))
+            open_ = bound >= self.block_least - 1e-6
+            rows = open_.any(axis=1)
+            if not rows.any():
+                continue
+            # exact scores of the windows with an open block
+            take = rows[win]
+            own, at = _spread(self.begin[term[take]], self.begin[term[take] + 1])
+            place = np.cumsum(rows) - 1
+            cell = place[win[take][own]] * len(self.items) + self.post_item[at]
+            score = np.bincount(cell, self.post_impact[at], int(rows.sum()) * len(self.items)).reshape(-1, len(self.items))
+            for w, j in zip(*np.nonzero(score >= self.threshold), strict=True):
+                out.append((int(part[np.flatnonzero(rows)[w]]), int(j), float(score[w, j])))
         return out
 
-    def leaks(self, words: list[bytes], ids: np.ndarray, width: int) -> dict[int, tuple[float, float, float]]:
-        """item position -> (score, question overlap, answer overlap) of the best passage of one text."""
-        span, hop = 2 * self.longest, self.longest
-        first = np.arange(0, max(1, len(words) - hop), hop)
-        best: dict[int, tuple[float, float, float]] = {}
-        for w, j, score in self.search(ids, first, span):
-            item = self.items[j]
-            held = set(shingles(words[first[w] : first[w] + span], width))
-            if len(item.words) < width or len(item.answer) == 1 or len(item.question) == 1:  # a short part: runs of its own width
-                for part in (item.question, item.answer):
-                    for short in part:
-                        if len(short) < width:
-                            held |= set(shingles(words[first[w] : first[w] + span], len(short)))
-            q, a = (sum(s in held for s in part) / len(part) if part else 1.0 for part in (item.question, item.answer))
-            if q >= self.overlap and a >= self.overlap and (j not in best or (q + a, score) > (sum(best[j][1:]), best[j][0])):
-                best[j] = (score, q, a)
+    def leaks(self, split: list[list[bytes]], width: int) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text: item position -> (score, question overlap, answer overlap) of its best passage."""
+        span, hop, get = 2 * self.longest, self.longest, self.term.get
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        begin = np.cumsum(sizes) - sizes
+        ids = np.fromiter((get(w, -1) for ws in split for w in ws), np.int64, int(sizes.sum()))
+        hops = np.maximum(1, -(-(sizes - hop) // hop)) * (sizes > 0)
+        owner, step = _spread(np.zeros(len(split), np.int64), hops)
+        first = begin[owner] + step * hop
+        last = np.minimum(first + span, begin[owner] + sizes[owner])
+        best: list[dict[int, tuple[float, float, float]]] = [{} for _ in split]
+        for w, j, score in self.search(ids, first, last):
+            item, mine, doc = self.items[j], best[owner[w]], owner[w]
+            passage = split[doc][first[w] - begin[doc] : last[w] - begin[doc]]
+            # a part with under ``width`` words is one run of its own length
+            held = {k: set(shingles(passage, k)) for k in {len(s) for part in (item.question, item.answer) for s in part}}
+            q, a = (sum(s in held[len(s)] for s in part) / len(part) if part else 1.0 for part in (item.question, item.answer))
+            if min(q, a) >= self.overlap and (j not in mine or (q + a, score) > (sum(mine[j][1:]), mine[j][0])):
+                mine[j] = (score, q, a)
         return best
 
 
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) for every position of the ranges [begin, end)."""
+    n = end - begin
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None, width: int) -> DataFrame:
     """(item_id, terms of the item, text, answer, shard)."""
 
@@ -209,15 +219,10 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            get = own.term.get
-            for part in steps(batches, text_col):
-                doc, rows = part.column(id_col).to_pylist(), []
-                for k, text in enumerate(texts(part, text_col)):
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    rows += [(doc[k], own.items[j].item_id, *v) for j, v in own.leaks(words, ids, width).items()]
+            for part in steps(batches, text_col, 1 << 20):
+                split = [words_of(t) for t in texts(part, text_col)]
+                doc = part.column(id_col).to_pylist()
+                rows = [(doc[k], own.items[j].item_id, *v) for k, found in enumerate(own.leaks(split, width)) for j, v in found.items()]
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     kinds = [part.schema.field(id_col).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
