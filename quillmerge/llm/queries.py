@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmerge.llm import decontam, line_dedup, pieces, simhash, toxicity
+from quillmerge.llm import bitplanes, decontam, line_dedup, lm, multiset, pieces, simhash, substrings, surrogates, toxicity
 
 #: Base of the vocabulary paths; a parameter of the operators.
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -25,11 +25,33 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), key="quillmerge")
+
+
+def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = bitplanes.write_tokens(_table(spark, sf_dir, "documents"), vocabulary(WORDS), end_id=1)
+    return bitplanes.read_documents(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, tau=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op5_simhash, op8_line_dedup, op9_sentencepiece, op10_toxicity]
+    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
