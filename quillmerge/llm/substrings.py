@@ -40,7 +40,7 @@ HOT_DOCS = 20_000
 #: Text bytes of a group; anchors of a shard follow from it.
 GROUP_BYTES = 32 << 20
 #: Segment bytes that a suffix sort holds at a time.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- anchors
