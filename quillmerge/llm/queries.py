@@ -65,7 +65,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.fit(toxicity.learn_rows(docs, labels), toxicity.Settings())
+    model = toxicity.fit(docs, labels, toxicity.Settings())
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

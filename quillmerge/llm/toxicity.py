@@ -39,7 +39,7 @@ class Settings:
     head_bytes: int = 12  #: longest word start that is told apart
     char_buckets: int = 1 << 12
     char_bytes: int = 24  #: bytes of a word that the character input sees
-    sample_docs: int = 1500  #: labelled documents of each class that training uses at most
+    sample_docs: int = 1200  #: labelled documents of each class that training uses at most
     windows_per_doc: int = 3
     epochs: int = 4
     batch: int = 96
@@ -274,7 +274,7 @@ def _fit_windows(rows: list[tuple[bytes, int]], s: Settings) -> Model:
     known = {w: i + 1 for i, w in enumerate(often)}
     model = Model.fresh(s, known)
     n = Counter(y for _, y in split)
-    if len(n) < 2:
+    if len(n) < 2:  # nothing to tell apart
         model.p["o"][:] = 0
         model.p["o0"][0] = 4.0 if n[1] else -4.0
         return model
@@ -335,7 +335,7 @@ def _fit_windows(rows: list[tuple[bytes, int]], s: Settings) -> Model:
 class Scorer:
     """Scores texts; keeps the gate inputs of the words seen, up to a bound."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 200_000):
         self.model, self.s, self.most = model, model.s, most_words
         self.row: dict[bytes, int] = {}
         self.passing: list[bytes] = []  # words beyond the bound, kept for one batch
@@ -420,13 +420,21 @@ class Scorer:
         return sigmoid(self.logits(batch).astype(np.float64))
 
 
-def fit(labelled: DataFrame, s: Settings, *, text_col: str = "text", label_col: str = "label") -> Model:
-    """Train on at most ``s.sample_docs`` documents of each class, the ones of smallest text hash.
+def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on at most ``s.sample_docs`` documents of each class, the ones of smallest id hash.
 
-    Rows with a null label teach nothing; a null text counts as empty.
+    Held-out documents, rows with a null label and labels without a document teach
+    nothing; a null text counts as empty.  The sample is chosen by ids alone and only
+    its texts are read.
     """
-    hashed = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(text_col)).alias("h"))
-    rows = [r for y in (0, 1) for r in hashed.where(F.col("y") == y).orderBy("h", "t").limit(s.sample_docs).collect()]
+    marked = labels.where(F.col(label_col).isin(0, 1)).where(~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    there = marked.join(docs.select(F.col(id_col).alias("id")).distinct(), "id").distinct().withColumn("h", F.xxhash64("id"))
+    chosen = [r for y in (0, 1) for r in there.where(F.col("y") == y).orderBy("h", "id").limit(s.sample_docs).collect()]
+    if not chosen:
+        return train([], s)
+    sample = docs.sparkSession.createDataFrame([(r["id"], r["y"], r["h"]) for r in chosen], there.schema)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")  # bounded by sample_docs
+    rows = sorted(found.collect(), key=lambda r: (r["h"], r["id"], r["t"] or ""))
     return train([((r["t"] or "").encode(), r["y"]) for r in rows], s)
 
 
@@ -444,12 +452,6 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str
     return plain.mapInArrow(run, plus(plain, f"`{out_col}` double"))
 
 
-def learn_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fifth."""
-    marked = labels.where(~is_held_out("doc_id")).select("doc_id", F.col("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(marked, "doc_id").select("text", "label")
-
-
 def is_held_out(col: str):
     """Whether a row is in the fifth that nothing is learnt from (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
