@@ -42,6 +42,8 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], np.array(ids, np.int32)[order], np.array(scores)[order]
         self.points = [surfaces[i] for i in order]
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece: a look here spares the search
+        self.maybe[self.keys >> np.uint64(44)] = True
         # a byte run must lose against any way to write the text in pieces
         self.unknown = min(scores) * LONG * 4 - 1e6
 
@@ -52,9 +54,10 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         rows = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        rows = [i for i in rows if sp.get_score(i) > -1e8]  # user-defined fillers carry no score
+        # runs of blanks carry no score in the file: they rank just below the lowest scored piece
+        lowest = min(x for i in rows if (x := sp.get_score(i)) > -1e8)
         bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-        return cls([sp.id_to_piece(i) for i in rows], [sp.get_score(i) for i in rows], rows, [bytes_[b] for b in range(256)])
+        return cls([sp.id_to_piece(i) for i in rows], [max(sp.get_score(i), lowest - 1) for i in rows], rows, [bytes_[b] for b in range(256)])
 
     MULT = 0x9E3779B97F4A7C15
 
@@ -67,12 +70,16 @@ class Pieces:
 
     def _probe(self, key: np.ndarray) -> np.ndarray:
         """Row of each key in the sorted table, -1 if absent."""
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+        out = np.full(key.shape, -1)
+        some = self.maybe[key >> np.uint64(44)]
+        want = key[some]
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == want, at, -1)
+        return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The best-scoring pieces of each word; ties take the longest last piece."""
-        out: list[list[int]] = [[] for _ in words]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The best-scoring pieces of each word as little-endian 32-bit ids; ties take the longest last piece."""
+        out = [b""] * len(words)
         by_len: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_len.setdefault(len(w), []).append(i)
@@ -83,41 +90,57 @@ class Pieces:
                     out[r] = ids
         return out
 
-    def _viterbi(self, words: list[str], n: int) -> list[list[int]]:
+    def _viterbi(self, words: list[str], n: int) -> list[bytes]:
+        """Words of n characters, all at once."""
+        count = len(words)
         if not n:
-            return [[] for _ in words]
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        best = np.full((n + 1, len(words)), -np.inf)
+            return [b""] * count
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n).T.astype(np.uint64))
+        best = np.full((n + 1, count), -np.inf)
         best[0] = 0
-        size, row = np.zeros((n + 1, len(words)), np.int32), np.full((n + 1, len(words)), -1)
-        mult = np.uint64(self.MULT)
+        size, row = np.zeros((n + 1, count), np.int32), np.full((n + 1, count), -1)
+        mult, at = np.uint64(self.MULT), np.arange(count)
         # rolling[s]: hash of the substring that starts at s and ends here
-        rolling = np.zeros((n, len(words)), np.uint64)
+        rolling = np.zeros((n, count), np.uint64)
         for end in range(1, n + 1):
             low = max(0, end - self.longest)
-            h = (rolling[low:end] ^ chars[:, end - 1]) * mult
+            h = (rolling[low:end] ^ chars[end - 1]) * mult
             h ^= h >> np.uint64(29)
             rolling[low:end] = h
             hit = self._probe(h)
-            gain = np.where(hit >= 0, self.scores[hit], -np.inf)
-            single = hit[-1] < 0
-            gain[-1, single] = self.unknown
-            total = best[low:end] + gain
+            total = np.where(hit >= 0, best[low:end] + self.scores[hit], -np.inf)
+            total[-1] = np.where(hit[-1] < 0, best[end - 1] + self.unknown, total[-1])
             pick = total.argmax(axis=0)  # the first maximum is the longest piece
-            at = np.arange(len(words))
             best[end], size[end], row[end] = total[pick, at], end - low - pick, hit[pick, at]
-        ids = [[] for _ in words]
-        for w in range(len(words)):
-            end = n
-            while end:
-                r, k = int(row[end, w]), int(size[end, w])
-                if r >= 0:
-                    ids[w].append(int(self.ids[r]))
-                else:
-                    ids[w] += [int(self.byte_ids[b]) for b in reversed(words[w][end - k : end].encode())]
-                end -= k
-            ids[w].reverse()
-        return ids
+        # all words walk back together; the slots fill from the right
+        slots = np.full((n, count), -2)
+        end, live, step = np.full(count, n), at, 0
+        while len(live):
+            step += 1
+            here = end[live]
+            slots[n - step, live] = row[here, live]
+            end[live] = here - size[here, live]
+            live = live[end[live] > 0]
+        used = slots.T > -2
+        rows = slots.T[used]
+        flat = np.where(rows >= 0, self.ids[rows], -1).astype("<i4").tobytes()
+        cut = [0, *np.cumsum(used.sum(axis=1)).tolist()]
+        out = [flat[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for w in np.flatnonzero((slots == -1).any(axis=0)).tolist():
+            out[w] = self._with_bytes(words[w], rows[cut[w] : cut[w + 1]])
+        return out
+
+    def _with_bytes(self, word: str, rows: np.ndarray) -> bytes:
+        """A word's ids where some characters have no piece: -1 stands for one such character."""
+        ids, at = [], 0
+        for r in rows.tolist():
+            if r >= 0:
+                ids.append(int(self.ids[r]))
+                at += len(self.points[r])
+            else:
+                ids += self.byte_ids[list(word[at].encode())].tolist()
+                at += 1
+        return np.array(ids, "<i4").tobytes()
 
     def decode(self, ids: Iterator[int]) -> str:
         """The text of the ids: marks become blanks, the leading one goes; bytes stand for themselves."""
@@ -140,17 +163,16 @@ def marked(text: str) -> tuple[list[str], list[str]]:
 class Encoder:
     """Encodes whole texts; remembers the words it has seen, up to a bound."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 300_000):
+    def __init__(self, pieces: Pieces, most_words: int = 500_000):
         self.pieces, self.most = pieces, most_words
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str | None, bytes] = {None: pieces.byte_ids[list(MARK.encode())].astype("<i4").tobytes()}
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         split = [self._words(t) for t in batch]
-        new = list({w for ws in split for w in ws if isinstance(w, str)} - self.memo.keys())
-        for w, ids in zip(new, self.pieces.encode_words(new), strict=True):
-            self.memo[w] = np.array(ids, np.int32)
-        mark = self.pieces.byte_ids[list(MARK.encode())]
-        out = [np.concatenate([mark if w is None else self.memo[w] for w in ws]) if ws else np.empty(0, np.int32) for ws in split]
+        new = list({w for ws in split for w in ws} - self.memo.keys())
+        self.memo.update(zip(new, self.pieces.encode_words(new), strict=True))
+        get = self.memo.__getitem__
+        out = [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
         if len(self.memo) > self.most:
             for w in new:
                 del self.memo[w]
@@ -185,7 +207,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for part in steps(parts, text_col, 1 << 20):
+        for part in steps(parts, text_col, 4 << 20):
             ids = encoder([t.decode() for t in texts(part, text_col)])
             ends = np.cumsum([0, *map(len, ids)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
