@@ -52,7 +52,7 @@ class Tokens:
         words = text.lower().split()
         memo, digest = self.memo, xxhash.xxh64_intdigest
         if len(memo) < self.most:
-            for w in set(words) - memo.keys():
+            for w in set(words).difference(memo):
                 memo[w] = digest(w)
             out = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         else:
