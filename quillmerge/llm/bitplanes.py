@@ -157,7 +157,7 @@ class Tokens:
         for w in words:
             at = TAIL.search(w) if w.isascii() else None
             split[w] = (w[: at.start()], w[at.start() :]) if at else (w, b"")
-        new = list({x for pair in split.values() for x in pair if x} - self.memo.keys())
+        new = list({x for pair in split.values() for x in pair if x}.difference(self.memo))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
@@ -171,7 +171,7 @@ class Tokens:
         for w in self.passing:
             self.memo.pop(w, None)
         split = [t.split() for t in batch]
-        new = list({w for ws in split for w in ws} - self.memo.keys())
+        new = list({w for ws in split for w in ws}.difference(self.memo))
         full = len(self.memo) + len(new) > self.most
         added = self._learn(new)
         self.passing = added if full else []

@@ -38,7 +38,8 @@ K1, B = 1.2, 0.75
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+    """Words in lower case, also beyond ASCII."""
+    return (text if text.isascii() else text.decode().lower().encode()).translate(FOLD).split()
 
 
 def shingles(words: list, width: int) -> list[tuple]:

@@ -169,7 +169,7 @@ class Encoder:
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         split = [self._words(t) for t in batch]
-        new = list({w for ws in split for w in ws} - self.memo.keys())
+        new = list({w for ws in split for w in ws}.difference(self.memo))
         self.memo.update(zip(new, self.pieces.encode_words(new), strict=True))
         get = self.memo.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]

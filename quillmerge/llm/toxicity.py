@@ -58,7 +58,8 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 o
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+    """Words in lower case, also beyond ASCII."""
+    return (text if text.isascii() else text.decode().lower().encode()).translate(FOLD).split()
 
 
 def window_starts(n: int, s: Settings) -> np.ndarray:
@@ -358,7 +359,7 @@ class Scorer:
         split = [words_of(t) for t in batch]
         for w in self.passing:
             del self.row[w]
-        new = list({w for ws in split for w in ws} - self.row.keys())
+        new = list({w for ws in split for w in ws}.difference(self.row))
         self.passing = new if len(self.row) + len(new) > self.most else []
         self._add(new)
         get = self.row.__getitem__
