@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MEMBER_ORDER = (F.col("source_rank"), F.col("row_number"), F.col("uid"))
+from quillmerge.sources.scratch import materialise
+
+MEMBER_ORDER = ("source_rank", "row_number", "uid")
 
 #: Fields that come from the first member that has them.
 EXCLUSIVE = ("experience_years", "ctc_annual_inr", "applied_date", "rate_hourly_inr", "rate_monthly_inr", "rate_basis", "gig_status", "is_verified", "projects_completed")
 
 
-def _best(value: str, *order: Column) -> Column:
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _best(value: str, *order: Column | str) -> Column:
     """The value of the member that comes first in an order, of those that have one."""
-    return F.min(F.when(F.col(value).isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))))["v"]
+    return F.min(F.when(F.col(value).isNotNull(), F.struct(*[_col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))))["v"]
 
 
 def elect_names(members: DataFrame) -> DataFrame:
@@ -76,8 +82,6 @@ def numbered(people_rows: DataFrame) -> DataFrame:
     order = [F.coalesce(F.col(c), F.lit("~")) for c in ("email", "phone", "full_name")] + [F.col("ref")]
     keyed = people_rows.withColumn("sort_key", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]))
     dealt = keyed.repartitionByRange("sort_key").withColumn("part", F.spark_partition_id())
-    from quillmerge.sources.scratch import materialise
-
     dealt = materialise(dealt, "numbering")
     sizes = dealt.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

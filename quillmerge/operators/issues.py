@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEVERITY_RANK = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
+def severity_rank() -> Column:
+    return F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
 
 
 def issues(records: DataFrame) -> DataFrame:
@@ -38,4 +39,4 @@ def buckets(found: DataFrame, examples: int = 4) -> DataFrame:
 
 def in_order(found: DataFrame) -> DataFrame:
     """Errors first, then by category, source and row."""
-    return found.orderBy(SEVERITY_RANK, "category", F.coalesce("source", F.lit("")), F.coalesce("row_number", F.lit(-1)), "field")
+    return found.orderBy(severity_rank(), "category", F.coalesce("source", F.lit("")), F.coalesce("row_number", F.lit(-1)), "field")
