@@ -9,9 +9,9 @@ tokens and each token's bigram lies in one segment, so passes add up.
 
 The probability of a token after another is Dirichlet-smoothed,
 (c2 + mu p(w)) / (c1 + mu), with c2 from the filter (rounded down), c1 the exact
-count of the first token and p(w) the exact smoothed unigram probability.  Exact
-unigram counts are joined to the documents in groups: a group asks once for each
-distinct token, whatever the number of its occurrences.
+count of the first token and p(w) the exact smoothed unigram probability.  Counting
+goes by groups of documents: a group hands on each distinct token and bigram once,
+and gets the whole counts of its tokens back.
 """
 
 from __future__ import annotations
@@ -134,33 +134,29 @@ def _pack(keys: np.ndarray, counts: np.ndarray, shards: int):
             yield s, pack_keys(keys[a:b]), pack_counts(counts[a:b])
 
 
-def _count_training(shards: int):
-    """Per task: unigram and bigram counts of the training documents, packed by shard; (kind, shard, keys, counts)."""
+def _count_group(shards: int):
+    """One group: its distinct tokens with their training counts, and its training bigrams, packed by shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held = Tokens(), [[], []]
-
-        def flush():
-            for kind in (0, 1):
-                if held[kind]:
-                    keys, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
-                    rows = list(_pack(keys, counts, shards))
-                    s, k, c = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["kind", "shard", "keys", "counts"])
-                held[kind].clear()
-
-        size = 0
-        for part in steps(batches, "text"):
+    def run(group: pa.Table) -> pa.Table:
+        grp, tokens, every, train, pairs = group.column("grp")[0].as_py(), Tokens(), [], [], []
+        for part in group.to_batches():
             for doc, text in zip(part.column("doc_id").to_pylist(), texts(part, "text"), strict=True):
-                if not is_held_out(doc):
-                    t = tokens(text)
-                    held[0].append(t)
-                    held[1].append(bigrams(t))
-                    size += len(t)
-            if size > 4_000_000:
-                yield from flush()
-                size = 0
-        yield from flush()
+                t = tokens(text)
+                if is_held_out(doc):
+                    every.append(np.unique(t))
+                else:
+                    train.append(t)
+                    pairs.append(bigrams(t))
+        empty = np.empty(0, np.uint64)
+        seen, times = np.unique(np.concatenate([empty, *train]), return_counts=True)
+        keys = np.union1d(seen, np.concatenate([empty, *every]))
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, seen)] = times
+        rows = [(0, *row) for row in _pack(keys, counts, shards)]
+        keys, counts = np.unique(np.concatenate([empty, *pairs]), return_counts=True)
+        rows += [(1, *row) for row in _pack(keys, counts, shards)]
+        kind, shard, k, c = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "grp": pa.array([grp] * len(rows), pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     return run
 
@@ -170,59 +166,31 @@ def is_held_out(doc: int | None) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % 5 == 1
 
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpack_keys(k) for k in table.column("keys").to_pylist()])
+def _reduce_shard(table: pa.Table) -> pa.Table:
+    """A shard's whole counts: to each group those of its tokens, or the filter segment of the bigrams.
+
+    The first row of a unigram shard also carries how many distinct training tokens
+    and how many training tokens the shard has.
+    """
+    kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+    asked = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+    keys = np.concatenate(asked)
     counts = np.concatenate([unpack_counts(c) for c in table.column("counts").to_pylist()])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def _reduce_shard(table: pa.Table) -> pa.Table:
-    """A shard's whole counts: of unigrams as they are, of bigrams as a filter segment."""
-    kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    keys, counts = _summed(table)
-    body = build_segment(keys, counts) if kind else pack_keys(keys)
-    return pa.table({"kind": pa.array([kind], pa.int32()), "shard": pa.array([shard], pa.int32()), "body": pa.array([body], pa.binary()), "counts": pa.array([b"" if kind else pack_counts(counts)], pa.binary()), "n_keys": pa.array([len(keys)], pa.int64()), "n_events": pa.array([int(counts.sum())], pa.int64())})
-
-
-SHARD = "kind int, shard int, body binary, counts binary, n_keys long, n_events long"
-
-
-# ---------------------------------------------------------------- unigram counts for each group
-
-
-def _ask(shards: int):
-    """One group: its distinct tokens by shard."""
-
-    def run(group: pa.Table) -> pa.Table:
-        grp, tokens = group.column("grp")[0].as_py(), Tokens()
-        found = [np.unique(tokens(t)) for b in group.to_batches() for t in texts(b, "text")]
-        keys = np.unique(np.concatenate(found))
-        rows = [(s, grp, k) for s, k, _ in _pack(keys, np.zeros(len(keys), np.int64), shards)]
-        s, g, k = zip(*rows, strict=True)
-        return pa.table({"shard": pa.array(s, pa.int32()), "grp": pa.array(g, pa.int32()), "keys": pa.array(k, pa.binary())})
+    keys, counts = keys[first], np.add.reduceat(counts, first)
+    if kind:
+        rows = [(kind, shard, None, build_segment(keys, counts), None, 0, 0)]
+    else:
+        sums = [(int((counts > 0).sum()), int(counts.sum()))] + [(0, 0)] * (len(asked) - 1)
+        rows = [(kind, shard, g, pack_keys(own), pack_counts(counts[np.searchsorted(keys, own)]), *n) for g, own, n in zip(table.column("grp").to_pylist(), asked, sums, strict=True)]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "shard", "grp", "body", "counts", "n_keys", "n_events"])
 
-    return run
 
-
-def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    """One shard: to each group that asked, the counts of its tokens in the order asked."""
-    if counted.num_rows:
-        keys = unpack_keys(counted.column("body")[0].as_py())
-        counts = unpack_counts(counted.column("counts")[0].as_py())
-    else:
-        keys = counts = np.empty(0, np.int64)
-    out = []
-    for own in asked.column("keys").to_pylist():
-        want = unpack_keys(own)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            out.append(pack_counts(np.where(keys[at] == want, counts[at], 0)))
-        else:
-            out.append(pack_counts(np.zeros(len(want), np.int64)))
-    return pa.table({"grp": asked.column("grp"), "keys": asked.column("keys"), "counts": pa.array(out, pa.binary())})
+COUNTS = "kind int, shard int, grp int, keys binary, counts binary"
+SHARD = "kind int, shard int, grp int, body binary, counts binary, n_keys long, n_events long"
 
 
 # ---------------------------------------------------------------- scoring
@@ -305,20 +273,18 @@ def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if plain.isEmpty():
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     shards = max(16, 1 << max(0, (size // (8 * SEGMENT_BYTES)).bit_length()))
-    counted = plain.mapInArrow(_count_training(shards), "kind int, shard int, keys binary, counts binary")
-    counted = materialise(counted.groupBy("kind", "shard").applyInArrow(_reduce_shard, SHARD), "ngram-counts")
-    totals = counted.where("kind = 0").agg(F.sum("n_events"), F.sum("n_keys")).first()
-    n_train, n_distinct = totals[0] or 0, totals[1] or 0
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = parts * max(1, -(-size // (parts * GROUP_BYTES)))
     grouped = plain.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("grp", F.pmod("row", F.lit(groups)).cast("int"))
-    name = f"groups_{uuid.uuid4().hex}"  # bucketed: neither asking nor any pass shuffles the texts again
+    name = f"groups_{uuid.uuid4().hex}"  # bucketed: neither counting nor any pass shuffles the texts again
     grouped.repartition(groups, "grp").write.bucketBy(groups, "grp").option("path", scratch_path(spark, "groups")).saveAsTable(name)
     by_group = spark.table(name).groupBy("grp")
-    asked = by_group.applyInArrow(_ask(shards), "shard int, grp int, keys binary")
-    unigrams = counted.where("kind = 0").select("shard", "body", "counts")
-    known = materialise(asked.groupBy("shard").cogroup(unigrams.groupBy("shard")).applyInArrow(_answer, "grp int, keys binary, counts binary"), "token-counts")
+
+    counted = by_group.applyInArrow(_count_group(shards), COUNTS).groupBy("kind", "shard").applyInArrow(_reduce_shard, SHARD)
+    counted = materialise(counted, "ngram-counts")
+    totals = counted.where("kind = 0").agg(F.sum("n_events"), F.sum("n_keys")).first()
+    n_train, n_distinct = totals[0] or 0, totals[1] or 0
+    known = counted.where("kind = 0").select("grp", F.col("body").alias("keys"), "counts")
 
     sizes = {r["shard"]: r["size"] for r in counted.where("kind = 1").select("shard", F.octet_length("body").alias("size")).collect()}
     scored = None
