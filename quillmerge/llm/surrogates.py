@@ -103,13 +103,13 @@ def candidate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     card = F.concat(card_body, F.when(_luhn(value), check).otherwise(off).cast("string"))
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(5), octet(9)))  # a private range
+        .when(kind == "ip", F.concat_ws(".", (F.conv(F.substring(s, 13, 4), 16, 10).cast("int") % 15 + 240).cast("string"), octet(1), octet(5), octet(9)))  # reserved, never routed
         .when(kind == "phone", F.concat(F.substring(value, F.lit(1), F.greatest(F.length(value) - 9, F.lit(0))), F.substring(_random_digits(value, s), F.greatest(F.length(value) - 8, F.lit(1)), F.lit(9))))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_random_digits(value, s), F.lit(2), F.lit(8))))  # never issued
         .when(kind == "card", card)
         .when(kind == "secret", F.substring(F.concat(s, F.sha2(s, 256)), F.lit(1), F.length(value)))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(5), F.length(value)), lambda i: _like(F.substring(value, i, F.lit(1)), s, i)), "")))
-        .otherwise(F.concat_ws(" ", F.substring(value, 1, 1), F.when(F.substring(value, 1, 1) == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), F.initcap(F.concat(*[pick(SYLLABLES, a) for a in (3, 5, 7, 9)]))))
+        .otherwise(F.concat_ws(" ", F.substring(value, 1, 1), F.when(F.substring(value, 1, 1) == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), F.initcap(F.concat(*[pick(SYLLABLES, a) for a in (3, 5, 7, 9, 11, 13)]))))
     )
 
 
