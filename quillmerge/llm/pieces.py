@@ -64,7 +64,7 @@ class Pieces:
     def _key(self, s: str) -> int:
         h = 0
         for c in s:
-            h = ((h ^ ord(c)) * self.MULT) & (2**64 - 1)
+            h = ((h ^ (ord(c) + 1)) * self.MULT) & (2**64 - 1)  # a NUL counts too
             h ^= h >> 29
         return h
 
@@ -95,7 +95,7 @@ class Pieces:
         count = len(words)
         if not n:
             return [b""] * count
-        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n).T.astype(np.uint64))
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(count, n).T.astype(np.uint64) + np.uint64(1))
         best = np.full((n + 1, count), -np.inf)
         best[0] = 0
         size, row = np.zeros((n + 1, count), np.int32), np.full((n + 1, count), -1)
