@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmerge.llm.arrow import STEP_BYTES, pack_counts, pack_keys, steps, texts, unpack_counts, unpack_keys
+from quillmerge.llm.arrow import STEP_BYTES, give_back, pack_counts, pack_keys, steps, texts, unpack_counts, unpack_keys
 from quillmerge.sources.scratch import materialise, scratch_path
 
 #: Base of the count levels, bits for a stored key, probes for a key.
@@ -156,6 +156,7 @@ def _count_group(shards: int):
         keys, counts = np.unique(np.concatenate([empty, *pairs]), return_counts=True)
         rows += [(1, *row) for row in _pack(keys, counts, shards)]
         kind, shard, k, c = zip(*rows, strict=True)
+        give_back()
         return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "grp": pa.array([grp] * len(rows), pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     return run

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmerge.llm.arrow import pack_counts, pack_keys, texts, unpack_counts, unpack_keys
+from quillmerge.llm.arrow import give_back, pack_counts, pack_keys, texts, unpack_counts, unpack_keys
 from quillmerge.sources.scratch import materialise, scratch_path
 
 #: Bytes of an anchor gram (between 16 and 24, and under the window's length).
@@ -100,40 +100,46 @@ def equal_windows(data: np.ndarray, owner_end: np.ndarray, length: int) -> tuple
     """
     n = len(data)
     depth = min(8, length)
+    room = owner_end - np.arange(n, dtype=np.int32)
+    live = np.flatnonzero(room >= depth).astype(np.int32)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    gram = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64) >> np.uint64(8 * (8 - depth))
-    room = owner_end - np.arange(n)
-    whole = np.flatnonzero(room >= depth)
-    bucket = np.full(n, -1)
-    _, bucket[whole] = np.unique(gram[whole], return_inverse=True)
-    live = np.flatnonzero(room >= length)
+    gram = np.ndarray((n,), ">u8", padded, 0, (1,))[live].astype(np.uint64) >> np.uint64(8 * (8 - depth))
+    bucket = np.full(n, -1, np.int32)
+    bucket[live] = _ranked(gram)
     while depth < length:
         step = min(depth, length - depth)
-        here = np.flatnonzero((room >= depth + step) & (bucket >= 0))
-        sizes = np.bincount(bucket[here], minlength=bucket.max() + 1) if len(here) else np.zeros(1, np.int64)
-        several = here[sizes[bucket[here]] > 1]
+        here = live[room[live] >= depth + step]
+        sizes = np.bincount(bucket[here]) if len(here) else np.zeros(1, np.int64)
+        shared = sizes[bucket[here]] > 1
+        several, alone = here[shared], here[~shared]
         if not len(several):
-            return live[:0], live[:0]
-        pair = bucket[several] * np.int64(bucket.max() + 2) + bucket[several + step] + 1
-        _, refined = np.unique(pair, return_inverse=True)
-        fresh = np.full(n, -1)
-        fresh[several] = refined
+            return several, several
+        pair = bucket[several].astype(np.int64) << 32 | bucket[several + np.int32(step)]
+        fresh = np.full(n, -1, np.int32)
+        fresh[several] = _ranked(pair)
         # suffixes alone in their bucket keep a pointer of their own: others may lead to them
-        alone = here[sizes[bucket[here]] == 1]
-        fresh[alone] = refined.max() + 1 + np.arange(len(alone))
-        bucket, depth = fresh, depth + step
-    live = live[bucket[live] >= 0]
+        fresh[alone] = fresh[several].max() + 1 + np.arange(len(alone), dtype=np.int32)
+        bucket, depth, live = fresh, depth + step, here
     sizes = np.bincount(bucket[live]) if len(live) else np.zeros(1, np.int64)
     live = live[sizes[bucket[live]] > 1]
     return live, bucket[live]
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys."""
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(keys), np.int32)
+    sorted_ = keys[order]
+    rank[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1], dtype=np.int32))) if len(keys) else []
+    return rank
+
+
 def removed_ranges(docs: np.ndarray, segments: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(segment, begin, end) of the bytes that a window of a smaller document covers."""
     data = np.frombuffer(b"".join(segments), np.uint8)
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(segments)), sizes)
+    sizes = np.fromiter(map(len, segments), np.int32, len(segments))
+    ends = np.cumsum(sizes, dtype=np.int32)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)
     starts, bucket = equal_windows(data, ends[owner], length)
     if not len(starts):
         return []
@@ -200,18 +206,30 @@ def _cut_segments(length: int):
         kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         load = lambda c: np.sort(np.frombuffer(b"".join(shared.column(c).to_pylist()), "<u8"))
         warm, hot = (load(c) if shared.num_rows else np.empty(0, np.uint64) for c in ("warm", "hot"))
-        cols: list[list] = [[] for _ in kinds]
         holds = lambda keys, h: keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+        out, parts = [], ([], [])
         for b in group.to_batches():
-            meta = zip(b.column("grp").to_pylist(), b.column("row").to_pylist(), b.column("doc").to_pylist(), texts(b, "text"), strict=True)
-            for grp, row, doc, text in meta:
+            for n, text in enumerate(texts(b, "text")):
                 h, first, last = anchors(text, length)
-                for take, is_hot in ((holds(warm, h), False), (holds(hot, h), True)):
-                    for k, a, z in zip(h[take].view(np.int64).tolist(), first[take].tolist(), last[take].tolist(), strict=True):
-                        for v in [(k, False, grp, row, doc, a, text[a : z + length])] if not is_hot else [(int(np.uint64(xxhash.xxh64_intdigest(text[i : i + length])).view(np.int64)), True, grp, row, doc, i, text[i : i + length]) for i in range(a, z + 1)]:
-                            for c, x in zip(cols, v, strict=True):
-                                c.append(x)
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                take = holds(warm, h)
+                k, a, z = h[take].view(np.int64), first[take], last[take]
+                parts[0].append((np.full(len(k), n), k, a, [text[i : j + length] for i, j in zip(a.tolist(), z.tolist(), strict=True)]))
+                take = holds(hot, h)
+                at = [i for i, j in zip(first[take].tolist(), last[take].tolist(), strict=True) for i in range(i, j + 1)]
+                own = [text[i : i + length] for i in at]
+                k = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64)
+                parts[1].append((np.full(len(k), n), k, np.array(at, np.int64), own))
+            for is_hot, found in enumerate(parts):
+                if found:
+                    row, k, a = (np.concatenate([x[i] for x in found]) for i in range(3))
+                    cut = pa.array([s for x in found for s in x[3]], pa.binary())
+                    take = pa.array(row)
+                    cols = [pa.array(k), pa.array(np.full(len(k), bool(is_hot))), *(b.column(c).take(take) for c in ("grp", "row", "doc")), pa.array(a), cut]
+                    out.append(pa.table([c.cast(t) for c, t in zip(cols, kinds, strict=True)], names=names))
+                    found.clear()
+        res = pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
+        give_back()
+        return res
 
     return run
 
@@ -250,6 +268,7 @@ def _sorted_ranges(length: int):
             size += batch.column("segment").nbytes
         if held:
             yield from emit(held)
+        give_back()
 
     return run
 
