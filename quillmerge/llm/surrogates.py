@@ -30,6 +30,8 @@ KINDS = {
     "name": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every text with an entity holds; texts without it are not searched further.
+HINT = r"[0-9@]|[a-fA-F]{32}|(?:Mr|Ms|Miss|Herr|Frau|Mons|Mad|Se\u00f1or)"
 #: Titles by gender, and given and family names to draw from (Latin script).
 FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora)\b"
 FEMALE = ["Ada", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Jana", "Karla", "Lena", "Mara", "Nora", "Olga", "Paula"]
@@ -176,21 +178,28 @@ def pseudonymise(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     text, so repeated ids (and nulls) are fine; equal rows have equal results.  Only
     documents with an entity take part in the joins.
     """
-    plain = docs.select(F.col(id_col), F.col(text_col).alias("text"), mentions(F.col(text_col)).alias("found"))
-    found = docs.select(mentions(F.col(text_col)).alias("found")).where(F.size("found") > 0)
-    raws = found.select(F.explode("found").alias("raw")).distinct()
-    known = materialise(raws.withColumn("kind", kind_of(F.col("raw"))).withColumn("value", canonical(F.col("raw"), F.col("kind"))).where("kind is not null"), "pii-mentions")
+    plain = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
+    some = plain.where(F.col("text").rlike(HINT))
+    # an outer generator: its input is evaluated once, and no filter repeats it below
+    each = some.select(F.col(id_col).alias("id"), "row", F.posexplode_outer(mentions(F.col("text"))).alias("pos", "raw"))
+    found = materialise(each.where("raw is not null").distinct(), "pii-mentions")
+
+    raws = found.select("raw").distinct().withColumn("kind", kind_of(F.col("raw")))
+    known = materialise(raws.withColumn("value", canonical(F.col("raw"), F.col("kind"))).where("kind is not null"), "pii-known")
     table = known.join(assign(known.select("kind", "value"), key), ["kind", "value"])
-    table = materialise(table.select("raw", "kind", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("new")), "pii-table")
+    table = table.select("raw", "kind", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("new"))
 
-    touched = plain.where(F.size("found") > 0).select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row"), "found")
-    pairs = touched.select("id", "row", F.explode(F.array_distinct("found")).alias("raw")).distinct().join(table, "raw")
-    swaps = pairs.groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("swap"), F.map_from_entries(F.collect_list(F.struct("raw", "kind"))).alias("kind_of"))
-    keyed = plain.withColumn("row", F.when(F.size("found") > 0, F.xxhash64("text")))
-    joined = keyed.join(swaps, keyed[id_col].eqNullSafe(swaps["id"]) & (keyed["row"] == swaps["row"]), "left")
+    put = found.join(table, "raw", "left").select("id", "row", F.struct("pos", F.coalesce("new", "raw").alias("new"), "kind").alias("m"))
+    swaps = put.groupBy("id", "row").agg(F.array_sort(F.collect_list("m")).alias("put"))
+    joined = plain.join(swaps, plain[id_col].eqNullSafe(swaps["id"]) & (plain["row"] == swaps["row"]), "left")
     gaps = F.split(F.col("text"), PATTERN, -1)
-    put = F.transform(F.col("found"), lambda m: F.coalesce(F.element_at(F.col("swap"), m), m))
-    woven = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), F.concat(put, F.array(F.lit(""))).alias("put")), lambda p: F.array(p["gap"], p["put"]))), "")
-    n = F.when(F.col("swap").isNull(), F.lit(0)).otherwise(F.size("found"))
-    kinds = F.when(F.col("swap").isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform("found", lambda m: F.element_at(F.col("kind_of"), m)))))
-    return joined.select(keyed[id_col], F.when(F.col("swap").isNull(), F.col("text")).otherwise(woven).alias("text"), n.cast("long").alias("n_entities"), kinds.alias("kinds"))
+    news = F.concat(F.transform("put", lambda m: m["new"]), F.array(F.lit("")))
+    woven = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), news.alias("put")), lambda p: F.array(p["gap"], p["put"]))), "")
+    there = F.col("put").isNotNull()
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("put", lambda m: m["kind"]), lambda k: k.isNotNull())))
+    return joined.select(
+        plain[id_col],
+        F.when(there, woven).otherwise(F.col("text")).alias("text"),
+        F.when(there, F.size("put")).otherwise(0).cast("long").alias("n_entities"),
+        F.when(there, kinds).otherwise(F.array().cast("array<string>")).alias("kinds"),
+    )
