@@ -98,3 +98,11 @@ def duplicates_within_source(records: DataFrame, keys: tuple[str, ...] = ("email
         one = records.where(F.col(key).isNotNull()).select("source", F.lit(key).alias("field"), F.col(key).alias("value"), "row_number", F.first("row_number").over(w).alias("first_row")).where("row_number > first_row")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def cross_source_links(records: DataFrame, key: str) -> DataFrame:
+    """(src, dst): links of one key between records of different sources, each to the key's first record."""
+    edges = star_edges(records, key)
+    a = records.select(F.col("uid").alias("src"), F.col("source").alias("src_source"))
+    b = records.select(F.col("uid").alias("dst"), F.col("source").alias("dst_source"))
+    return edges.join(a, "src").join(b, "dst").where("src_source <> dst_source").select("src", "dst")

@@ -318,3 +318,62 @@ def quality_score(spark, sf_dir):
     clip = F.when(n % 7 > 5, 1.5).when(n % 7 > 4, 0.5).otherwise(0.0)
     q = signal.quality(n % 40, clip, -(n % 60), n / 1000, F.when(n % 3 == 0, 8000).otherwise(16000), n % 100, F.lit(0.0))
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", F.col("q.score").cast("int").alias("score"), "q.label")
+
+
+# ---------------------------------------------------------------- files and reports
+
+
+@query(
+    f"""{O.CTES}, r AS (SELECT full_name, phone, city, row_number() OVER (ORDER BY row_number) + 1 AS n FROM contacts)
+    SELECT CAST(n AS BIGINT) AS row_number, full_name, phone, city FROM r"""
+)
+def scan_with_row_number(spark, sf_dir):
+    """Contacts written as one CSV file and read back by record number."""
+    from quillmerge.sources.csv_records import by_header, read_records
+
+    path = scratch_path(spark, "contacts-csv")
+    c = raw(spark, sf_dir, "contacts").orderBy("row_number").select("full_name", "phone", "city")
+    c.coalesce(1).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells = by_header(["full_name", "phone", "city"], F.col("cells"))
+    rows = read_records(spark, f"{path}/*.csv").where("row_number > 1")
+    return rows.select("row_number", cells.alias("m")).select("row_number", "m.full_name", "m.phone", "m.city")
+
+
+@query(
+    f"""{O.HEAD}, e AS (SELECT email, min(uid) AS src FROM recs WHERE email IS NOT NULL GROUP BY email)
+    SELECT src, r.uid AS dst FROM recs r JOIN e ON r.email = e.email WHERE r.uid <> src AND split_part(src, ':', 1) <> r.source"""
+)
+def cross_source_links(spark, sf_dir):
+    from quillmerge.operators import identity
+    from quillmerge.sources.records import all_records
+
+    return identity.cross_source_links(all_records(spark, sf_dir), "email")
+
+
+@query(
+    f"""{O.RESOLVED}, {O.NAMES}, {O.CITIES}, c AS (SELECT DISTINCT m.root, w.city AS chosen, m.city AS rejected FROM members m JOIN cities w USING (root) WHERE m.city <> w.city)
+    SELECT c.root, full_name, chosen, rejected FROM c LEFT JOIN names USING (root)"""
+)
+def conflicts_report(spark, sf_dir):
+    rows = members(spark, sf_dir)
+    lost = golden.conflicts(rows, golden.elect_cities(rows), "city")
+    return lost.join(golden.elect_names(rows), "root", "left").select("root", "full_name", "chosen", "rejected")
+
+
+@query(
+    f"""{O.FULL}, sub AS (SELECT row_number AS id, {O.phone_value('phone')} AS phone FROM contacts), k AS (SELECT phone, min(root) AS root FROM people WHERE phone IS NOT NULL GROUP BY phone)
+    SELECT count(*) AS submissions, count(k.root) AS relinked FROM sub LEFT JOIN k ON sub.phone = k.phone"""
+)
+def relink_submissions(spark, sf_dir):
+    from quillmerge.functions import normalize as N
+
+    sub = raw(spark, sf_dir, "contacts").select(N.phone(F.col("phone"))["value"].alias("person_key"))
+    return serving.relinked(sub, people(spark, sf_dir)).agg(F.count("*").alias("submissions"), F.count("person").alias("relinked"))
+
+
+@query("SELECT o_orderkey AS id, '\"' || replace(o_orderpriority || ' \"' || o_orderstatus || '\"', '\"', '\"\"') || '\"' AS csv_cell, replace(o_orderpriority || '|' || o_orderstatus, '|', '\\|') AS table_cell FROM orders")
+def report_rows(spark, sf_dir):
+    text = F.concat("o_orderpriority", F.lit(' "'), "o_orderstatus", F.lit('"'))
+    cell = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    bar = F.replace(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), F.lit("|"), F.lit("\\|"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), cell.alias("csv_cell"), bar.alias("table_cell"))
