@@ -13,8 +13,8 @@ File: the planes, then a footer (JSON, zstandard), its length (4 bytes) and a ma
 
 from __future__ import annotations
 
+import functools
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -132,40 +132,73 @@ def read_ids(file) -> Iterator[tuple[int | None, np.ndarray]]:
 # ---------------------------------------------------------------- tokens
 
 #: Marks at a word's end that the vocabulary's pre-tokeniser sets apart after a letter or digit.
-TAIL = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?|%&$#*]+$")
+MARKS = b".,;:!?|%&$#*"
 
 
 class Tokens:
-    """Ids of whole texts by a ``tokenizers`` file whose words never reach over white space.
+    """Ids of whole texts by a ``tokenizers`` file that lower-cases and whose words never reach over white space.
 
     The library encodes each distinct stretch between ASCII blanks once and the
-    results are joined; a stretch of ASCII is split before its closing marks too.
-    Ids are held as little-endian 32-bit bytes.
+    results are joined; a stretch of ASCII is lower-cased and split before its closing
+    marks too.  Many stretches go to the library as one text, with an added token of
+    the vocabulary between them.  Ids are held as little-endian 32-bit bytes.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        added = tokenizer.get_added_tokens_decoder()
+        self.gap_id, self.gap = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
         self.memo: dict[bytes, bytes] = {}
         self.passing: list[bytes] = []  # stretches beyond the bound, kept for one batch
         self.most = most
 
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word."""
+        if self.gap is None or any("<" in w for w in words):  # a word may hold an added token itself
+            for e in self.encode(words, add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
+        lines = [self.gap.join(words[i : i + 512]) for i in range(0, len(words), 512)]
+        for line, e in zip(range(0, len(words), 512), self.encode(lines, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == self.gap_id)
+            if len(at) != len(words[line : line + 512]) - 1:
+                raise ValueError("the added token did not part the words")
+            body = ids.tobytes()
+            cut = (4 * at).tolist()
+            yield from (body[i:j] for i, j in zip([0, *(c + 4 for c in cut)], [*cut, len(body)], strict=True))
+
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """Encode the words; what was added."""
-        split = {}
+        split, odd, plain = {}, set(), set()
         for w in words:
-            at = TAIL.search(w) if w.isascii() else None
-            split[w] = (w[: at.start()], w[at.start() :]) if at else (w, b"")
-        new = list({x for pair in split.values() for x in pair if x}.difference(self.memo))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+            if w.isascii():
+                head = w.rstrip(MARKS)
+                if len(head) < len(w) and head[-1:].isalnum():
+                    a, b = head.lower(), w[len(head) :]
+                else:
+                    a, b = w if b"<" in w else w.lower(), b""
+                split[w] = (a, b)
+                plain.add(a)
+                if b:
+                    plain.add(b)
+            else:
+                odd.add(w)
+        new = list((plain | odd).difference(self.memo))
+        for group in ([w for w in new if b"<" not in w], [w for w in new if b"<" in w]):
+            for i in range(0, len(group), 8192):
+                part = group[i : i + 8192]
+                self.memo.update(zip(part, self._encoded([w.decode() for w in part]), strict=True))
+        memo = self.memo
         for w, (a, b) in split.items():
             if b:
-                self.memo[w] = self.memo[a] + self.memo[b]
-        return list({*new, *split})
+                memo[w] = memo[a] + memo[b]
+            elif a != w:
+                memo[w] = memo[a]
+        return [*new, *split]
 
     def __call__(self, batch: list[bytes]) -> Iterator[np.ndarray]:
         for w in self.passing:
@@ -180,6 +213,12 @@ class Tokens:
             yield np.frombuffer(b"".join(map(get, ws)), "<u4")
 
 
+@functools.cache
+def tokens_of(path: str) -> Tokens:
+    """One for each vocabulary in a Python worker, which serves many tasks."""
+    return Tokens(path)
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -189,7 +228,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}")
-                writer, tokens = Writer(out), Tokens(tokenizer)
+                writer, tokens = Writer(out), tokens_of(tokenizer)
                 first, number = part.column("doc_id")[0].as_py(), part.column("part")[0].as_py()
             ids = part.column("doc_id").to_pylist()
             for doc, own in zip(ids, tokens(texts(part, "text")), strict=True):
