@@ -393,31 +393,31 @@ def found(spark, sf_dir):
     return issues.issues(all_records(spark, sf_dir))
 
 
-@query()
+@query(f"{O.ISSUES} SELECT * FROM issues")
 def issues_exploded(spark, sf_dir):
     return found(spark, sf_dir)
 
 
-@query()
+@query(f"{O.ISSUES} SELECT severity, category, field, count(*) AS n, count(DISTINCT source) AS sources FROM issues GROUP BY ALL")
 def issue_classes(spark, sf_dir):
     return issues.classes(found(spark, sf_dir))
 
 
-@query()
+@query(f"{O.ISSUES} SELECT source, count(*) FILTER (WHERE severity = 'error') AS error, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, count(*) AS total FROM issues GROUP BY source")
 def issues_per_source(spark, sf_dir):
     return issues.per_source(found(spark, sf_dir))
 
 
-@query()
+@query(f"{O.ISSUES} SELECT category, count(*) AS n FROM issues GROUP BY category ORDER BY n DESC, category LIMIT 10")
 def top_categories(spark, sf_dir):
     return issues.top_categories(found(spark, sf_dir))
 
 
-@query()
+@query(f"{O.ISSUES} SELECT category, severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(source) AS first_source, arg_min(row_number, source || lpad(CAST(row_number AS VARCHAR), 12, '0')) AS first_row FROM issues GROUP BY category, severity")
 def issue_buckets(spark, sf_dir):
     return issues.buckets(found(spark, sf_dir))
 
 
-@query()
+@query(f"{O.ISSUES} SELECT * FROM issues")
 def issues_sorted(spark, sf_dir):
     return issues.in_order(found(spark, sf_dir))

@@ -171,3 +171,99 @@ golden AS (
   SELECT *, row_number() OVER (ORDER BY coalesce(email, '~'), coalesce(phone, '~'), coalesce(full_name, '~'), ref) AS person_id FROM people
 )"""
 FULL = f"{RESOLVED}, {GOLDEN}"
+
+
+def issue_rows(source: str, column: str, field: str, *checks: tuple[str, str, str]) -> str:
+    """The problems of one column: (condition, category, severity)."""
+    found = ", ".join(f"CASE WHEN {cond} THEN '{cat}|{sev}' END" for cond, cat, sev in checks)
+    return f"SELECT source, row_number, '{field}' AS field, {column} AS raw_value, unnest([{found}]) AS p FROM {source}"
+
+
+def name_issues(source: str) -> str:
+    s, letters = sq("full_name"), "regexp_replace(full_name, '[^A-Za-z]', '', 'g')"
+    return issue_rows(
+        source, "full_name", "name",
+        (f"{s} = ''", "missing_value", "error"),
+        (f"{s} <> '' AND NOT regexp_matches({s}, '^[A-Za-z][A-Za-z.''\\- ]*$')", "suspicious_value", "warn"),
+        (f"{letters} <> '' AND {letters} = upper({letters})", "inconsistent_casing", "info"),
+        (f"{letters} <> '' AND {letters} = lower({letters})", "inconsistent_casing", "info"),
+        (abbreviated("full_name"), "abbreviated_name", "warn"),
+    )
+
+
+def email_issues(source: str) -> str:
+    s, v = sq("email"), email_value("email")
+    return issue_rows(
+        source, "email", "email",
+        (f"{s} = ''", "missing_value", "warn"),
+        (f"contains({s}, ' ')", "invalid_format", "warn"),
+        (f"replace({s}, ' ', '') <> lower(replace({s}, ' ', ''))", "inconsistent_casing", "info"),
+        (f"{s} <> '' AND {v} IS NULL", "invalid_format", "error"),
+        (f"{email_alias('email')} IS NOT NULL", "alias_email", "warn"),
+    )
+
+
+def phone_issues(source: str) -> str:
+    s, v = sq("phone"), phone_value("phone")
+    return issue_rows(
+        source, "phone", "phone",
+        (f"{s} = ''", "missing_value", "warn"),
+        (f"{s} <> '' AND {v} IS NULL", "invalid_format", "error"),
+        (f"{v} < '6'", "suspicious_value", "warn"),
+        (f"{v} <> {s}", "inconsistent_format", "info"),
+    )
+
+
+def city_issues(source: str) -> str:
+    s = sq("city")
+    known = mapped(config.CITY_CANON, f"lower({s})")
+    return issue_rows(
+        source, "city", "city",
+        (f"{s} = ''", "missing_value", "warn"),
+        (f"{s} <> '' AND city <> trim(city)", "trailing_whitespace", "info"),
+        (f"{s} <> '' AND {known} IS NULL", "unmapped_value", "warn"),
+        (f"{known} <> {s}", "inconsistent_value", "info"),
+        (region_guess("city"), "precision_loss", "warn"),
+    )
+
+
+def skill_issues(source: str) -> str:
+    parts = "list_filter(list_transform(string_split(skills, ','), lambda p: trim(p)), lambda p: p <> '')"
+    known = mapped(config.SKILL_CANON, "lower(p)")
+    return issue_rows(
+        source, "skills", "skills",
+        (f"len(list_filter({parts}, lambda p: {known} <> p)) > 0", "inconsistent_casing", "info"),
+        (f"len(list_filter({parts}, lambda p: {known} IS NULL)) > 0", "unmapped_value", "warn"),
+    )
+
+
+DATE = "CAST(CASE row_number % 4 WHEN 0 THEN try_strptime(applied, '%Y-%m-%d') WHEN 1 THEN try_strptime(applied, '%d-%m-%Y') WHEN 2 THEN try_strptime(applied, '%m/%d/%Y') ELSE try_strptime(applied, '%-d %b %Y') END AS DATE)"
+CTC = f"({ctc_value('ctc')})"
+ISSUES = ", ".join(
+    [
+        HEAD,
+        "raised AS ("
+        + " UNION ALL ".join(
+            [name_issues(t) for t in ("applicants", "workers", "contacts")]
+            + [email_issues(t) for t in ("applicants", "workers")]
+            + [phone_issues(t) for t in ("applicants", "contacts")]
+            + [city_issues(t) for t in ("applicants", "workers", "contacts")]
+            + [skill_issues(t) for t in ("applicants", "workers")]
+            + [
+                issue_rows("applicants", "experience", "experience_years", ("CAST(experience AS DOUBLE) NOT BETWEEN 0 AND 50", "out_of_range", "warn")),
+                issue_rows("applicants", "ctc", "ctc_annual_inr", ("CAST(ctc AS DOUBLE) < 1000", "mixed_units", "warn"), (f"{CTC} NOT BETWEEN 50000 AND 100000000", "out_of_range", "warn")),
+                issue_rows(
+                    "applicants", "applied", "applied_date",
+                    (f"{DATE} IS NULL", "invalid_value", "error"),
+                    (f"{DATE} IS NOT NULL AND row_number % 4 <> 0", "inconsistent_format", "info"),
+                    (f"row_number % 4 = 2 AND day({DATE}) <> month({DATE})", "ambiguous_date", "warn"),
+                    (f"{DATE} > DATE '{config.INGEST_DATE}'", "future_date", "warn"),
+                ),
+                issue_rows("workers", "rate", "rate", (f"{rate_parts('rate')[0]} IS NOT NULL", "mixed_units", "info"), (f"{monthly('rate')} NOT BETWEEN 8000 AND 400000", "out_of_range", "warn")),
+                issue_rows("workers", "status", "gig_status", (f"{status_value('status')} IS NULL", "unmapped_value", "error"), (f"{status_value('status')} <> {sq('status')}", "inconsistent_casing", "info")),
+                issue_rows("contacts", "verified", "verified", (f"{sq('verified')} = ''", "missing_value", "warn"), (f"{sq('verified')} <> '' AND {bool_value('verified')} IS NULL", "unmapped_value", "error"), (f"{bool_value('verified')} IS NOT NULL AND verified NOT IN ('Y', 'N')", "inconsistent_value", "info")),
+            ]
+        )
+        + "), issues AS (SELECT source, row_number, split_part(p, '|', 1) AS category, split_part(p, '|', 2) AS severity, field, raw_value FROM raised WHERE p IS NOT NULL)",
+    ]
+)
