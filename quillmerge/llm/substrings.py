@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,12 +245,29 @@ def _sorted_ranges(length: int):
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held)
         docs = part.column("doc").to_numpy()
-        cut = removed_ranges(docs, part.column("segment").to_pylist(), length)
+        # equal segments are sorted once: all windows of a row beyond the least document go
+        coded = part.column("segment").combine_chunks().dictionary_encode()
+        own = coded.indices.to_numpy()
+        least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, docs)
+        later = np.flatnonzero(docs > least[own])
+        sizes = pc.binary_length(coded.dictionary).to_numpy()
+        row, begin, end = [later], [np.zeros(len(later), np.int64)], [sizes[own[later]].astype(np.int64)]
+        cut = removed_ranges(least, coded.dictionary.to_pylist(), length)
         if cut:
-            seg, begin, end = (np.array(x) for x in zip(*cut, strict=True))
-            base = part.column("begin").to_numpy()[seg]
-            cols = [pa.array(part.column(c).to_numpy()[seg]) for c in ("grp", "row", "doc")]
-            yield pa.RecordBatch.from_arrays([cols[0].cast(pa.int32()), *cols[1:], pa.array(base + begin), pa.array(base + end)], names=["grp", "row", "doc", "begin", "end"])
+            seg, a, z = (np.array(x) for x in zip(*cut, strict=True))
+            first = np.flatnonzero(docs == least[own])
+            first = first[np.argsort(own[first], kind="stable")]
+            lo, hi = np.searchsorted(own[first], seg), np.searchsorted(own[first], seg, "right")
+            n = hi - lo
+            row.append(first[np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)])
+            begin.append(np.repeat(a, n))
+            end.append(np.repeat(z, n))
+        row, begin, end = (np.concatenate(x) for x in (row, begin, end))
+        if len(row):
+            base, take = part.column("begin").to_numpy()[row], pa.array(row)
+            cols = [part.column(c).combine_chunks().take(take) for c in ("grp", "row", "doc")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(base + begin), pa.array(base + end)], names=["grp", "row", "doc", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

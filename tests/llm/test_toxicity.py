@@ -20,13 +20,8 @@ def rows_of(prose, n, seed=0):
 
 
 @pytest.fixture(scope="module")
-def model():
-    import conftest  # noqa: F401
-
-    from tests.llm.conftest import prose
-
-    make = prose.__wrapped__() if hasattr(prose, "__wrapped__") else prose.__pytest_wrapped__.obj()
-    return toxicity.train([(t.encode(), y) for _, t, y in rows_of(make, 240)], SMALL)
+def model(prose):
+    return toxicity.train([(t.encode(), y) for _, t, y in rows_of(prose, 240)], SMALL)
 
 
 def test_held_out_accuracy(model, prose):
