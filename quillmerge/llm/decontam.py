@@ -12,7 +12,8 @@ only ever skip what cannot reach an item's threshold:
 
 An item's threshold is the least score a passage can have that still passes the
 overlap check, so the retrieval loses nothing; the check itself asks for the
-item's question and its answer, each as word shingles, in the passage.
+item's word shingles in the passage, or for those of its question and of its
+answer where the benchmark has answers.
 """
 
 from __future__ import annotations
@@ -58,13 +59,12 @@ class Item:
 
 
 def as_item(item_id: int, text: bytes, answer: bytes | None, width: int) -> Item:
-    """Without an answer of its own, an item's answer is its last quarter (``width`` words at least)."""
+    """Without an answer of its own, an item is one question, and its empty answer is always held."""
     words = words_of(text)
     if answer is not None:
         tail = words_of(answer)
         return Item(item_id, words + tail, set(shingles(words, width)), set(shingles(tail, width)))
-    cut = max(0, len(words) - max(width, len(words) // 4))
-    return Item(item_id, words, set(shingles(words[:cut], width)), set(shingles(words[cut:], width)))
+    return Item(item_id, words, set(shingles(words, width)), set())
 
 
 class Index:
@@ -81,7 +81,7 @@ class Index:
             tf, norm = Counter(x.words), K1 * (1 - B + B * len(x.words) / mean_len)
             impact = {w: np.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in tf.items()}
             postings += [(self.term[w], j, v) for w, v in impact.items()]
-            # words that may be missing when both parts still overlap enough
+            # words that may be missing when all parts still overlap enough: at most one for each missing shingle
             spare = sum(int((1 - overlap) * len(part) + 1e-9) for part in (x.question, x.answer))
             self.threshold[j] = max(0.0, sum(impact.values()) - sum(sorted(impact.values())[len(impact) - min(spare, len(impact)) :])) * (1 - 1e-6)
         postings.sort()
@@ -194,7 +194,9 @@ def find_leaks(
 
     A passage is 2 L words at every L-th word, L the longest item of the shard, so
     every run of an item's length lies in one.  An item leaks where a passage holds
-    at least ``overlap`` of the question's word ``width``-grams and of the answer's.
+    at least ``overlap`` of its word ``width``-grams; with ``answer_col``, of the
+    question's and of the answer's.  Without it question_overlap is that of the
+    whole item, and answer_overlap is 1.
     Repeated items count once; items without words and rows with a null text leak
     nothing; an empty benchmark gives an empty result.  Document ids that repeat
     are judged row by row.  Items are read in shards of bounded size (one pass over

@@ -53,3 +53,26 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(docs_of([(1, "a b c")]), none).count() == 0
     assert decontam.find_leaks(docs_of([]), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")).count() == 0
+
+
+def test_an_edited_item_is_judged_whole(spark, docs_of, prose):
+    """One changed word anywhere leaves 0.8 of a long item's shingles: also in what was cut off as its answer."""
+    items = [(k, prose(900 + k, 36)) for k in range(4)]
+    rows, share = [], {}
+    for k, text in items:
+        for at in range(36):
+            words = text.split(" ")
+            words[at] = "swapped"
+            own = [set(decontam.shingles(decontam.words_of(t.encode()), 5)) for t in (text, " ".join(words))]
+            share[100 * k + at, k] = len(own[0] & own[1]) / len(own[0])
+            rows.append((100 * k + at, prose(at, 50) + " " + " ".join(words) + " " + prose(at + 50, 50)))
+    got = decontam.find_leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {x for x, v in share.items() if v >= 0.8} and len(got) > 130
+    assert all(abs(r.question_overlap - share[r.doc_id, r.item_id]) < 1e-9 for r in got)
+
+
+def test_answers_of_their_own_are_asked_for(spark, docs_of, prose):
+    items = [(1, prose(901, 30), prose(902, 8))]
+    rows = [(1, items[0][1]), (2, items[0][1] + " " + items[0][2]), (3, items[0][2])]
+    got = decontam.find_leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string, answer string"), answer_col="answer")
+    assert [r.doc_id for r in got.collect()] == [2]
