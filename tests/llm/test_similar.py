@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillmerge.llm import similar
+from quillmerge.llm import similar, simhash
 
 
 def grams(text, width=5):
@@ -80,7 +80,7 @@ def test_recall_at_the_threshold():
     assert missed == 0
 
 
-@pytest.mark.parametrize("keep", [similar.keep_one])
+@pytest.mark.parametrize("keep", [similar.keep_one, simhash.keep_one])
 def test_null_and_repeated_ids_keep_their_texts(docs_of, prose, keep):
     a, b, c, d, e = (prose(k, 60) for k in range(5))
     rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (7, e), (7, d), (9, a), (3, e), (None, None)]
