@@ -4,7 +4,8 @@ A text is cut into words, each led by the space mark that a blank becomes.  The
 distinct words of a batch are grouped by length in characters, and all words of a
 length advance together: at each end position every piece length is tried at
 once, the hashes of the words' substrings are looked up in the sorted array of
-piece keys, and a maximum over the candidates stores score and backpointer.
+piece keys, and a maximum over the candidates stores score and backpointer.  A
+long word is searched alone and whole, a block of start positions at a time.
 A character without a piece is written as its UTF-8 bytes.  Decoding is a table
 look-up, and gives back the exact text.
 """
@@ -26,6 +27,8 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}?[^{MARK}]+|{MARK}+")
 #: Words beyond this many characters are searched alone.
 LONG = 64
+#: Start positions of a long word whose pieces are looked up at a time.
+BLOCK = 1 << 14
 
 
 class Pieces:
@@ -84,6 +87,10 @@ class Pieces:
         for i, w in enumerate(words):
             by_len.setdefault(len(w), []).append(i)
         for n, rows in by_len.items():
+            if n > LONG:
+                for r in rows:
+                    out[r] = self._long(words[r])
+                continue
             for i in range(0, len(rows), max(1, (1 << 16) // max(n, 1))):
                 part = rows[i : i + max(1, (1 << 16) // max(n, 1))]
                 for r, ids in zip(part, self._viterbi([words[r] for r in part], n), strict=True):
@@ -130,6 +137,47 @@ class Pieces:
             out[w] = self._with_bytes(words[w], rows[cut[w] : cut[w + 1]])
         return out
 
+    def _long(self, word: str) -> bytes:
+        """One word of any length: a back pointer for each character, all else for a block of start positions."""
+        n, mult = len(word), np.uint64(self.MULT)
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        row = np.full(n + 1, -1, np.int32)
+        ahead = [0.0]  # best scores from the first position of the block on
+        for low in range(0, n, BLOCK):
+            high = min(n, low + BLOCK)
+            part = chars[low : high + self.longest].astype(np.uint64) + np.uint64(1)
+            h, starts, sizes, hits = np.zeros(high - low, np.uint64), [], [], []
+            for k in range(1, min(self.longest, len(part)) + 1):
+                m = min(high - low, len(part) - k + 1)
+                h = (h[:m] ^ part[k - 1 : k - 1 + m]) * mult
+                h ^= h >> np.uint64(29)
+                found = self._probe(h)
+                at = np.flatnonzero(found >= 0) if k > 1 else np.arange(m)  # a character without a piece: -1
+                starts.append(at)
+                sizes.append(np.full(len(at), k))
+                hits.append(found[at])
+            start, size, hit = (np.concatenate(x) for x in (starts, sizes, hits))
+            score = np.where(hit >= 0, self.scores[hit], self.unknown)
+            order = np.argsort(start, kind="stable")
+            best = ahead + [-np.inf] * (high - low + self.longest + 1 - len(ahead))
+            back = row[low : high + self.longest].tolist() + [-1] * (self.longest + 1)
+            for a, k, r, x in zip(start[order].tolist(), size[order].tolist(), hit[order].tolist(), score[order].tolist(), strict=True):
+                total = best[a] + x
+                if total > best[a + k]:  # on a tie the earlier start stays, the longer piece
+                    best[a + k], back[a + k] = total, r
+            end = min(n + 1, high + self.longest)
+            row[low:end] = back[: end - low]
+            ahead = best[high - low :]
+        length = np.array([*map(len, self.points), 1], np.int32)  # the last one is for -1
+        picked, at = np.empty(n, np.int32), n
+        for i in range(n - 1, -1, -1):
+            picked[i] = row[at]
+            at -= int(length[row[at]])
+            if not at:
+                break
+        rows = picked[i:]
+        return self._with_bytes(word, rows) if (rows < 0).any() else self.ids[rows].astype("<i4").tobytes()
+
     def _with_bytes(self, word: str, rows: np.ndarray) -> bytes:
         """A word's ids where some characters have no piece: -1 stands for one such character."""
         ids, at = [], 0
@@ -173,9 +221,9 @@ class Encoder:
         self.memo.update(zip(new, self.pieces.encode_words(new), strict=True))
         get = self.memo.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
-        if len(self.memo) > self.most:
-            for w in new:
-                del self.memo[w]
+        # long words are not remembered: their number says nothing about their size
+        for w in new if len(self.memo) > self.most else [w for w in new if len(w) > LONG]:
+            del self.memo[w]
         return out
 
     @staticmethod
@@ -185,21 +233,14 @@ class Encoder:
             return []
         whole, parts = marked(text)
         if not parts:
-            return _short(whole)
+            return whole
         out: list[str | None] = []
         for i, part in enumerate(parts):
             body = (MARK if not i else "") + part.replace(" ", MARK)
-            out += ([None] if i else []) + _short(WORD.findall(body))
+            out += ([None] if i else []) + WORD.findall(body)
         return out
 
 
-def _short(words: list[str]) -> list[str]:
-    """Words over LONG characters in runs of LONG, so that memory stays bounded."""
-    if max(map(len, words), default=0) <= LONG:
-        return words
-    return [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]
-
-
 def encode(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array<int>): the pieces of the whole text; null and empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # one vocabulary, of fixed size

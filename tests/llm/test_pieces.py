@@ -53,3 +53,17 @@ def test_frame(docs_of, table):
     assert len(got) == len(rows) and all(r.exact for r in got)
     assert {r.n_pieces for r in got if r.doc_id == 99} == {0}
     assert pieces.round_trip(docs_of([]), table).count() == 0
+
+
+@pytest.mark.parametrize("block", [pieces.BLOCK, 37])
+def test_long_words_are_searched_whole(table, prose, monkeypatch, block):
+    """No piece border every 64 characters: lines, lists, links and texts without blanks."""
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    words = ["x" * 65, "a\nb\t" * 400, prose(3, 300).replace(" ", "\n"), "https://example.org/" + prose(4, 60).replace(" ", "/"), "日本語😀x" * 50, "▁" * 200]
+    assert [np.frombuffer(x, "<i4").tolist() for x in table.encode_words(words)] == [brute(table, w) for w in words]
+    coder = pieces.Encoder(table)
+    texts = [w for w in words if "▁" not in w] + [" " * 199]
+    got = coder(texts)
+    assert [x.tolist() for x in got] == [brute(table, "▁" + t.replace(" ", "▁")) for t in texts]
+    assert all(table.decode(x.tolist()) == t for x, t in zip(got, texts, strict=True))
+    assert all(len(w) <= pieces.LONG for w in coder.memo if w)
