@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -22,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmerge.llm.arrow import steps, texts
+from quillmerge.llm.arrow import steps
+from quillmerge.llm.rows import WordRows
 from quillmerge.sources.scratch import materialise, scratch_path
 
 MAGIC = b"QMBP1\n"
@@ -72,9 +75,10 @@ class Writer:
         self.lengths: list[int] = []
         self.press = zstandard.ZstdCompressor(level=3)
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc)
-        self.lengths.append(len(ids))
+    def add(self, docs: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
+        """Documents in order, with the ids of all of them."""
+        self.docs += docs
+        self.lengths += lengths
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= BLOCK:
@@ -82,7 +86,7 @@ class Writer:
             cut = self.size - self.size % BLOCK
             for i in range(0, cut, BLOCK):
                 self._block(whole[i : i + BLOCK])
-            self.held, self.size = [whole[cut:]], self.size - cut
+            self.held, self.size = [whole[cut:].copy()], self.size - cut
 
     def _block(self, ids: np.ndarray) -> None:
         kind, planes = to_planes(ids)
@@ -132,85 +136,83 @@ def read_ids(file) -> Iterator[tuple[int | None, np.ndarray]]:
 # ---------------------------------------------------------------- tokens
 
 #: Marks at a word's end that the vocabulary's pre-tokeniser sets apart after a letter or digit.
-MARKS = b".,;:!?|%&$#*"
+MARKS = ".,;:!?|%&$#*"
 
 
 class Tokens:
     """Ids of whole texts by a ``tokenizers`` file that lower-cases and whose words never reach over white space.
 
-    The library encodes each distinct stretch between ASCII blanks once and the
-    results are joined; a stretch of ASCII is lower-cased and split before its closing
-    marks too.  Many stretches go to the library as one text, with an added token of
-    the vocabulary between them.  Ids are held as little-endian 32-bit bytes.
+    The library encodes each distinct stretch between ASCII blanks once; a stretch of
+    ASCII is lower-cased and split before its closing marks too.  Many stretches go to
+    the library as one text, with an added token of the vocabulary between them.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
         added = tokenizer.get_added_tokens_decoder()
         self.gap_id, self.gap = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
-        self.memo: dict[bytes, bytes] = {}
-        self.passing: list[bytes] = []  # stretches beyond the bound, kept for one batch
-        self.most = most
-
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word."""
-        if self.gap is None or any("<" in w for w in words):  # a word may hold an added token itself
-            for e in self.encode(words, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
-            return
-        lines = [self.gap.join(words[i : i + 512]) for i in range(0, len(words), 512)]
-        for line, e in zip(range(0, len(words), 512), self.encode(lines, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(ids == self.gap_id)
-            if len(at) != len(words[line : line + 512]) - 1:
-                raise ValueError("the added token did not part the words")
-            body = ids.tobytes()
-            cut = (4 * at).tolist()
-            yield from (body[i:j] for i, j in zip([0, *(c + 4 for c in cut)], [*cut, len(body)], strict=True))
-
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Encode the words; what was added."""
-        split, odd, plain = {}, set(), set()
+        self.known = WordRows(most)
+
+    def _encode(self, words: list[str]) -> None:
+        """Ask the library for the ids of the words."""
+        odd = words if self.gap is None else [w for w in words if "<" in w]  # a word may hold an added token itself
+        for w, e in zip(odd, self.encode(odd, add_special_tokens=False), strict=True):
+            self.known.append([w], np.array([len(e.ids)]), np.array(e.ids, np.int32))
+        plain = [] if self.gap is None else [w for w in words if "<" not in w]
+        lines = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for i in range(0, len(lines), 16):
+            part = lines[i : i + 16]
+            for own, e in zip(part, self.encode([self.gap.join(ws) for ws in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                at = np.flatnonzero(ids == self.gap_id)
+                if len(at) != len(own) - 1:
+                    raise ValueError("the added token did not part the words")
+                self.known.append(own, np.diff(at, prepend=-1, append=len(ids)) - 1, np.delete(ids, at))
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for words that have none."""
+        known, cased, split, parts = self.known, {}, [], set()
         for w in words:
-            if w.isascii():
-                head = w.rstrip(MARKS)
-                if len(head) < len(w) and head[-1:].isalnum():
-                    a, b = head.lower(), w[len(head) :]
-                else:
-                    a, b = w if b"<" in w else w.lower(), b""
-                split[w] = (a, b)
-                plain.add(a)
-                if b:
-                    plain.add(b)
+            if not w.isascii():
+                parts.add(w)
+                continue
+            head = w.rstrip(MARKS)
+            if len(head) < len(w) and head[-1:].isalnum():
+                a, b = head.lower(), w[len(head) :]
+                split.append((w, a, b))
+                parts.add(a)
+                parts.add(b)
             else:
-                odd.add(w)
-        new = list((plain | odd).difference(self.memo))
-        for group in ([w for w in new if b"<" not in w], [w for w in new if b"<" in w]):
-            for i in range(0, len(group), 8192):
-                part = group[i : i + 8192]
-                self.memo.update(zip(part, self._encoded([w.decode() for w in part]), strict=True))
-        memo = self.memo
-        for w, (a, b) in split.items():
-            if b:
-                memo[w] = memo[a] + memo[b]
-            elif a != w:
-                memo[w] = memo[a]
-        return [*new, *split]
-
-    def __call__(self, batch: list[bytes]) -> Iterator[np.ndarray]:
-        for w in self.passing:
-            self.memo.pop(w, None)
-        split = [t.split() for t in batch]
-        new = list({w for ws in split for w in ws}.difference(self.memo))
-        full = len(self.memo) + len(new) > self.most
-        added = self._learn(new)
-        self.passing = added if full else []
-        get = self.memo.__getitem__
-        for ws in split:
-            yield np.frombuffer(b"".join(map(get, ws)), "<u4")
+                a = w if "<" in w else w.lower()
+                parts.add(a)
+                if a != w:
+                    cased[w] = a
+        self._encode(list(parts.difference(known.row)))
+        row = known.row
+        row.update({w: row[a] for w, a in cased.items()})
+        if split:
+            two = np.array([(row[a], row[b]) for _, a, b in split])
+            known.append([w for w, _, _ in split], known.size[two].sum(axis=1), known.ids(two.ravel()))
+
+    def __call__(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, the number of each text's ids); every text ends with ``end_id``."""
+        known = self.known
+        known.shrink()
+        words = pc.ascii_split_whitespace(column)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in distinct if w not in known.row])
+        end = known.n
+        known.append([None], np.ones(1, np.int64), np.array([end_id], np.int32))
+        rows = known.rows(distinct)[coded.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        rows = np.insert(rows, ends, end)
+        total = np.cumsum(known.size[rows])
+        return known.ids(rows).view(np.uint32), np.diff(total[ends + np.arange(len(ends))], prepend=0)
 
 
 @functools.cache
@@ -223,16 +225,14 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         name, writer, out, tokens, first = f"{uuid.uuid4().hex}.qmbp", None, None, None, None
-        end = np.array([end_id], np.uint32)
         for part in steps(batches, "text"):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}")
                 writer, tokens = Writer(out), tokens_of(tokenizer)
                 first, number = part.column("doc_id")[0].as_py(), part.column("part")[0].as_py()
-            ids = part.column("doc_id").to_pylist()
-            for doc, own in zip(ids, tokens(texts(part, "text")), strict=True):
-                writer.add(doc, np.concatenate([own, end]))
+            ids, lengths = tokens(pc.fill_null(part.column("text"), ""), end_id)
+            writer.add(part.column("doc_id").to_pylist(), lengths.tolist(), ids)
         if writer is not None:
             n = writer.close()
             out.close()
@@ -279,7 +279,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield _documents(held)
 
-    files = manifest.select("path", "base").repartition(F.col("path"))
+    files = manifest.select("path", "base").repartition(max(1, manifest.count()))  # a file a task
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 

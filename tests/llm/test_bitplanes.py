@@ -23,8 +23,9 @@ def test_file_round_trip(tmp_path):
     store = fs.LocalFileSystem()
     with store.open_output_stream(f"{tmp_path}/x.qmbp") as out:
         w = bitplanes.Writer(out)
-        for k, ids in docs:
-            w.add(k, ids)
+        for k, ids in docs[:3]:
+            w.add([k], [len(ids)], ids)
+        w.add([k for k, _ in docs[3:]], [len(x) for _, x in docs[3:]], np.concatenate([x for _, x in docs[3:]]))
         assert w.close() == sum(len(x) for _, x in docs)
     with store.open_input_file(f"{tmp_path}/x.qmbp") as file:
         for (k, ids), (j, got) in zip(docs, bitplanes.read_ids(file), strict=True):
