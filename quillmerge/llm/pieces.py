@@ -8,25 +8,35 @@ piece keys, and a maximum over the candidates stores score and backpointer.  A
 long word is searched alone and whole, a block of start positions at a time.
 A character without a piece is written as its UTF-8 bytes.  Decoding is a table
 look-up, and gives back the exact text.
+
+A merge vocabulary ranks its pieces and gives no probabilities.  Frequencies fall
+about as the inverse of their rank, so the score of the piece of rank r is
+-log(r), and a text's best pieces are those of the greatest product of such
+frequencies.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge.llm.arrow import plus, steps, texts
+from quillmerge.llm.rows import WordRows, spread
 
 MARK = "▁"
-#: A run of marks, or a mark with the word behind it, or a word; no text is left over.
-WORD = re.compile(f"{MARK}?[^{MARK}]+|{MARK}+")
+#: A run of marks with the word behind it, or a word; no text is left over and no piece reaches over a border.
+WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words beyond this many characters are searched alone.
 LONG = 64
+#: Text bytes of a step.
+STEP = 2 << 20
 #: Start positions of a long word whose pieces are looked up at a time.
 BLOCK = 1 << 14
 
@@ -39,6 +49,8 @@ class Pieces:
         self.surface = dict(zip(ids, surfaces, strict=True))
         self.byte_of = {b: i for i, b in enumerate(byte_ids)}
         self.longest = max(map(len, surfaces))
+        if any(MARK in s.lstrip(MARK) for s in surfaces):
+            raise ValueError("a piece reaches over a word border")
         keys = np.array([self._key(s) for s in surfaces], np.uint64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("piece keys collide; take another multiplier")
@@ -49,6 +61,7 @@ class Pieces:
         self.maybe[self.keys >> np.uint64(44)] = True
         # a byte run must lose against any way to write the text in pieces
         self.unknown = min(scores) * LONG * 4 - 1e6
+        self.table = self.coder = None
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -57,10 +70,10 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         rows = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unused(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        # runs of blanks carry no score in the file: they rank just below the lowest scored piece
-        lowest = min(x for i in rows if (x := sp.get_score(i)) > -1e8)
+        # runs of blanks carry no score in the file: they rank last
+        ranks = {i: r for r, i in enumerate(sorted(rows, key=lambda i: (-sp.get_score(i), i)))}
         bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
-        return cls([sp.id_to_piece(i) for i in rows], [max(sp.get_score(i), lowest - 1) for i in rows], rows, [bytes_[b] for b in range(256)])
+        return cls([sp.id_to_piece(i) for i in rows], [-math.log(ranks[i] + 2) for i in rows], rows, [bytes_[b] for b in range(256)])
 
     MULT = 0x9E3779B97F4A7C15
 
@@ -190,68 +203,114 @@ class Pieces:
                 at += 1
         return np.array(ids, "<i4").tobytes()
 
-    def decode(self, ids: Iterator[int]) -> str:
-        """The text of the ids: marks become blanks, the leading one goes; bytes stand for themselves."""
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([self.byte_of[i]]) if i in self.byte_of else self.surface[i].replace(MARK, " ").encode())
-        text = b"".join(out).decode()
-        return text[1:] if text.startswith(" ") else text
-
-
-def marked(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text, and the stretches between real mark characters.
-
-    A mark in the text itself isn't a blank; it is kept apart, to be written in bytes.
-    """
-    lead = MARK + text.replace(" ", MARK) if MARK not in text else ""
-    return (WORD.findall(lead), []) if lead else ([], text.split(MARK))
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(UTF-8 of all texts, their lengths) of the ids of several texts: marks become blanks, a text's leading one goes."""
+        if self.table is None:
+            held: list[bytes] = [b""] * (max(max(self.surface), int(self.byte_ids.max())) + 1)
+            for i, s in self.surface.items():
+                held[i] = s.replace(MARK, " ").encode()
+            for i, b in self.byte_of.items():
+                held[i] = bytes([b])
+            width = np.fromiter(map(len, held), np.int32, len(held))
+            self.table = np.frombuffer(b"".join(held), np.uint8), np.cumsum(width) - width, width
+        flat, begin, width = self.table
+        n = width[ids]
+        body = flat[spread(begin[ids], n)] if len(ids) else np.empty(0, np.uint8)
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.concatenate(([0], np.cumsum(sizes)))]
+        first = ends[:-1][ends[1:] > ends[:-1]]
+        lead = first[body[first] == 32]
+        size = np.diff(ends)
+        size[np.searchsorted(ends[:-1], lead, "right") - 1] -= 1
+        return np.delete(body, lead), size
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids."""
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "coder")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, table=None, coder=None)
+
+    def encoder(self) -> Encoder:
+        """One for a Python worker, which serves many tasks."""
+        if self.coder is None:
+            self.coder = Encoder(self)
+        return self.coder
 
 
 class Encoder:
     """Encodes whole texts; remembers the words it has seen, up to a bound."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 500_000):
-        self.pieces, self.most = pieces, most_words
-        self.memo: dict[str | None, bytes] = {None: pieces.byte_ids[list(MARK.encode())].astype("<i4").tobytes()}
-
-    def __call__(self, batch: list[str]) -> list[np.ndarray]:
-        split = [self._words(t) for t in batch]
-        new = list({w for ws in split for w in ws}.difference(self.memo))
-        self.memo.update(zip(new, self.pieces.encode_words(new), strict=True))
-        get = self.memo.__getitem__
-        out = [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in split]
-        # long words are not remembered: their number says nothing about their size
-        for w in new if len(self.memo) > self.most else [w for w in new if len(w) > LONG]:
-            del self.memo[w]
-        return out
-
-    @staticmethod
-    def _words(text: str) -> list[str | None]:
-        """Words, with None for a mark character of the text itself."""
-        if not text:
-            return []
-        whole, parts = marked(text)
-        if not parts:
-            return whole
-        out: list[str | None] = []
-        for i, part in enumerate(parts):
-            body = (MARK if not i else "") + part.replace(" ", MARK)
-            out += ([None] if i else []) + WORD.findall(body)
-        return out
+    def __init__(self, pieces: Pieces, most_words: int = 600_000):
+        self.pieces, self.known = pieces, WordRows(most_words)
+        self.mark = pieces.byte_ids[list(MARK.encode())]
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.known.row]
+        if new:
+            coded = self.pieces.encode_words(new)
+            self.known.append(new, np.fromiter(map(len, coded), np.int64, len(coded)) // 4, np.frombuffer(b"".join(coded), "<i4"))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, the number of each text's ids)."""
+        self.known.shrink()
+        plain = pc.invert(pc.match_substring_regex(column, f"^$|^ |  |{MARK}"))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        # a text without runs of blanks: every blank is the mark that leads the word behind it
+        words = pc.split_pattern(pc.if_else(plain, column, ""), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self._learn(distinct)
+        rows = self.known.rows(distinct)[coded.indices.to_numpy()]
+        total = np.concatenate(([0], np.cumsum(self.known.size[rows])))
+        sizes = np.diff(total[np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))])
+        ids = self.known.ids(rows)
+        if len(odd):
+            own = [self._odd(column[i].as_py()) for i in odd.tolist()]
+            parts, at, ends = [], 0, np.cumsum(sizes)
+            for i, x in zip(odd.tolist(), own, strict=True):
+                parts += [ids[at : ends[i] - sizes[i]], x]
+                at = ends[i]
+            ids = np.concatenate([*parts, ids[at:]])
+            sizes[odd] = [len(x) for x in own]
+        return ids, sizes
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Any text: a run of blanks leads its word; a mark of the text itself is no blank, and is written in bytes."""
+        out = []
+        for i, part in enumerate(text.split(MARK)):
+            words = WORD.findall(("" if i else MARK) + part.replace(" ", MARK)) if text else []
+            distinct = list(dict.fromkeys(words))
+            self._learn(distinct)
+            row = dict(zip(distinct, self.known.rows(distinct).tolist(), strict=True))
+            out += ([self.mark] if i else []) + [self.known.ids(np.array([row[w] for w in words], np.int64))]
+        return np.concatenate(out)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _strings(body: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body)))
 
 
 def encode(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col`` (array<int>): the pieces of the whole text; null and empty texts have none."""
+    """``docs`` with ``ids_col`` (array<int>): the pieces of the whole text; null and empty texts have none.
+
+    Each row stands for itself, whatever ids repeat or are null; a column named as
+    ``ids_col`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # one vocabulary, of fixed size
     plain = docs.drop(ids_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for part in steps(parts, text_col, 4 << 20):
-            ids = encoder([t.decode() for t in texts(part, text_col)])
-            ends = np.cumsum([0, *map(len, ids)])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        encoder = shared.value.encoder()
+        for part in steps(parts, text_col, STEP):
+            column = _lists(*encoder(pc.fill_null(part.column(text_col), "")))
             yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids_col])
 
     return plain.mapInArrow(run, plus(plain, f"`{ids_col}` array<int>"))
@@ -263,27 +322,33 @@ def decode(tokens: DataFrame, pieces: Pieces, *, ids_col: str = "ids", text_col:
     plain = tokens.drop(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        table: list[bytes] = [b""] * (max(max(own.surface), int(own.byte_ids.max())) + 1)
-        for i, s in own.surface.items():
-            table[i] = s.replace(MARK, " ").encode()
-        for i, b in own.byte_of.items():
-            table[i] = bytes([b])
-        take = table.__getitem__
         for part in parts:
-            column = part.column(ids_col)
-            out = []
-            for i in range(len(column)):
-                ids = column[i].values
-                body = b"".join(map(take, ids.to_pylist())) if ids is not None else b""
-                out.append(body[1:] if body[:1] == b" " else body)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary()).cast(pa.string())], names=[*part.schema.names, text_col])
+            for at in range(0, part.num_rows, 256):
+                some = part.slice(at, 256)
+                lists = some.column(ids_col)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                body = _strings(*shared.value.decode_all(lists.flatten().to_numpy(), sizes))
+                yield pa.RecordBatch.from_arrays([*some.columns, body], names=[*some.schema.names, text_col])
 
     return plain.mapInArrow(run, plus(plain, f"`{text_col}` string"))
 
 
 def round_trip(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_pieces, ids, decoded, exact) for every document: encoded, decoded and compared."""
-    coded = encode(docs.select(id_col, text_col), pieces, text_col=text_col)
-    back = decode(coded, pieces)
-    return back.select(id_col, F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded", (F.col("decoded") == F.coalesce(F.col(text_col), F.lit(""))).alias("exact"))
+    """(id_col, n_pieces, ids, decoded, exact) for every document: encoded, decoded and compared in one step.
+
+    A row for each row of ``docs``, in any case of ids; a null text counts as empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    plain = docs.select(id_col, text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for part in steps(parts, text_col, STEP):
+            column = pc.fill_null(part.column(text_col), "")
+            ids, sizes = own.encoder()(column)
+            decoded = _strings(*own.decode_all(ids, sizes))
+            columns = [part.column(id_col), pa.array(sizes, pa.int64()), _lists(ids, sizes), decoded, pc.equal(decoded, column)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_pieces", "ids", "decoded", "exact"])
+
+    schema = plus(plain.select(id_col), "n_pieces long, ids array<int>, decoded string, exact boolean")
+    return plain.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmerge.llm import pieces
@@ -36,23 +37,42 @@ def test_batched_search_is_viterbi(table, prose):
     assert [np.frombuffer(x, "<i4").tolist() for x in got] == [brute(table, w) for w in words]
 
 
-TEXTS = ["", "plain words", "  two  blanks ", "a▁b", "▁", "tab\tand\nline\r\n", "日本語 \U0001f600 é", "x" * 5000, " ", "a ▁ b", "\x00\x7f", "no end. ", "▁▁ ▁"]
+TEXTS = ["", "plain words", "  two  blanks ", "a▁b", "▁", "tab\tand\nline\r\n", "日本語 \U0001f600 é", "x" * 5000, " ", "a ▁ b", "\x00\x7f", "no end. ", "▁▁ ▁", "    if x:\n        return  [1,  2]"]
+
+
+def decoded(table, ids, sizes):
+    body, n = table.decode_all(ids, sizes)
+    ends = np.cumsum(n)
+    return [body[b - k : b].tobytes().decode() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
 @pytest.mark.parametrize("bound", [500_000, 1])
 def test_round_trip_is_exact(table, bound):
     coder = pieces.Encoder(table, most_words=bound)
     for batch in (TEXTS, random.Random(2).sample(TEXTS, 8)):
-        for text, ids in zip(batch, coder(batch), strict=True):
-            assert table.decode(ids.tolist()) == text
+        ids, sizes = coder(pa.array(batch))
+        assert decoded(table, ids, sizes) == batch
+    assert decoded(table, *coder(pa.array([], pa.string()))) == []
+
+
+def test_whole_texts_are_viterbi(table, prose):
+    """Runs of blanks, lines, leading and trailing blanks: cutting into words loses nothing."""
+    texts = [prose(k, 60) for k in range(5)] + ["  " + prose(9, 20).replace(" ", "  ") + "   ", prose(10, 30).replace(" ", "\n"), "a  b   c", "x = [1,  2,\n     3]", *(t for t in TEXTS if "▁" not in t)]
+    ids, sizes = pieces.Encoder(table)(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [ids[b - n : b].tolist() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)] == [brute(table, "▁" + t.replace(" ", "▁")) if t else [] for t in texts]
 
 
 def test_frame(docs_of, table):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(99, None), (0, "again"), (None, "no id")]
-    got = pieces.round_trip(docs_of(rows).selectExpr("*", "'x' AS ids", "1 AS decoded"), table).collect()
+    docs = docs_of(rows).selectExpr("*", "'x' AS ids", "1 AS decoded")
+    got = pieces.round_trip(docs, table).collect()
     assert len(got) == len(rows) and all(r.exact for r in got)
     assert {r.n_pieces for r in got if r.doc_id == 99} == {0}
     assert pieces.round_trip(docs_of([]), table).count() == 0
+    two = pieces.decode(pieces.encode(docs, table), table).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in two) == sorted((str(i), t or "") for i, t in rows)
+    assert sorted((str(r.doc_id), r.ids) for r in two) == sorted((str(r.doc_id), r.ids) for r in got)
 
 
 @pytest.mark.parametrize("block", [pieces.BLOCK, 37])
@@ -61,9 +81,3 @@ def test_long_words_are_searched_whole(table, prose, monkeypatch, block):
     monkeypatch.setattr(pieces, "BLOCK", block)
     words = ["x" * 65, "a\nb\t" * 400, prose(3, 300).replace(" ", "\n"), "https://example.org/" + prose(4, 60).replace(" ", "/"), "日本語😀x" * 50, "▁" * 200]
     assert [np.frombuffer(x, "<i4").tolist() for x in table.encode_words(words)] == [brute(table, w) for w in words]
-    coder = pieces.Encoder(table)
-    texts = [w for w in words if "▁" not in w] + [" " * 199]
-    got = coder(texts)
-    assert [x.tolist() for x in got] == [brute(table, "▁" + t.replace(" ", "▁")) for t in texts]
-    assert all(table.decode(x.tolist()) == t for x, t in zip(got, texts, strict=True))
-    assert all(len(w) <= pieces.LONG for w in coder.memo if w)
