@@ -8,7 +8,9 @@ only ever skip what cannot reach an item's threshold:
 1. the sum of the passage's term maxima against the lowest threshold,
 2. per block, the sum of block maxima (terms present in most blocks are bounded
    by their maximum and not opened) against the block's lowest threshold,
-3. the exact BM25 score of the surviving block's items against each threshold.
+3. the exact BM25 score of the items of each open block against their thresholds: the
+   passage's terms seek their postings of that block, postings of closed blocks are
+   never read.
 
 An item's threshold is the least score a passage can have that still passes the
 overlap check, so the retrieval loses nothing; the check itself asks for the
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmerge.llm.arrow import plus, steps, texts
 from quillmerge.sources.scratch import materialise
@@ -52,13 +55,13 @@ def shingles(words: list, width: int) -> list[tuple]:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: object
     words: list[bytes]
     question: set[tuple]
     answer: set[tuple]
 
 
-def as_item(item_id: int, text: bytes, answer: bytes | None, width: int) -> Item:
+def as_item(item_id: object, text: bytes, answer: bytes | None, width: int) -> Item:
     """Without an answer of its own, an item is one question, and its empty answer is always held."""
     words = words_of(text)
     if answer is not None:
@@ -71,7 +74,7 @@ class Index:
     """Inverted index of one shard of items with block maxima."""
 
     def __init__(self, items: list[Item], df: dict[bytes, int], n_items: int, mean_len: float, overlap: float, block: int = 4):
-        items = sorted(items, key=lambda x: (len(x.words), x.item_id))  # alike lengths share a block
+        items = sorted(items, key=lambda x: (len(x.words), x.words))  # alike lengths share a block
         self.items, self.block, self.overlap = items, block, overlap
         self.longest = max(len(x.words) for x in items)
         self.term = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
@@ -87,12 +90,14 @@ class Index:
         postings.sort()
         t, j, v = (np.array(x) for x in zip(*postings, strict=True))
         n_terms, self.n_blocks = len(self.term), -(-len(items) // block)
-        self.begin = np.searchsorted(t, np.arange(n_terms + 1))
         self.post_item, self.post_impact = j, v
-        self.term_max = np.maximum.reduceat(v, self.begin[:-1])
+        self.term_max = np.maximum.reduceat(v, np.searchsorted(t, np.arange(n_terms)))
         key = t * self.n_blocks + j // block
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.block_max, self.block_of = np.maximum.reduceat(v, first), (key[first] % self.n_blocks)
+        self.cell_key, self.cell_begin = key[first], np.append(first, len(key))  # postings of a term in a block
+        self.limits = np.append(self.threshold, np.full(self.n_blocks * block - len(items), np.inf)).reshape(-1, block)
+        self.opened = self.posted = 0  #: blocks opened and postings scored, by all searches
         self.block_begin = np.searchsorted(key[first] // self.n_blocks, np.arange(n_terms + 1))
         self.block_least = np.minimum.reduceat(self.threshold, np.arange(0, len(items), block))
         # a term of most blocks says little about any: bounded by its maximum, not opened
@@ -105,7 +110,7 @@ class Index:
         weight = np.concatenate(([0.0], np.cumsum(self.term_max[ids[known]])))
         alive = np.flatnonzero(weight[hi] - weight[lo] >= self.threshold.min() - 1e-6)
         out: list[tuple[int, int, float]] = []
-        some = max(1, min(2_000_000 // len(self.items), 400_000 // (2 * self.longest)))
+        some = max(1, min(2_000_000 // self.n_blocks, 400_000 // (2 * self.longest)))
         for i in range(0, len(alive), some):
             part = alive[i : i + some]
             # distinct terms of each window
@@ -118,17 +123,21 @@ class Index:
             cell = win[~common][own] * self.n_blocks + self.block_of[at]
             bound = np.bincount(cell, self.block_max[at], len(part) * self.n_blocks).reshape(len(part), -1) + floor[:, None]
             open_ = bound >= self.block_least - 1e-6
-            rows = open_.any(axis=1)
-            if not rows.any():
+            row, block = np.nonzero(open_)
+            if not len(row):
                 continue
-            # exact scores of the windows with an open block
-            take = rows[win]
-            own, at = _spread(self.begin[term[take]], self.begin[term[take] + 1])
-            place = np.cumsum(rows) - 1
-            cell = place[win[take][own]] * len(self.items) + self.post_item[at]
-            score = np.bincount(cell, self.post_impact[at], int(rows.sum()) * len(self.items)).reshape(-1, len(self.items))
-            for w, j in zip(*np.nonzero(score >= self.threshold), strict=True):
-                out.append((int(part[np.flatnonzero(rows)[w]]), int(j), float(score[w, j])))
+            # in each open block every term of the window seeks its postings
+            begin = np.searchsorted(win, np.arange(len(part) + 1))
+            cell, at = _spread(begin[row], begin[row + 1])
+            seek = term[at] * self.n_blocks + block[cell]
+            place = np.minimum(np.searchsorted(self.cell_key, seek), len(self.cell_key) - 1)
+            held = self.cell_key[place] == seek
+            own, at = _spread(self.cell_begin[place[held]], self.cell_begin[place[held] + 1])
+            slot = cell[held][own] * self.block + self.post_item[at] % self.block
+            score = np.bincount(slot, self.post_impact[at], len(row) * self.block).reshape(-1, self.block)
+            self.opened, self.posted = self.opened + len(row), self.posted + len(at)
+            for c, k in zip(*np.nonzero(score >= self.limits[block]), strict=True):
+                out.append((int(part[row[c]]), int(block[c] * self.block + k), float(score[c, k])))
         return out
 
     def leaks(self, split: list[list[bytes]], width: int) -> list[dict[int, tuple[float, float, float]]]:
@@ -168,7 +177,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str |
             rows = [as_item(0, t, (a or b"") if answer_col else None, width).words for t, a in zip(texts(part, "text"), texts(part, "answer"), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.binary()))], names=[*part.schema.names, "words"])
 
-    plain = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer")).distinct()
+    plain = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer")).distinct()
     return plain.mapInArrow(run, plus(plain, "words array<binary>"))
 
 
@@ -199,16 +208,18 @@ def find_leaks(
     whole item, and answer_overlap is 1.
     Repeated items count once; items without words and rows with a null text leak
     nothing; an empty benchmark gives an empty result.  Document ids that repeat
-    are judged row by row.  Items are read in shards of bounded size (one pass over
+    are judged row by row; a document without words leaks nothing, and other columns
+    play no part.  Items are read in shards of bounded size (one pass over
     the documents each); BM25 statistics are those of the whole benchmark.
     """
     items = materialise(_items(benchmark, item_col, item_text_col, answer_col, width).where(F.size("words") > 0), "items")
-    shape = docs.select(id_col, F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("question_overlap"), F.lit(0.0).alias("answer_overlap")).schema
+    shape = docs.select(id_col, F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("question_overlap"), F.lit(0.0).alias("answer_overlap")).schema
     n_items, mean_len = items.agg(F.count("*"), F.avg(F.size("words"))).first()
     if not n_items:
         return docs.sparkSession.createDataFrame([], shape)
     df = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     shards = _shards(items)
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(len(shards))))
     plain, found = docs.select(id_col, text_col), None
     for shard in shards:
@@ -228,10 +239,13 @@ def find_leaks(
                 rows = [(doc[k], own.items[j].item_id, *v) for k, found in enumerate(own.leaks(split, width)) for j, v in found.items()]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    kinds = [part.schema.field(id_col).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                    kinds = [part.schema.field(id_col).type, item_type, pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=shape.names)
 
         out = plain.mapInArrow(run, shape)
+        if len(shards) > 1:  # one index at a time
+            out = materialise(out, "leaks")
+            index.destroy()
         found = out if found is None else found.unionByName(out)
     return found
 
