@@ -98,17 +98,24 @@ def _batch_keys(id_col: str, text_col: str, batches: int, min_chars: int):
     return run
 
 
-def _doc_keys(id_col: str, text_col: str, min_chars: int):
+def _text_keys(text_col: str, min_chars: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(parts, text_col):
             keys = [sorted({line_key(x, min_chars) for x in t.split(b"\n")} - {None}) for t in texts(part, text_col)]
-            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(keys, pa.list_(pa.binary()))], names=["doc", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(keys, pa.list_(pa.binary()))], names=["h", "keys"])
 
     return run
 
 
-def _dropper(text_col: str, min_chars: int, hot_of):
-    """hot_of(batch): for each row the set of keys to drop."""
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
+def _dropper(text_col: str, min_chars: int, hot_of, surplus: str | None = None):
+    """hot_of(batch): for each row the set of keys to drop; the column ``surplus`` goes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(parts, text_col):
@@ -120,7 +127,7 @@ def _dropper(text_col: str, min_chars: int, hot_of):
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
             out = with_columns(part, {text_col: pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
-            yield out.drop_columns(["hot_keys"]) if "hot_keys" in out.schema.names else out
+            yield out.drop_columns([surplus]) if surplus else out
 
     return run
 
@@ -146,7 +153,7 @@ def drop_frequent_lines(
 
     The frequent keys are counted first.  Up to ``broadcast_keys`` of them (16
     bytes each) go to the tasks and no text is shuffled; beyond that they are
-    joined to the documents by key and id.
+    joined to the distinct texts by key, and these to the documents.
     """
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, fanout)
@@ -163,12 +170,15 @@ def drop_frequent_lines(
     if frequent.count() <= broadcast_keys:
         hot = spark.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in frequent.toLocalIterator()))
         return clean.mapInArrow(_dropper(text_col, min_chars, lambda part: [hot.value] * part.num_rows), schema)
-    pairs = plain.mapInArrow(_doc_keys("id", "body", min_chars), plain.select(F.col("id").alias("doc"), F.lit(None).cast("array<binary>").alias("keys")).schema)
+    # texts are told apart by hash: whichever text a key comes from, it is frequent
+    hash_col, hot_col = _free("text_hash", clean.columns), _free("hot_keys", clean.columns)
+    texts_ = plain.select(F.xxhash64(F.coalesce("body", F.lit(""))).alias("h"), "body")
+    pairs = texts_.mapInArrow(_text_keys("body", min_chars), "h long, keys array<binary>").groupBy("h").agg(F.first("keys").alias("keys"))
     hot_of = (
-        pairs.select("doc", F.explode("keys").alias("key"))
+        pairs.select("h", F.explode("keys").alias("key"))
         .join(frequent.distinct(), "key", "left_semi")
-        .groupBy("doc")
-        .agg(F.collect_set("key").alias("hot_keys"))
+        .groupBy(F.col("h").alias(hash_col))
+        .agg(F.collect_set("key").alias(hot_col))
     )
-    joined = clean.join(hot_of, clean[id_col].eqNullSafe(hot_of["doc"]), "left").drop("doc")
-    return joined.mapInArrow(_dropper(text_col, min_chars, lambda part: [frozenset(x or ()) for x in part.column("hot_keys").to_pylist()]), schema)
+    joined = clean.withColumn(hash_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(hot_of, hash_col, "left").drop(hash_col)
+    return joined.mapInArrow(_dropper(text_col, min_chars, lambda part: [frozenset(x or ()) for x in part.column(hot_col).to_pylist()], hot_col), schema)

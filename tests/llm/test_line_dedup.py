@@ -27,8 +27,9 @@ def brute(rows, min_docs, min_chars):
 def test_drops_what_the_definition_says(docs_of, prose, broadcast, min_chars):
     rows = [(k, f"{prose(k, 3)}\n {'Licence ONE' if k % 2 else 'licence one'}\t\nÉtat\n\n{prose(k % 3, 2)}") for k in range(30)]
     rows += [(5, "again\nlicence one"), (None, "Licence one\nkeep"), (40, None), (41, ""), (42, "\n"), (43, "x" * 50_000 + "\nlicence one\nlicence one")]
-    docs = docs_of(rows).selectExpr("*", "1 AS n_lines", "'k' AS keys")
+    docs = docs_of(rows).selectExpr("*", "1 AS n_lines", "'k' AS keys", "'d' AS doc", "'h' AS hot_keys", "2 AS text_hash", "3 AS key")
     got = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=min_chars, broadcast_keys=broadcast).collect()
+    assert {(r.keys, r.doc, r.hot_keys, r.text_hash, r.key) for r in got} == {("k", "d", "h", 2, 3)}
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=repr) == brute(rows, 10, min_chars)
 
 
