@@ -12,6 +12,7 @@ distinct word's gate inputs are computed once.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 from quillmerge.llm.arrow import plus, steps, texts
 
 
+#: Longest word, and the hop between the parts of a longer one.
+PART, HOP = 24, 16
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes and bounds of the model; the training sample is the only bounded input."""
 
     window: int = 40  #: words in a window
-    stride: int = 28  #: words between window starts
+    stride: int = 20  #: words between window starts: half a window, so that a run of 20 words lies whole in one
     dim: int = 12  #: width of word and character embeddings
     hidden: int = 8  #: GRU width in each direction
     attention: int = 4  #: width of the attention layer
@@ -38,8 +43,9 @@ class Settings:
     head_buckets: int = 1 << 17
     head_bytes: int = 12  #: longest word start that is told apart
     char_buckets: int = 1 << 12
-    char_bytes: int = 24  #: bytes of a word that the character input sees
+    char_bytes: int = PART  #: bytes that the character input takes; a longer word enters as overlapping parts of so many
     sample_docs: int = 1200  #: labelled documents of each class that training uses at most
+    sample_doc_bytes: int = 1 << 16  #: a longer labelled document isn't learnt from
     windows_per_doc: int = 3
     epochs: int = 4
     batch: int = 96
@@ -57,9 +63,18 @@ FOLDS = 4
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
+#: Spaces, punctuation and symbols beyond ASCII, which separate words too.
+MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u1680\u2000-\u200a\u2010-\u205f\u2190-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def words_of(text: bytes) -> list[bytes]:
-    """Words in lower case, also beyond ASCII."""
-    return (text if text.isascii() else text.decode().lower().encode()).translate(FOLD).split()
+    """Words in lower case, also beyond ASCII; one of over PART bytes as its parts, each overlapping the next."""
+    if not text.isascii():
+        text = MARKS.sub(" ", text.decode().lower()).encode()
+    words = text.translate(FOLD).split()
+    if max(map(len, words), default=0) <= PART:
+        return words
+    return [w[i : i + PART] for w in words for i in range(0, max(1, len(w) - PART + HOP), HOP)]
 
 
 def window_starts(n: int, s: Settings) -> np.ndarray:
@@ -424,8 +439,9 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``s.sample_docs`` documents of each class, the ones of smallest id hash.
 
-    Held-out documents, rows with a null label and labels without a document teach
-    nothing; a null text counts as empty.  The sample is chosen by ids alone and only
+    Held-out documents, rows with a null label, labels without a document and texts of
+    over ``s.sample_doc_bytes`` teach nothing; a null text counts as empty, each of
+    several rows with one id is learnt from.  The sample is chosen by ids alone and only
     its texts are read.
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).where(~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -434,13 +450,19 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, id_col: str = "doc_i
     if not chosen:
         return train([], s)
     sample = docs.sparkSession.createDataFrame([(r["id"], r["y"], r["h"]) for r in chosen], there.schema)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")  # bounded by sample_docs
+    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= s.sample_doc_bytes)
+    found = short.join(F.broadcast(sample), "id")  # bounded by sample_docs and sample_doc_bytes
     rows = sorted(found.collect(), key=lambda r: (r["h"], r["id"], r["t"] or ""))
     return train([((r["t"] or "").encode(), r["y"]) for r in rows], s)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with ``out_col`` (double, 0 to 1) over the whole text; every row is scored, empty texts too."""
+    """``docs`` with ``out_col`` (double, 0 to 1) over the whole text.
+
+    Every row is scored by its own text alone, whatever ids repeat or are null; a null
+    text counts as empty, equal texts have equal scores, and a column named as
+    ``out_col`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by Settings
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

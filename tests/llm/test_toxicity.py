@@ -88,3 +88,21 @@ def test_frames(spark, docs_of, prose):
     untrained = toxicity.fit(docs, labels.where("toxic = 0"), SMALL)
     assert {r.score < 0.5 for r in toxicity.score(docs.select("doc_id", "text"), untrained).collect()} == {True}
     assert toxicity.score(docs_of([]).select("doc_id", "text"), model).count() == 0
+
+
+def test_long_words_are_seen_whole():
+    """Words that share 24 bytes differ, a text without blanks is scored to its end, other marks part words too."""
+    a, b = (toxicity.words_of(("x" * 24 + tail).encode()) for tail in ("kind", "vile"))
+    assert a != b and all(len(w) <= toxicity.PART for w in a + b)
+    long = "".join(f"{k:05d}" for k in range(200))
+    parts = toxicity.words_of(long.encode())
+    assert long.encode() == b"".join(w[: toxicity.HOP] for w in parts[:-1]) + parts[-1]
+    assert toxicity.words_of("One\u2014two\u3000three\u2026four\u00a0\u00bfcinco?".encode()) == [b"one", b"two", b"three", b"four", b"cinco"]
+    assert toxicity.words_of("na\u00efve e\u0301t\u00e9".encode()) == ["na\u00efve".encode(), "e\u0301t\u00e9".encode()]
+
+
+def test_any_run_of_half_a_window_lies_in_one():
+    s = toxicity.Settings()
+    for n in (40, 41, 59, 60, 61, 333):
+        starts = toxicity.window_starts(n, s)
+        assert all(any(i <= k and k + s.window // 2 <= i + s.window for i in starts.tolist()) for k in range(n - s.window // 2 + 1))
