@@ -3,33 +3,43 @@
 The alternating large-star / small-star scheme: every round re-hangs neighbours
 on the smallest label seen so far, so a component shrinks to a star around its
 smallest node in a logarithmic number of rounds even for long chains.  Each step
-is a ``min`` aggregate (map-side combined, so a hub with a third of all edges is
-fine) and an equi join back on the node, which AQE may split when skewed.
+gives every edge the smallest label of its node.  A hub, with over a ten-thousandth
+of all edges, is labelled by a map-side combined ``min`` and a broadcast (there are
+at most ten thousand hubs); the edges of any other node are few and meet in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmerge.sources.scratch import materialise
 
+#: Hubs of one step at most; and edges that a node has at least to be one.
+HUBS, HUB_EDGES = 10_000, 64
 
-def _with_min(pairs: DataFrame) -> DataFrame:
-    """(u, v) with m = the smallest of u and all v that share u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
 
+def _with_min(pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """(u, v) with m = the smallest of u and all v that share u; ``n_pairs``: rows of ``pairs`` at most."""
+    most = max(HUB_EDGES, n_pairs // HUBS)
+    label = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
+    hubs = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where(F.col("n") > most)
+    hubs = materialise(hubs.select("u", F.least("u", "m").alias("m")), "hubs")
+    if hubs.isEmpty():
+        return pairs.withColumn("m", label)
+    hubs = F.broadcast(hubs)  # fewer than HUBS rows
+    rest = pairs.join(hubs.select("u"), "u", "left_anti")
+    return rest.withColumn("m", label).unionByName(pairs.join(hubs, "u"))
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _with_min(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _with_min(down)
+    hung = _with_min(down, n)
     own = hung.select("u", F.col("m").alias("v"))
     rest = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return own.unionByName(rest).distinct()
@@ -54,7 +64,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = materialise(now, "edges")
     mark = _mark(now)
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+        large = materialise(_large_star(now, mark[0]), "edges")
+        now = materialise(_small_star(large, 2 * mark[0]), "edges")
         new = _mark(now)
         if new == mark:
             break

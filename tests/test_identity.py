@@ -99,3 +99,11 @@ def test_numbering_is_dense_and_independent_of_order(spark):
         df = spark.createDataFrame(rows, "root string, email string, phone string, full_name string, ref string").repartition(n)
         ids.append({r.root: r.person_id for r in golden.numbered(df).collect()})
     assert ids[0] == ids[1] and sorted(ids[0].values()) == list(range(1, 51))
+
+
+def test_hubs_and_chains_fall_together(spark):
+    """A hub with most edges, a chain and a pair: one component each, by the smallest node."""
+    edges = [(5_000, k) for k in range(5_001, 6_500)] + [(k, 5_000) for k in range(4_000, 4_900)] + [(k, k + 1) for k in range(100, 300)] + [(1, 2), (2, 2), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = {k: 4_000 for k in [*range(4_000, 4_900), 5_000, *range(5_001, 6_500)]} | {k: 100 for k in range(100, 301)} | {1: 1, 2: 1}
+    assert got == want
