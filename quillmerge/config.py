@@ -79,9 +79,13 @@ FALSY = ("n", "no", "false", "0", "f")
 
 SOURCE_PRIORITY = ("naukri", "cbnexus", "gig", "audio_app")
 
-MONTHS = {m: i + 1 for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTHS = {spelt: i for i, m in enumerate(MONTH_NAMES, 1) for spelt in (m, m[:3])}
 EMAIL_ALIAS_PREFIXES = ("alt.", "alt_", "new.", "dup.")
-RESERVED_DOMAINS = ("example.com", "example.org", "example.net")
+#: A whole domain, or a suffix where it starts with a dot.
+RESERVED_DOMAINS = ("example.com", "example.org", "example.net", "example.in", ".example", ".test", ".invalid", ".localhost")
+OUTLIER_FACTOR = 3.0
+PROJECTS_TRUST = 10
 
 TAG_CATEGORIES = ("automation-heavy", "web-dev", "data", "backend-api", "qa-automation", "generalist")
 STUB_WEIGHTS = {

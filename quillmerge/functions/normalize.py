@@ -8,6 +8,8 @@ null, with a problem.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def problems(*checks: tuple[Column, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), p) for c, p in checks]), lambda p: p.isNotNull())
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` computed once, however often ``of`` names it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def number(text: Column) -> Column:
     """Finite decimal text as double; anything else null."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
@@ -118,32 +125,39 @@ def city(raw: Column, field: str = "city") -> Column:
 
 def date(raw: Column, field: str = "applied_date", ingest: str = config.INGEST_DATE) -> Column:
     """struct(value date, ambiguous, future, problems); dashes put the day first, slashes the month."""
-    s = squash(raw)
     iso = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
-    two = r"^([0-9]{1,2})([-/])([0-9]{1,2})[-/]([0-9]{4})$"
+    two = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})$"
     word = r"^([0-9]{1,2})[ -]([A-Za-z]+)[ -]([0-9]{4})$"
-    part = lambda pattern, i: F.regexp_extract(s, pattern, i).try_cast("int")
-    a, b, dash = part(two, 1), part(two, 3), F.regexp_extract(s, two, 2) == "-"
-    day_first = (a > 12) | ((b <= 12) & dash)
-    unclear = s.rlike(two) & (a <= 12) & (b <= 12) & (a != b)
-    month = looked_up({k: str(v) for k, v in config.MONTHS.items()}, F.lower(F.substring(F.regexp_extract(s, word, 2), 1, 3))).cast("int")
-    known_month = ~s.rlike(word) | (month.isNotNull())
-    year = F.when(s.rlike(iso), part(iso, 1)).when(s.rlike(two), part(two, 4)).when(s.rlike(word), part(word, 3))
-    mon = F.when(s.rlike(iso), part(iso, 2)).when(s.rlike(two), F.when(day_first, b).otherwise(a)).when(s.rlike(word), month)
-    day = F.when(s.rlike(iso), part(iso, 3)).when(s.rlike(two), F.when(day_first, a).otherwise(b)).when(s.rlike(word), part(word, 1))
-    shape = s.rlike(iso) | s.rlike(two) | s.rlike(word)
-    value = F.try_to_date(F.format_string("%04d-%02d-%02d", year, mon, day), "yyyy-MM-dd")
-    value = F.when(shape & known_month, value)
-    future = F.coalesce(value > F.lit(ingest).cast("date"), F.lit(False))
-    found = problems(
-        (s == "", problem("missing_value", "W", field, raw)),
-        ((s != "") & (~shape | ~known_month), problem("invalid_format", "E", field, raw)),
-        (shape & known_month & value.isNull(), problem("invalid_value", "E", field, raw)),
-        (value.isNotNull() & ~s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), problem("inconsistent_format", "I", field, raw)),
-        (value.isNotNull() & unclear, problem("ambiguous_date", "W", field, raw)),
-        (future, problem("future_date", "W", field, raw)),
-    )
-    return F.struct(value.alias("value"), F.coalesce(value.isNotNull() & unclear, F.lit(False)).alias("ambiguous"), future.alias("future"), found.alias("problems"))
+
+    def read(s: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(s, pattern, i).try_cast("int")
+        a, b = part(two, 1), part(two, 3)
+        day_first = (a > 12) | ((b <= 12) & (F.regexp_extract(s, two, 2) == "-"))
+        month = looked_up({k: str(v) for k, v in config.MONTHS.items()}, F.lower(F.regexp_extract(s, word, 2))).cast("int")
+        ymd = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+        shape = F.when(s.rlike(iso), "iso").when(s.rlike(two), "two").when(s.rlike(word) & month.isNotNull(), "word")
+        value = (
+            F.when(shape == "iso", ymd(part(iso, 1), part(iso, 2), part(iso, 3)))
+            .when(shape == "two", ymd(part(two, 4), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b)))
+            .when(shape == "word", ymd(part(word, 3), month, part(word, 1)))
+        )
+        unclear = (shape == "two") & (a <= 12) & (b <= 12) & (a != b)
+        return F.struct(s.alias("s"), shape.isNotNull().alias("shape"), value.alias("value"), F.coalesce(unclear, F.lit(False)).alias("unclear"))
+
+    def judged(r: Column) -> Column:
+        s, value, there = r["s"], r["value"], r["value"].isNotNull()
+        future = F.coalesce(value > F.lit(ingest).cast("date"), F.lit(False))
+        found = problems(
+            (s == "", problem("missing_value", "W", field, raw)),
+            ((s != "") & ~r["shape"], problem("invalid_format", "E", field, raw)),
+            (r["shape"] & ~there, problem("invalid_value", "E", field, raw)),
+            (there & ~s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), problem("inconsistent_format", "I", field, raw)),
+            (there & r["unclear"], problem("ambiguous_date", "W", field, raw)),
+            (future, problem("future_date", "W", field, raw)),
+        )
+        return F.struct(value.alias("value"), (there & r["unclear"]).alias("ambiguous"), future.alias("future"), found.alias("problems"))
+
+    return once(once(squash(raw), read), judged)
 
 
 def ctc(raw: Column, field: str = "ctc_annual_inr") -> Column:

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+ZERO_WIDTH = "\u200b\ufeff"
+
+
+@cache
+def compatibility() -> tuple[str, str]:
+    """Characters whose compatibility form (NFKC) is one ASCII character, and these: full-width, super- and subscript, circled."""
+    pairs = [(chr(c), n) for c in range(128, 0x10000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def squash(raw: Column) -> Column:
-    """Null as empty, zero-width marks dropped, runs of white space to one blank, trimmed."""
-    clean = F.translate(F.coalesce(raw, F.lit("")), "​﻿", "")
+    """Null as empty, compatibility forms of ASCII characters as these, zero-width marks dropped, runs of white space to one blank, trimmed."""
+    forms, plain = compatibility()
+    clean = F.translate(F.coalesce(raw, F.lit("")), forms + ZERO_WIDTH, plain)  # what has no counterpart goes
     return F.trim(F.regexp_replace(clean, r"(?U)\s+", " "))
 
 
+def sorted_json(values: Column) -> Column:
+    """A map as JSON, keys in order, nulls kept."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))), {"ignoreNullFields": "false"})
+
+
 def is_blank(raw: Column) -> Column:
     return squash(raw) == ""
 

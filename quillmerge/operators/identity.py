@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge.operators.components import connected_components
@@ -90,12 +90,17 @@ def homonyms(resolved: DataFrame) -> DataFrame:
     return named.groupBy("name_key").agg(F.countDistinct("root").alias("people"), F.array_join(F.array_sort(F.collect_set("city")), ", ").alias("cities")).where("people > 1")
 
 
-def duplicates_within_source(records: DataFrame, keys: tuple[str, ...] = ("email", "phone")) -> DataFrame:
-    """(source, field, value, row_number, first_row): later rows of one file that repeat a key."""
+def duplicates_within_source(records: DataFrame, keys: tuple[str, ...] = ("email", "phone"), carry: str | None = None) -> DataFrame:
+    """(source, field, value, row_number, first_row): later rows of one source that repeat a key.
+
+    With ``carry``, also that column of the row and of the first one.
+    """
     out = None
     for key in keys:
-        w = Window.partitionBy("source", key).orderBy("row_number")
-        one = records.where(F.col(key).isNotNull()).select("source", F.lit(key).alias("field"), F.col(key).alias("value"), "row_number", F.first("row_number").over(w).alias("first_row")).where("row_number > first_row")
+        there = records.where(F.col(key).isNotNull()).select("source", F.col(key).alias("value"), "row_number", *([F.col(carry).alias("own")] if carry else []))
+        first = there.groupBy("source", "value").agg(F.min(F.struct("row_number", *(["own"] if carry else []))).alias("f"), F.count("*").alias("n")).where("n > 1")
+        one = there.join(first, ["source", "value"]).where("row_number > f.row_number")
+        one = one.select("source", F.lit(key).alias("field"), "value", "row_number", F.col("f.row_number").alias("first_row"), *([F.col("own").alias(carry), F.col("f.own").alias(f"first_{carry}")] if carry else []))
         out = one if out is None else out.unionByName(one)
     return out
 

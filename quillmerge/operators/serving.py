@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmerge import config
 from quillmerge.functions import normalize as N
-from quillmerge.functions.text import squash
+from quillmerge.operators import audit
 
 #: Column names that an incoming file may use for each field.
 ALIASES = {
@@ -63,12 +63,54 @@ def check_summary(verdicts: DataFrame) -> DataFrame:
 
 def digest(verdicts: DataFrame, most: int = 5) -> DataFrame:
     """The alert's text for each verdict but ``new``: the first ids, and how many more."""
-    ranked = verdicts.where("verdict <> 'new'").withColumn("rn", F.row_number().over(Window.partitionBy("verdict").orderBy("row_id")))
-    told = ranked.groupBy("verdict").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.col("row_id")))).alias("first"))
+    told = verdicts.where("verdict <> 'new'")
+    counts = told.groupBy("verdict").agg(F.count("*").alias("n"))
+    rn = F.row_number().over(Window.partitionBy("verdict").orderBy("row_id"))
+    first = told.select("verdict", "row_id", rn.alias("rn")).where(F.col("rn") <= most)  # each task hands on its own first few
+    told = counts.join(first.groupBy("verdict").agg(F.array_sort(F.collect_list("row_id")).alias("first")), "verdict")
     more = F.when(F.col("n") > most, F.format_string(", +%d more", F.col("n") - most)).otherwise("")
     return told.select("verdict", F.concat(F.array_join("first", ", "), more).alias("line"))
 
 
+#: Rows that one request may bring.
+MOST_ROWS = 1000
+
+
+def request_rows(body: Column) -> Column:
+    """struct(rows array<map<string, string>>, error) of a request's JSON text.
+
+    It must be a list of at most MOST_ROWS rows; a row that is no object is an empty
+    one, so that every row has its verdict.
+    """
+    rows = F.from_json(body, "array<string>")
+    is_list = F.trim(body).startswith("[") & rows.isNotNull()
+    error = F.when(~F.coalesce(is_list, F.lit(False)), "not_a_list").when(F.size(rows) > MOST_ROWS, "too_many_rows")
+    empty = F.create_map().cast("map<string, string>")
+    each = F.transform(rows, lambda r: F.when(F.trim(r).startswith("{"), F.coalesce(F.from_json(r, "map<string, string>"), empty)).otherwise(empty))
+    return F.struct(F.when(error.isNull(), each).alias("rows"), error.alias("error"))
+
+
+def warnings(rows: DataFrame) -> DataFrame:
+    """(row_id, warning) of incoming rows: keys that were given and can't be read, and addresses that nothing reaches."""
+    email, phone = N.email(F.col("in_email")), N.phone(F.col("in_phone"))
+    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    found = F.array(
+        F.when(given("in_email") & email["value"].isNull(), "unreadable_email"),
+        F.when(given("in_phone") & phone["value"].isNull(), "unreadable_phone"),
+        F.when(audit.is_reserved(email["domain"]), "undeliverable_email"),
+    )
+    return rows.select("row_id", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("warning"))
+
+
+#: Longest reason and longest summary that are stored.
+REASON_CHARS, SUMMARY_CHARS = 500, 300
+
+
+def cut(text: Column, most: int = REASON_CHARS) -> Column:
+    """At most so many characters of a stored remark."""
+    return F.substring(text, 1, most)
+
+
 # ---------------------------------------------------------------- tags
 
 
@@ -80,6 +122,19 @@ def untagged(people: DataFrame, skills: DataFrame, tags: DataFrame, limit: int =
     return waiting.select("person_key", "full_name").orderBy("person_key").limit(max(1, min(200, limit)))
 
 
+def waiting(people: DataFrame, skills: DataFrame, tags: DataFrame) -> DataFrame:
+    """(remaining): how many people wait in the queue."""
+    keyed = people.withColumn("person_key", F.coalesce("email", "phone")).where("person_key is not null")
+    return keyed.join(skills.select("root").distinct(), "root", "left_semi").join(tags, "person_key", "left_anti").agg(F.count("*").alias("remaining"))
+
+
+def person_error(asked: DataFrame, people: DataFrame, key: str = "root") -> DataFrame:
+    """``asked`` with person_key and person_error: unknown_person, or no_key for one without e-mail and phone."""
+    known = people.groupBy(key).agg(F.min(F.coalesce("email", "phone")).alias("person_key"), F.lit(True).alias("_there"))
+    joined = asked.drop("person_key").join(known, key, "left")
+    return joined.withColumn("person_error", F.when(F.col("_there").isNull(), "unknown_person").when(F.col("person_key").isNull(), "no_key")).drop("_there")
+
+
 def checked_tag(category: Column, confidence: Column) -> Column:
     """struct(category, confidence, error): trimmed and lower-cased, in the vocabulary; a confidence empty or from 0 to 1."""
     c = F.lower(F.trim(F.coalesce(category, F.lit(""))))
@@ -95,6 +150,13 @@ def upserted(tags: DataFrame, key: str, *order: str) -> DataFrame:
     return tags.groupBy(key).agg(F.max(F.struct(*order, *[c for c in cols if c not in order])).alias("last")).select(key, *[F.col(f"last.{c}").alias(c) for c in cols])
 
 
+def category_summary(tags: DataFrame) -> DataFrame:
+    """(category, n, mean_confidence): the mean of the confidences, kept to four places, rounded half up to three in whole numbers."""
+    whole = F.sum(F.round(F.col("confidence") * 10_000).cast("long"))
+    counts = tags.groupBy("category").agg(F.count("*").alias("n"), F.count("confidence").alias("k"), whole.alias("total"))
+    return counts.select("category", "n", F.when(F.col("k") > 0, F.expr("(2 * total + 10 * k) div (20 * k)") / 1000.0).alias("mean_confidence"))
+
+
 def stub_tags(skills: DataFrame) -> DataFrame:
     """(root, category, confidence) from weights of (root, skill): a tie and no weight at all are generalists."""
     rows = [(c, s, w) for c, ws in config.STUB_WEIGHTS.items() for s, w in ws.items()]
@@ -139,11 +201,47 @@ def resolution(rows: DataFrame, people: DataFrame) -> DataFrame:
     return joined.select("row_id", F.when(F.col("there"), "matched_existing").when(F.col("phone").isNotNull(), "created_contact").otherwise("unlinked").alias("outcome"))
 
 
+def new_contacts(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """(contact_id, full_name, phone, phone_raw, city) of the rows (row_id, in_name, in_phone, in_city) whose readable phone nobody has.
+
+    Of several rows with one phone the first counts.
+    """
+    made = rows.join(resolution(rows, people).where("outcome = 'created_contact'").select("row_id"), "row_id", "left_semi")
+    keyed = made.withColumn("phone", N.phone(F.col("in_phone"))["value"])
+    first = keyed.groupBy("phone").agg(F.min(F.struct("row_id", "in_name", "in_phone", "in_city")).alias("r"))
+    return first.select(F.col("r.row_id").alias("contact_id"), F.col("r.in_name").alias("full_name"), "phone", F.col("r.in_phone").alias("phone_raw"), F.col("r.in_city").alias("city"))
+
+
+def tagged_people(people: DataFrame, tags: DataFrame) -> DataFrame:
+    """(root, person_key, tagged): people by their e-mail, else their phone, with whether a tag has that key."""
+    folk = people.select("root", F.coalesce("email", "phone").alias("person_key"))
+    there = tags.select("person_key").distinct().withColumn("_t", F.lit(True))
+    return folk.join(there, "person_key", "left").select("root", "person_key", F.coalesce("_t", F.lit(False)).alias("tagged"))
+
+
+def by_phone(rows: DataFrame, people: DataFrame, raw: str = "phone") -> DataFrame:
+    """``rows`` with the normalised phone and the person who has it."""
+    folk = people.where("phone is not null").groupBy("phone").agg(F.min("root").alias("person"))
+    return rows.withColumn("phone", N.phone(F.col(raw))["value"]).join(folk, "phone", "left")
+
+
+#: Endings of file names that may be sent in, and bytes of a file.
+EXTENSIONS = ("wav", "mp3", "m4a", "aac", "ogg", "oga", "opus", "webm", "flac", "mp4", "3gp")
+MOST_BYTES = 25 << 20
+
+
+def upload_error(name: Column, size: Column, most: int = MOST_BYTES, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
+    """Why a sent file is refused, null if it is not."""
+    ending = F.lower(F.substring_index(name, ".", -1))
+    return (
+        F.when(~(name.contains(".") & ending.isin(*extensions)), "extension")
+        .when(size == 0, "empty")
+        .when(size > most, "too_large")
+        .when(~name.rlike("^[A-Za-z0-9._-]+$"), "unsafe_name")
+    )
+
+
 def with_skill_list(people: DataFrame, skills: DataFrame) -> DataFrame:
     """People with their skills as one sorted list."""
     listed = skills.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("skill")), ", ").alias("skills"))
     return people.join(listed, "root", "left")
-
-
-def squashed(c: str) -> Column:
-    return squash(F.col(c))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmerge.functions import normalize as N
-from quillmerge.functions.text import squash
-from quillmerge.operators import audit, golden, identity, issues, structural
+from quillmerge.functions.text import is_blank, sorted_json, squash
+from quillmerge.operators import audit, golden, identity, issues, serving, structural
 from quillmerge.plans import oracles as O
 from quillmerge.sources import messy
-from quillmerge.sources.records import all_records
+from quillmerge.sources.records import SPECS, all_records
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def people(spark, sf_dir):
 
 @query(f"{O.CTES} SELECT row_number AS id, {O.sq('full_name')} AS squashed, {O.sq('full_name')} = '' AS blank FROM applicants")
 def norm_squash(spark, sf_dir):
-    return raw(spark, sf_dir, "applicants").select(F.col("row_number").alias("id"), squash(F.col("full_name")).alias("squashed"), (squash(F.col("full_name")) == "").alias("blank"))
+    return raw(spark, sf_dir, "applicants").select(F.col("row_number").alias("id"), squash(F.col("full_name")).alias("squashed"), is_blank(F.col("full_name")).alias("blank"))
 
 
 def _categories(problems):
@@ -95,12 +95,14 @@ def norm_city(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE o_orderdate END AS DATE) AS value,
-    CASE WHEN o_orderkey % 40 <> 0 AND o_orderkey % 4 IN (1, 2) AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN true ELSE false END AS ambiguous FROM orders"""
+    """SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 40 IN (0, 17, 18) THEN NULL ELSE o_orderdate END AS DATE) AS value,
+    CASE WHEN o_orderkey % 40 NOT IN (0, 17, 18) AND o_orderkey % 4 IN (1, 2) AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN true ELSE false END AS ambiguous FROM orders"""
 )
 def norm_date(spark, sf_dir):
     o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate")
-    spelt = F.when(F.col("o_orderkey") % 40 == 0, "2026-02-31").when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "dd-MM-yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "d MMM yyyy"))
+    spelt = F.when(F.col("o_orderkey") % 40 == 0, "2026-02-31").when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "dd-MM-yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(d, "MM/dd/yyyy")).when(F.col("o_orderkey") % 8 == 3, F.date_format(d, "d MMMM yyyy")).otherwise(F.date_format(d, "d MMM yyyy"))
+    cut = F.col("o_orderkey") % 40  # neither mixed separators nor a cut month name is a date
+    spelt = F.when(cut == 17, F.date_format(d, "dd-MM/yyyy")).when(cut == 18, F.concat(F.date_format(d, "d "), F.lit("Februa 2026"))).otherwise(spelt)
     return o.select(F.col("o_orderkey").alias("id"), N.date(spelt).alias("n")).select("id", "n.value", "n.ambiguous")
 
 
@@ -204,17 +206,28 @@ def usable_rows(spark, sf_dir):
     return all_records(spark, sf_dir).where("usable").select("uid")
 
 
-@query(f"{O.HEAD} SELECT uid, replace(replace(CAST(json_object('source', source, 'n', row_number) AS VARCHAR), ' ', ''), ',', ', ') AS ref FROM recs")
+@query(f"""{O.CTES} SELECT source || ':' || row_number AS uid, CAST(json_object('city', city, 'email', email, 'full_name', full_name || ' "' || row_number || '"', 'rate', rate, 'skills', skills, 'status', status) AS VARCHAR) AS raw FROM workers""")
 def source_records(spark, sf_dir):
-    return all_records(spark, sf_dir).select("uid", F.format_string('{"source":"%s", "n":%d}', "source", "row_number").alias("ref"))
+    w = raw(spark, sf_dir, "workers").withColumn("full_name", F.concat("full_name", F.lit(' "'), F.col("row_number").cast("string"), F.lit('"')))
+    return SPECS["workers"].records(w).select("uid", sorted_json(F.col("raw")).alias("raw"))
+
+
+@query(f"{O.FULL} SELECT r.uid, p.person_id FROM members r JOIN numbered p ON r.root = p.root")
+def record_person(spark, sf_dir):
+    """Every source record with the number of its person."""
+    rows = members(spark, sf_dir)
+    folk = golden.numbered(golden.people(rows, identity.match_methods(rows)))
+    return rows.select("uid", "root").join(folk.select("root", "person_id"), "root").select("uid", "person_id")
 
 
 @query(
-    """SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars > 20000 THEN 'too_large' WHEN NOT regexp_matches(source, '^[A-Za-z0-9._-]+$') THEN 'bad_name' ELSE 'ok' END AS outcome FROM documents"""
+    """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'extension' WHEN page_id % 13 = 0 THEN 'empty' WHEN length(html) > 4000 THEN 'too_large' WHEN page_id % 7 = 0 THEN 'unsafe_name' END AS error FROM pages"""
 )
 def upload_validation(spark, sf_dir):
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n == 0, "empty").when(n > 20_000, "too_large").when(~F.col("source").rlike("^[A-Za-z0-9._-]+$"), "bad_name").otherwise("ok").alias("outcome"))
+    k = F.col("page_id")
+    name = F.concat(F.lit("clip"), F.when(k % 7 == 0, " ").otherwise("_"), k.cast("string"), F.when(k % 11 == 0, ".exe").when(k % 3 == 0, ".WAV").otherwise(".mp3"))
+    size = F.when(k % 13 == 0, 0).otherwise(F.length("html"))
+    return table(spark, sf_dir, "pages").select("page_id", serving.upload_error(name, size, most=4000).alias("error"))
 
 
 # ---------------------------------------------------------------- identity
@@ -268,9 +281,9 @@ def intra_source_dups(spark, sf_dir):
 # ---------------------------------------------------------------- golden records
 
 
-@query(f"{O.FULL} SELECT root, ref, record_count, source_count, sources, methods, confidence, full_name, email, phone, city FROM people")
+@query(f"{O.FULL} SELECT root, ref, split_part(ref, ':', 1) AS first_seen, record_count, source_count, sources, methods, confidence, full_name, email, phone, city, {O.mapped(O.config.CITY_REGION, 'city')} AS region FROM people")
 def golden_people(spark, sf_dir):
-    return people(spark, sf_dir).select("root", "ref", "record_count", "source_count", "sources", "methods", "confidence", "full_name", "email", "phone", "city")
+    return people(spark, sf_dir).select("root", "ref", "first_seen", "record_count", "source_count", "sources", "methods", "confidence", "full_name", "email", "phone", "city", "region")
 
 
 @query(f"{O.RESOLVED}, {O.NAMES} SELECT root, full_name FROM names")
@@ -298,15 +311,29 @@ def golden_exclusive(spark, sf_dir):
     return golden.elect_exclusive(members(spark, sf_dir)).select("root", "gig_status", "is_verified", "projects_completed")
 
 
+SHARED = ("full_name", "email", "phone", "city")
+LOST = f"""{O.RESOLVED}, {O.NAMES}, {O.EMAILS}, {O.PHONES}, {O.CITIES},
+held AS ({' UNION ALL '.join(f"SELECT root, source, '{c}' AS field, {c} AS value FROM members WHERE {c} IS NOT NULL" for c in SHARED)}),
+win AS ({' UNION ALL '.join(f"SELECT root, '{c}' AS field, {c} AS chosen FROM {t}" for c, t in zip(SHARED, ('names', 'emails', 'phones', 'cities'), strict=True))}),
+bv AS (SELECT root, field, chosen, value, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM held JOIN win USING (root, field) GROUP BY ALL),
+tot AS (SELECT root, field, sum(n) AS total, max(n) FILTER (WHERE value <> chosen) AS next FROM bv GROUP BY ALL)"""
+
+
 @query(
-    f"""{O.RESOLVED}, {O.NAMES}, {O.EMAILS}, {O.PHONES}, {O.CITIES}
-    SELECT DISTINCT m.root, 'full_name' AS field, w.full_name AS chosen, m.full_name AS rejected FROM members m JOIN names w USING (root) WHERE m.full_name <> w.full_name
-    UNION ALL SELECT DISTINCT m.root, 'email', w.email, m.email FROM members m JOIN emails w USING (root) WHERE m.email <> w.email
-    UNION ALL SELECT DISTINCT m.root, 'phone', w.phone, m.phone FROM members m JOIN phones w USING (root) WHERE m.phone <> w.phone
-    UNION ALL SELECT DISTINCT m.root, 'city', w.city, m.city FROM members m JOIN cities w USING (root) WHERE m.city <> w.city"""
+    f"""{LOST} SELECT l.root, l.field, l.chosen, w.sources AS chosen_sources, l.value AS rejected, l.sources AS rejected_sources,
+    CASE WHEN l.field = 'city' AND w.n > next THEN 'majority vote across sources (' || w.n || '/' || total || ')' ELSE {O.mapped(golden.RULES, 'l.field')} END AS rule
+    FROM bv l JOIN bv w ON l.root = w.root AND l.field = w.field AND w.value = w.chosen JOIN tot t ON t.root = l.root AND t.field = l.field WHERE l.value <> l.chosen"""
 )
 def field_conflicts(spark, sf_dir):
-    return golden.all_conflicts(members(spark, sf_dir)).where(F.col("field").isin("full_name", "email", "phone", "city"))
+    return golden.all_conflicts(members(spark, sf_dir)).where(F.col("field").isin(*SHARED))
+
+
+@query(
+    f"""{O.RESOLVED}, {O.elected('experience', O.ORDER, 'x')} SELECT m.root, 'experience_years' AS field, CAST(x.experience AS VARCHAR) AS chosen, CAST(m.experience AS VARCHAR) AS rejected, m.source || ' (later row)' AS rejected_sources
+    FROM members m JOIN x USING (root) WHERE m.experience <> x.experience"""
+)
+def exclusive_conflicts(spark, sf_dir):
+    return golden.all_conflicts(members(spark, sf_dir)).where("field = 'experience_years'").select("root", "field", "chosen", "rejected", "rejected_sources")
 
 
 @query(f"{O.FULL} SELECT person_id, ref FROM numbered")
@@ -337,7 +364,7 @@ def domain_counts(spark, sf_dir):
     return audit.domain_counts(golden.elect_emails(members(spark, sf_dir)))
 
 
-@query(f"{O.RESOLVED}, {O.EMAILS} SELECT count(*) FILTER (WHERE regexp_matches(email, '[@.]example\\.(com|org|net)$')) AS reserved, count(*) AS total FROM emails")
+@query(f"{O.RESOLVED}, {O.EMAILS} SELECT count(*) FILTER (WHERE regexp_matches(email, '([@.]example\\.(com|org|net|in)|\\.(example|test|invalid|localhost))$')) AS reserved, count(*) AS total FROM emails")
 def reserved_domains(spark, sf_dir):
     return audit.reserved_domains(golden.elect_emails(members(spark, sf_dir)))
 
@@ -413,7 +440,10 @@ def top_categories(spark, sf_dir):
     return issues.top_categories(found(spark, sf_dir))
 
 
-@query(f"{O.ISSUES} SELECT category, severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(source) AS first_source, arg_min(row_number, source || lpad(CAST(row_number AS VARCHAR), 12, '0')) AS first_row FROM issues GROUP BY category, severity")
+@query(
+    f"""{O.ISSUES} SELECT category, severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
+    array_to_string(list_slice(list(source || ':' || row_number ORDER BY source, row_number, field), 1, 4), ', ') AS examples FROM issues GROUP BY category, severity"""
+)
 def issue_buckets(spark, sf_dir):
     return issues.buckets(found(spark, sf_dir))
 

@@ -7,7 +7,7 @@ from quillmerge.sources.messy import CTES
 
 
 def sq(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(translate(coalesce({x}, ''), '０１２３４５６７８９', '0123456789'), '\\s+', ' ', 'g'))"
 
 
 def title(x: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmerge.operators import serving, signal
+from quillmerge.operators import issues, serving, signal
 from quillmerge.plans import oracles as O
 from quillmerge.plans.catalog import found, members, people, query, raw, table
 from quillmerge.operators import golden
@@ -83,7 +83,7 @@ def alert_digest(spark, sf_dir):
     return serving.digest(verdicts(spark, sf_dir))
 
 
-@query()
+@query(f"{VERDICTS} SELECT row_id, verdict, method, person FROM verdicts")
 def stream_incoming_check(spark, sf_dir):
     """The same check by a file stream that runs until all files are read."""
     from quillmerge.streaming.incoming import start_checks
@@ -148,9 +148,12 @@ def tag_upsert(spark, sf_dir):
     return current_tags(spark, sf_dir)
 
 
-@query(f"{LAST} SELECT category, count(*) AS n, round(avg(confidence), 3) AS mean_confidence FROM last GROUP BY category")
+@query(
+    f"""{LAST}, s AS (SELECT category, count(*) AS n, count(confidence) AS k, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS total FROM last GROUP BY category)
+    SELECT category, n, CASE WHEN k > 0 THEN ((2 * total + 10 * k) // (20 * k)) / 1000.0 END AS mean_confidence FROM s"""
+)
 def category_summary(spark, sf_dir):
-    return current_tags(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    return serving.category_summary(current_tags(spark, sf_dir))
 
 
 @query(f"{LAST} SELECT user_id, confidence FROM last WHERE confidence < 0.6")
@@ -223,8 +226,8 @@ def people_full(spark, sf_dir):
 
 @query(f"{O.FULL}, {TAGGED} SELECT root, coalesce(email, phone) AS person_key, person_key IS NOT NULL AS tagged FROM people LEFT JOIN tags ON person_key = coalesce(email, phone)".replace("SELECT root, coalesce(email, phone) AS person_key, person_key IS NOT NULL AS tagged", "SELECT root, coalesce(email, phone) AS person_key, tags.person_key IS NOT NULL AS tagged"))
 def people_categorised(spark, sf_dir):
-    folk = people(spark, sf_dir).withColumn("person_key", F.coalesce("email", "phone"))
-    return folk.join(tags_of(folk).distinct().withColumn("t", F.lit(True)), "person_key", "left").select("root", "person_key", F.coalesce("t", F.lit(False)).alias("tagged"))
+    folk = people(spark, sf_dir)
+    return serving.tagged_people(folk, tags_of(folk))
 
 
 @query(
@@ -232,11 +235,8 @@ def people_categorised(spark, sf_dir):
     SELECT row_number AS id, {O.phone_value('contacts.phone')} AS phone, root AS person FROM contacts LEFT JOIN phones2 ON phones2.phone = {O.phone_value('contacts.phone')}"""
 )
 def submissions_view(spark, sf_dir):
-    from quillmerge.functions import normalize as N
-
-    c = raw(spark, sf_dir, "contacts").select(F.col("row_number").alias("id"), N.phone(F.col("phone"))["value"].alias("phone"))
-    folk = people(spark, sf_dir).where("phone is not null").groupBy("phone").agg(F.min("root").alias("person"))
-    return c.join(folk, "phone", "left").select("id", "phone", "person")
+    c = raw(spark, sf_dir, "contacts").select(F.col("row_number").alias("id"), "phone")
+    return serving.by_phone(c, people(spark, sf_dir)).select("id", "phone", "person")
 
 
 @query(
@@ -261,10 +261,12 @@ def health_counts(spark, sf_dir):
     return one("customer", "customers").crossJoin(one("orders", "orders")).crossJoin(one("events", "events"))  # one row each
 
 
-@query()
+@query(
+    f"""{O.ISSUES}, c AS (SELECT category, count(*) AS n FROM issues GROUP BY category)
+    SELECT CAST(sum(n) AS BIGINT) AS total, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS by_category FROM c"""
+)
 def report_totals(spark, sf_dir):
-    by = found(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
-    return by.agg(F.sum("n").alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))).alias("by_category"))
+    return issues.totals(found(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- signal
@@ -328,15 +330,13 @@ def quality_score(spark, sf_dir):
     SELECT CAST(n AS BIGINT) AS row_number, full_name, phone, city FROM r"""
 )
 def scan_with_row_number(spark, sf_dir):
-    """Contacts written as one CSV file and read back by record number."""
-    from quillmerge.sources.csv_records import by_header, read_records
+    """Contacts written as CSV part files and read back by record number."""
+    from quillmerge.sources.csv_records import by_header, numbered, read_records, write_lines
 
-    path = scratch_path(spark, "contacts-csv")
-    c = raw(spark, sf_dir, "contacts").orderBy("row_number").select("full_name", "phone", "city")
-    c.coalesce(1).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    cells = by_header(["full_name", "phone", "city"], F.col("cells"))
-    rows = read_records(spark, f"{path}/*.csv").where("row_number > 1")
-    return rows.select("row_number", cells.alias("m")).select("row_number", "m.full_name", "m.phone", "m.city")
+    path, header = scratch_path(spark, "contacts-csv"), ["full_name", "phone", "city"]
+    write_lines(raw(spark, sf_dir, "contacts").select("row_number", F.array(*header).alias("cells")), path, header, "row_number")
+    rows = numbered(read_records(spark, path)).where("row_number > 1")
+    return rows.select("row_number", by_header(header, F.col("cells")).alias("m")).select("row_number", "m.full_name", "m.phone", "m.city")
 
 
 @query(
@@ -374,6 +374,5 @@ def relink_submissions(spark, sf_dir):
 @query("SELECT o_orderkey AS id, '\"' || replace(o_orderpriority || ' \"' || o_orderstatus || '\"', '\"', '\"\"') || '\"' AS csv_cell, replace(o_orderpriority || '|' || o_orderstatus, '|', '\\|') AS table_cell FROM orders")
 def report_rows(spark, sf_dir):
     text = F.concat("o_orderpriority", F.lit(' "'), "o_orderstatus", F.lit('"'))
-    cell = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    bar = F.replace(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), F.lit("|"), F.lit("\\|"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), cell.alias("csv_cell"), bar.alias("table_cell"))
+    bars = F.concat_ws("|", "o_orderpriority", "o_orderstatus")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), issues.csv_cell(text).alias("csv_cell"), issues.table_cell(bars).alias("table_cell"))

@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, "path string, row_number long, cells array<string>")
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """``records`` of several part files with row_number counted on from file to file, in order of their names."""
+    sizes = records.groupBy("path").agg(F.max("row_number").alias("held"))  # a row for each file
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("path", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    return records.join(base, "path").withColumn("row_number", F.col("row_number") + F.col("base")).drop("base")
+
+
+def csv_line(cells: Column) -> Column:
+    """The cells as one line of CSV, each in quotes."""
+    return F.array_join(F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))), ",")
+
+
+def write_lines(rows: DataFrame, path: str, header: list[str], order: str) -> None:
+    """Write (order, cells) as CSV part files in that order, whatever the width of a row; the header is the first file's first line."""
+    first = rows.sparkSession.createDataFrame([(header,)], "cells array<string>")
+    body = rows.select(F.col(order).cast("long").alias("at"), "cells").unionByName(first.select(F.lit(None).cast("long").alias("at"), "cells"))
+    dealt = body.repartitionByRange(F.col("at").asc_nulls_first()).sortWithinPartitions(F.col("at").asc_nulls_first())
+    dealt.select(csv_line(F.col("cells"))).write.text(path)
+
+
 def by_header(header: list[str], cells: Column) -> Column:
     """A record's cells under their header, padded or cut to its width."""
     wide = F.slice(F.concat(cells, F.array_repeat(F.lit(""), len(header))), 1, len(header))

@@ -36,8 +36,11 @@ base AS (
 
 CITY_TEXT = "CASE k % 6 WHEN 0 THEN alias WHEN 1 THEN upper(city) WHEN 2 THEN city || ' ' WHEN 3 THEN lower(city) ELSE city END"
 
+#: Repeated applicant rows are numbered so much higher: a multiple of every period below.
+AGAIN = 9_765_000
+
 APPLICANTS = f"""
-applicants AS (
+once AS (
   SELECT 'naukri' AS source, CAST(k AS INT) AS row_number,
          CASE k % 7 WHEN 0 THEN upper(f || ' ' || l) WHEN 1 THEN lower(f || ' ' || l)
                     WHEN 2 THEN substring(f, 1, 1) || '. ' || l ELSE f || '  ' || l END AS full_name,
@@ -52,6 +55,10 @@ applicants AS (
                     ELSE CAST(k % 31 + 1 AS STRING) || ' Feb 2026' END AS applied,
          skill AS skills
   FROM base WHERE k % 10 <= 5
+), applicants AS (
+  SELECT * FROM once UNION ALL
+  SELECT source, CAST(row_number + {AGAIN} AS INT), full_name, email, phone, city, CASE WHEN row_number % 194 = 0 THEN '31.5' ELSE experience END, ctc, applied, skills
+  FROM once WHERE row_number % 97 = 0
 )"""
 
 WORKERS = f"""
@@ -61,14 +68,14 @@ workers AS (
                     ELSE CAST(1000 + k % 500 AS STRING) || ' per day' END AS rate,
          CASE WHEN k % 11 = 0 THEN 'Delhi NCR' ELSE {CITY_TEXT} END AS city,
          CASE k % 5 WHEN 0 THEN 'Active' WHEN 1 THEN 'ACTIVE' WHEN 2 THEN 'on hold' WHEN 3 THEN 'inactive' ELSE 'gone' END AS status,
-         skill AS skills
+         CASE WHEN k % 9 = 0 THEN 'Python,Docker' ELSE skill END AS skills
   FROM base WHERE k % 10 BETWEEN 3 AND 8
 )"""
 
 CONTACTS = f"""
 contacts AS (
   SELECT 'cbnexus' AS source, CAST(k AS INT) AS row_number, f || ' ' || l AS full_name,
-         CASE k % 3 WHEN 0 THEN '0091' || tel WHEN 1 THEN '+91-' || tel ELSE substring(tel, 1, CAST(10 - CASE WHEN k % 29 = 0 THEN 2 ELSE 0 END AS INT)) END AS phone,
+         CASE WHEN k % 37 = 0 THEN translate(tel, '0123456789', '０１２３４５６７８９') WHEN k % 3 = 0 THEN '0091' || tel WHEN k % 3 = 1 THEN '+91-' || tel ELSE substring(tel, 1, CAST(10 - CASE WHEN k % 29 = 0 THEN 2 ELSE 0 END AS INT)) END AS phone,
          {CITY_TEXT} AS city,
          CASE k % 6 WHEN 0 THEN 'Y' WHEN 1 THEN 'yes' WHEN 2 THEN 'No' WHEN 3 THEN 'N' WHEN 4 THEN 'maybe' ELSE '' END AS verified,
          CAST(k % 25 AS STRING) AS projects
@@ -80,5 +87,5 @@ CTES = f"WITH {BASE}, {APPLICANTS}, {WORKERS}, {CONTACTS}"
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``applicants``, ``workers``, ``contacts``."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    return spark.sql(f"{CTES} SELECT * FROM {name}")
+    text = f"{CTES} SELECT * FROM {name}".replace("FROM customer", "FROM {customer}")
+    return spark.sql(text, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))

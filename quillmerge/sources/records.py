@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +49,28 @@ class SourceSpec:
     fields: dict[str, Callable[[Column], Column]]
     outputs: dict[str, str]
     identity: tuple[str, ...] = ("full_name", "email", "phone")
-    keep: tuple[str, ...] = field(default=())
+    needs_all: bool = False  #: all of ``identity`` must be there
+    optional: tuple[str, ...] = ()  #: raw columns whose absence is no problem
 
     def records(self, raw: DataFrame) -> DataFrame:
         normed = raw.select("source", "row_number", F.create_map(*[x for c in raw.columns if c not in ("source", "row_number") for x in (F.lit(c), F.col(c).cast("string"))]).alias("raw"), *[f(F.col(c)).alias(f"n_{c}") for c, f in self.fields.items()])
+        # an explode of one element: the optimiser doesn't copy a normaliser into every use of its result
+        names = [f"n_{c}" for c in self.fields]
+        once = normed.select("source", "row_number", "raw", F.explode(F.array(F.struct(*names))).alias("n")).select("source", "row_number", "raw", "n.*")
         cols = [F.col(f"n_{self.outputs[c]}").cast(t).alias(c) if c in self.outputs else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()]
-        found = F.flatten(F.array(*[F.col(f"n_{c}.problems") for c in self.fields]))
+        there = [F.col(f"n_{self.outputs[c]}").isNotNull() for c in self.identity]
+        usable = reduce(lambda a, b: a & b if self.needs_all else a | b, there)
+        found = [F.when(F.col("raw")[c].isNotNull(), F.col(f"n_{c}.problems")).otherwise(F.array()) if c in self.optional else F.col(f"n_{c}.problems") for c in self.fields]
+        found.append(F.when(usable, F.array()).otherwise(F.array(N.problem("unidentifiable_row", "E", "", F.lit(None)))))
         rank = config.SOURCE_PRIORITY.index(self.name)
-        typed = normed.select("source", "row_number", F.concat_ws(":", "source", "row_number").alias("uid"), F.lit(rank).alias("source_rank"), "raw", found.alias("problems"), *cols)
-        usable = F.lit(False)
-        for c in self.identity:
-            usable = usable | F.col(c).isNotNull()
-        return typed.withColumn("usable", usable)
+        return once.select("source", "row_number", F.concat_ws(":", "source", "row_number").alias("uid"), F.lit(rank).alias("source_rank"), "raw", F.concat(*found).alias("problems"), *cols, usable.alias("usable"))
+
+
+def with_problems(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """``records`` with the row_problems of (row_number, row_problems) before their own."""
+    told = rows.where(F.size("row_problems") > 0)
+    joined = records.join(told, "row_number", "left")
+    return joined.withColumn("problems", F.when(F.col("row_problems").isNull(), F.col("problems")).otherwise(F.concat("row_problems", "problems"))).select(*records.columns)
 
 
 NAME = {"full_name": "full_name.value", "name_key": "full_name.key", "name_abbreviated": "full_name.abbreviated"}
@@ -86,6 +97,17 @@ SPECS = {
 }
 
 
+#: Contacts that were made outside the files.
+APP = SourceSpec(
+    "audio_app",
+    {"full_name": N.name, "phone": N.phone, "city": N.city},
+    NAME | CITY | {"phone": "phone.value"},
+    identity=("full_name", "phone"),
+    needs_all=True,
+    optional=("city",),
+)
+
+
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all sources, in one table."""
     out = None

@@ -130,3 +130,15 @@ def test_names_compatible(spark):
     rows = [(["ravi", "kumar"], ["r", "kumar"], True), (["ravi"], ["ravi", "kumar"], False), (["ravi"], ["mohan"], False), ([], [], False)]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>, ok boolean")
     assert all(r.got == r.ok for r in df.select(N.names_compatible(F.col("a"), F.col("b")).alias("got"), "ok").collect())
+
+
+def test_dates_of_one_shape_only(spark):
+    rows = [("3 Februa 2026", None), ("3 February 2026", "2026-02-03"), ("3-FEB-2026", "2026-02-03"), ("1-2/2026", None), ("1/2-2026", None), ("1-2-2026", "2026-02-01"), ("1/2/2026", "2026-01-02"), ("30 Feb 2026", None)]
+    for r in spark.createDataFrame(rows, "t string, want string").select(N.date(F.col("t")).alias("d"), "want").collect():
+        assert (str(r.d.value) if r.d.value else None) == r.want
+        assert bool(r.want) or r.d.problems[0].category in ("invalid_format", "invalid_value")
+
+
+def test_compatibility_forms_are_read(spark):
+    row = spark.createDataFrame([("９８７６５ ４３２１０", "ＡＳＨＡ\u3000Ｒａｏ", "ａ@ｘ．test")], "p string, n string, e string").select(N.phone(F.col("p"))["value"], N.name(F.col("n"))["value"], N.email(F.col("e"))["value"]).first()
+    assert tuple(row) == ("9876543210", "Asha Rao", "a@x.test")
