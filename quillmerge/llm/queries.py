@@ -26,7 +26,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), key="quillmerge")
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents"), key=spark.conf.get("quillmerge.surrogate.key", "not a secret"))
 
 
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 Entities are found by patterns, brought to a canonical value, and every distinct
 value gets one surrogate: a keyed hash of the value fills the value's own shape.
 Digits stay digits, letters stay letters of their script and case, separators
-stay; a checksum that held for the value holds for its surrogate; reserved ranges
-keep surrogates unusable; a title before a name keeps its gender, as the name is
-drawn from names of that gender.  Equal values get equal surrogates in all
+stay; a checksum that held for the value holds for its surrogate and one that did
+not does not; reserved ranges keep surrogates unusable.  A name is replaced word by
+word, so that a family name is the same with and without a given name, and each word
+is made up in its own script (Latin, Cyrillic or Greek), a given name with an ending
+of the gender that its title tells.  A full name that stood behind a title is also
+replaced where the same document has it without one; a family name alone is only
+found behind a title.  Equal values get equal surrogates in all
 documents (coreference), whatever their spelling; different values get different
 ones: candidates that meet each other, or meet a value that occurs, are drawn
 again until none does.
@@ -32,11 +36,18 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every text with an entity holds; texts without it are not searched further.
 HINT = r"[0-9@]|[a-fA-F]{32}|(?:Mr|Ms|Miss|Herr|Frau|Mons|Mad|Se\u00f1or)"
-#: Titles by gender, and given and family names to draw from (Latin script).
 FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora)\b"
-FEMALE = ["Ada", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Irma", "Jana", "Karla", "Lena", "Mara", "Nora", "Olga", "Paula"]
-MALE = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Konrad", "Leo", "Max", "Nils", "Oskar", "Paul"]
-SYLLABLES = ["ba", "den", "fel", "gor", "han", "jor", "kel", "lam", "mar", "nor", "pel", "ran", "sel", "tor", "ven", "wal"]
+#: Syllables of made-up names by script, and the endings of given names by gender.
+SYLLABLES = {
+    "latin": ["ba", "den", "fel", "gor", "han", "jor", "kel", "lam", "mar", "nor", "pel", "ran", "sel", "tor", "ven", "wal"],
+    "cyrillic": ["ба", "ден", "фел", "гор", "хан", "йор", "кел", "лам", "мар", "нор", "пел", "ран", "сел", "тор", "вен", "вал"],
+    "greek": ["βα", "δεν", "φελ", "γορ", "χαν", "ιορ", "κελ", "λαμ", "μαρ", "νορ", "πελ", "ραν", "σελ", "τορ", "βεν", "βαλ"],
+}
+ENDINGS = {
+    "latin": {"f": ["a", "ina", "ia", "ella"], "m": ["o", "us", "an", "el"]},
+    "cyrillic": {"f": ["а", "ина", "ия", "елла"], "m": ["о", "ус", "ан", "ел"]},
+    "greek": {"f": ["α", "ινα", "ια", "ελλα"], "m": ["ος", "ων", "αν", "ελ"]},
+}
 
 
 def kind_of(raw: Column) -> Column:
@@ -47,16 +58,20 @@ def kind_of(raw: Column) -> Column:
     return out
 
 
-def canonical(raw: Column, kind: Column) -> Column:
-    """Spellings of one value brought together: case of e-mails and keys, separators of numbers, titles of names."""
+def parts(raw: Column, kind: Column) -> Column:
+    """The values of a mention as array<struct<kind, value>>: spellings of one value brought together.
+
+    Case of e-mails and keys, separators of numbers.  A name gives its given name (led
+    by f or m) and its family name, or the latter alone.
+    """
     digits = F.regexp_replace(raw, r"[^0-9]", "")
-    return (
-        F.when(kind.isin("email", "secret"), F.lower(raw))
-        .when(kind == "ip", raw)
-        .when(kind.isin("phone", "ssn", "card"), digits)
-        .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-        .otherwise(F.concat_ws(" ", F.when(raw.rlike(FEMALE_TITLES), "f").otherwise("m"), F.regexp_replace(raw, r"^\S+ ", "")))
-    )
+    plain = F.when(kind.isin("email", "secret"), F.lower(raw)).when(kind.isin("phone", "ssn", "card"), digits).when(kind == "iban", F.regexp_replace(raw, " ", "")).otherwise(raw)
+    words = F.split(raw, " ")
+    gender = F.when(raw.rlike(FEMALE_TITLES), "f").otherwise("m")
+    one = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
+    family = one(F.lit("family"), F.initcap(F.element_at(words, -1)))
+    given = one(F.lit("given"), F.concat_ws(" ", gender, F.initcap(F.get(words, 1))))
+    return F.when((kind == "name") & (F.size(words) > 2), F.array(given, family)).when(kind == "name", F.array(family)).otherwise(F.array(one(kind, plain)))
 
 
 def _stream(value: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -90,19 +105,43 @@ def _random_digits(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[0-9]"), _digit(stream, i).cast("string")).otherwise(F.substring(value, i, F.lit(1)))), "")
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of an account number's letters and digits, letters counting from 10."""
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def _made_up(value: Column, stream: Column, attempt: Column, ending: dict | None) -> Column:
+    """A name in the value's script; every attempt draws from sixteen times as many."""
+
+    def of(script: str) -> Column:
+        pick = lambda names, a: F.get(F.array(*[F.lit(n) for n in names]), F.conv(F.substring(stream, a, 2), 16, 10).cast("int") % len(names))
+        base = [pick(SYLLABLES[script], 3), pick(SYLLABLES[script], 5), *([] if ending else [pick(SYLLABLES[script], 7)])]
+        more = [F.when(attempt >= i, pick(SYLLABLES[script], 7 + 2 * i)).otherwise("") for i in range(1, 9)]
+        last = [] if ending is None else [F.when(F.substring(value, 1, 1) == "f", pick(ENDINGS[script]["f"], 29)).otherwise(pick(ENDINGS[script]["m"], 29))]
+        return F.initcap(F.concat(*base, *more, *last))
+
+    return F.when(value.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(value.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+
+
 def candidate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     """A surrogate of a canonical value, in canonical form."""
     s = _stream(value, kind, attempt, key)
-    pick = lambda names, a: F.get(F.array(*[F.lit(n) for n in names]), F.conv(F.substring(s, a, 2), 16, 10).cast("int") % len(names))
     octet = lambda a: (F.conv(F.substring(s, a, 4), 16, 10).cast("int") % 256).cast("string")
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     word = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(local), F.lit(1))), lambda i: _like(F.substring(local, i, F.lit(1)), s, i)), "")
     label = F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), host), 256), 1, 8)
-    email = F.concat(word, F.lit("."), F.substring(s, 33, 12), F.lit("@h"), label, F.lit(".example"))  # same host, same host
+    tail = F.when(attempt > 0, F.substring(s, F.lit(33), F.least(attempt * 2, F.lit(16)))).otherwise("")  # short addresses run out
+    email = F.concat(word, tail, F.lit("@h"), label, F.lit(".example"))  # same host, same host
     card_body = F.concat(F.substring(value, 1, 1), F.substring(_random_digits(value, s), F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))))
     check = (F.lit(10) - _luhn_sum(F.concat(card_body, F.lit("0"))) % 10) % 10
     off = (check + 1 + F.conv(F.substring(s, 1, 2), 16, 10).cast("int") % 9) % 10
     card = F.concat(card_body, F.when(_luhn(value), check).otherwise(off).cast("string"))
+    country, held = F.substring(value, 1, 2), _mod97(F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))) == 1
+    account = F.array_join(F.transform(F.sequence(F.lit(5), F.greatest(F.length(value), F.lit(5))), lambda i: _like(F.substring(value, i, F.lit(1)), s, i)), "")
+    right = 98 - _mod97(F.concat(account, country, F.lit("00")))
+    wrong = (right + 1 + F.conv(F.substring(s, 1, 2), 16, 10).cast("int") % 90) % 97 + F.when(right < 2, 2).otherwise(0)
+    iban = F.concat(country, F.lpad(F.when(held, right).otherwise(wrong).cast("string"), 2, "0"), account)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.concat_ws(".", (F.conv(F.substring(s, 13, 4), 16, 10).cast("int") % 15 + 240).cast("string"), octet(1), octet(5), octet(9)))  # reserved, never routed
@@ -110,8 +149,9 @@ def candidate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_random_digits(value, s), F.lit(2), F.lit(8))))  # never issued
         .when(kind == "card", card)
         .when(kind == "secret", F.substring(F.concat(s, F.sha2(s, 256)), F.lit(1), F.length(value)))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.lit("00"), F.array_join(F.transform(F.sequence(F.lit(5), F.length(value)), lambda i: _like(F.substring(value, i, F.lit(1)), s, i)), "")))
-        .otherwise(F.concat_ws(" ", F.substring(value, 1, 1), F.when(F.substring(value, 1, 1) == "f", pick(FEMALE, 1)).otherwise(pick(MALE, 1)), F.initcap(F.concat(*[pick(SYLLABLES, a) for a in (3, 5, 7, 9, 11, 13)]))))
+        .when(kind == "iban", iban)
+        .when(kind == "given", F.concat_ws(" ", F.substring(value, 1, 1), _made_up(value, s, attempt, ENDINGS)))
+        .otherwise(_made_up(value, s, attempt, None))
     )
 
 
@@ -126,18 +166,22 @@ def _like(char: Column, stream: Column, at: Column) -> Column:
     )
 
 
-def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
-    """The canonical surrogate in the spelling of one mention: its separators, its case, its title."""
+def rendered(raw: Column, kind: Column, surrogates: Column) -> Column:
+    """The canonical surrogates in the spelling of one mention: its separators, its case, its title."""
+    surrogate = F.get(surrogates, 0)
     before = lambda i: F.length(F.regexp_replace(F.substring(raw, F.lit(1), i), r"[^0-9]", ""))
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1))), lambda i: F.when(F.substring(raw, i, F.lit(1)).rlike("[0-9]"), F.substring(surrogate, before(i), F.lit(1))).otherwise(F.substring(raw, i, F.lit(1)))), "")
     upper = raw.rlike("[A-Z]") & ~raw.rlike("[a-z]")
     grouped = F.when(raw.contains(" "), F.trim(F.regexp_replace(surrogate, "(.{4})", "$1 "))).otherwise(surrogate)
+    words = F.split(raw, " ")
+    bare = F.transform(surrogates, lambda n: F.regexp_replace(n, "^[fm] ", ""))
+    cased = F.transform(bare, lambda n, i: F.when((F.length(F.get(words, i + 1)) > 1) & (F.get(words, i + 1) == F.upper(F.get(words, i + 1))), F.upper(n)).otherwise(n))
     return (
         F.when(kind.isin("phone", "ssn", "card"), spaced)
         .when(kind.isin("email", "secret"), F.when(upper, F.upper(surrogate)).otherwise(surrogate))
         .when(kind == "ip", surrogate)
         .when(kind == "iban", grouped)
-        .otherwise(F.concat_ws(" ", F.substring_index(raw, " ", 1), F.substring(surrogate, F.lit(3), F.length(surrogate))))
+        .otherwise(F.concat_ws(" ", F.get(words, 0), F.array_join(cased, " ")))
     )
 
 
@@ -184,15 +228,23 @@ def pseudonymise(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     each = some.select(F.col(id_col).alias("id"), "row", F.posexplode_outer(mentions(F.col("text"))).alias("pos", "raw"))
     found = materialise(each.where("raw is not null").distinct(), "pii-mentions")
 
-    raws = found.select("raw").distinct().withColumn("kind", kind_of(F.col("raw")))
-    known = materialise(raws.withColumn("value", canonical(F.col("raw"), F.col("kind"))).where("kind is not null"), "pii-known")
-    table = known.join(assign(known.select("kind", "value"), key), ["kind", "value"])
-    table = table.select("raw", "kind", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("new"))
+    # dealt by number: the distinct mentions are few bytes and much work
+    parts_of = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raws = found.select("raw").repartition(parts_of, "raw").distinct().withColumn("kind", kind_of(F.col("raw"))).where("kind is not null")
+    each = raws.select("raw", F.col("kind").alias("of"), F.posexplode(parts(F.col("raw"), F.col("kind"))).alias("at", "p"))
+    known = materialise(each.select("raw", "of", "at", "p.*"), "pii-known")
+    drawn = known.join(assign(known.select("kind", "value"), key), ["kind", "value"])
+    whole = drawn.groupBy("raw", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
+    table = whole.select("raw", F.col("of").alias("kind"), rendered(F.col("raw"), F.col("of"), F.col("s")).alias("new"))
 
-    put = found.join(table, "raw", "left").select("id", "row", F.struct("pos", F.coalesce("new", "raw").alias("new"), "kind").alias("m"))
+    put = found.join(table, "raw", "left").select("id", "row", F.struct("pos", F.coalesce("new", "raw").alias("new"), "kind", "raw").alias("m"))
     swaps = put.groupBy("id", "row").agg(F.array_sort(F.collect_list("m")).alias("put"))
     joined = plain.join(swaps, plain[id_col].eqNullSafe(swaps["id"]) & (plain["row"] == swaps["row"]), "left")
-    gaps = F.split(F.col("text"), PATTERN, -1)
+    bare = lambda c: F.regexp_replace(c, r"^\S+ ", "")
+    full = F.filter("put", lambda m: (m["kind"] == "name") & bare(m["raw"]).contains(" "))
+    named = F.array_distinct(F.transform(full, lambda m: F.struct(bare(m["raw"]).alias("old"), bare(m["new"]).alias("new"))))
+    again = lambda gap: F.aggregate(named, gap, lambda t, n: F.when(t.contains(n["old"]), F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), n["old"], F.lit(r"(?!\p{L})")), n["new"])).otherwise(t))
+    gaps = F.transform(F.split(F.col("text"), PATTERN, -1), again)
     news = F.concat(F.transform("put", lambda m: m["new"]), F.array(F.lit("")))
     woven = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), news.alias("put")), lambda p: F.array(p["gap"], p["put"]))), "")
     there = F.col("put").isNotNull()
