@@ -8,8 +8,8 @@ parts:
 
 * *dense*: lanes of fresh bits of the whole paragraph, modulo 2^32, so that
   different multisets agree with negligible chance,
-* *signs*: for each sentence of the paragraph, one random bit in each of ``60 *
-  WORDS`` lanes, summed modulo 2^20 (three lanes share a long).
+* *signs*: for each sentence of the paragraph, one random bit in each of ``63 *
+  WORDS`` lanes, summed modulo 2^20 (three lanes share a long, with a spare bit each).
 
 The sign lanes of two texts, read as +1 and -1, have the cosine of the two
 sentence multisets as their expected cosine, whatever the texts' lengths; that is
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from quillmerge.sources.scratch import materialise
 
 #: 32-bit dense lanes in pairs; 64-bit words of sign bits for each sentence.
-DENSE, WORDS = 4, 3
-#: Bits of a sign lane, lanes in a long, and the shifts that bring 60 of a hash's bits into lanes.
-LANE, PER_LONG = 20, 3
+DENSE, WORDS = 8, 3
+#: Bits from lane to lane, lanes in a long, and the shifts that bring 63 of a hash's bits into lanes.
+LANE, PER_LONG = 21, 3
 SHIFTS = LANE
-LANE_MASK = (1 << LANE) - 1
+#: A lane counts modulo 2^20; its spare bit takes the carry of one addition, and is cleared.
+LANE_MASK = (1 << (LANE - 1)) - 1
 SPREAD = sum(1 << (LANE * i) for i in range(PER_LONG))
+LANES = LANE_MASK * SPREAD
 #: Documents that one window partition of the ordering holds, about.
 PER_BUCKET = 5000
 
@@ -55,7 +57,8 @@ def _hashes(parts: Column, seed: int) -> Column:
 
 def _sign_lanes(hashes: Column) -> list[Column]:
     spread = F.lit(SPREAD).cast("long")
-    return [_total(hashes, lambda h: F.shiftrightunsigned(h, s).bitwiseAND(spread)) for s in range(SHIFTS)]  # noqa: B023
+    none, held = F.lit(0).cast("long"), F.lit(LANES).cast("long")
+    return [F.aggregate(hashes, none, lambda a, h: (a + F.shiftrightunsigned(h, s).bitwiseAND(spread)).bitwiseAND(held)) for s in range(SHIFTS)]  # noqa: B023
 
 
 def with_fingerprints(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -64,8 +67,7 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     The fingerprint is the sum of the paragraphs' vectors.  A dense lane is the sum
     of 32-bit halves of paragraph hashes, kept modulo 2^32; the halves are summed in
     64 bits, so no text of under 2^31 lines overflows.  A sign lane counts the
-    sentences whose bit is set (a carry beyond 2^20 goes to the next lane, the sum
-    stays exact up to 2^23 sentences).  Each step is a projection of its own, so
+    sentences whose bit is set, modulo 2^20.  Each step is a projection of its own, so
     that texts are cut and hashed once.
     """
     low = F.lit(0xFFFFFFFF).cast("long")
@@ -83,10 +85,10 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of both multisets together (sign 1), or of a without b (sign -1)."""
     low = F.lit(0xFFFFFFFF).cast("long")
-    lanes = lambda x: F.flatten(F.transform(x, lambda v: F.array(*[F.shiftrightunsigned(v, LANE * i).bitwiseAND(F.lit(LANE_MASK).cast("long")) for i in range(PER_LONG)])))
+    lanes, spare = F.lit(LANES).cast("long"), F.lit((1 << (LANE - 1)) * SPREAD).cast("long")
     dense = F.zip_with(a["dense"], b["dense"], lambda x, y: (x + sign * y).bitwiseAND(low))
-    apart = F.zip_with(lanes(a["signs"]), lanes(b["signs"]), lambda x, y: (x + sign * y).bitwiseAND(F.lit(LANE_MASK).cast("long")))
-    packed = F.transform(F.sequence(F.lit(0), F.lit(WORDS * SHIFTS - 1)), lambda i: sum((F.shiftleft(F.get(apart, i * PER_LONG + k), LANE * k) for k in range(1, PER_LONG)), F.get(apart, i * PER_LONG)))
+    # the spare bit is lent before a subtraction, so that no lane borrows from the next
+    packed = F.zip_with(a["signs"], b["signs"], lambda x, y: ((x + y) if sign > 0 else (x.bitwiseOR(spare) - y)).bitwiseAND(lanes))
     return F.struct(dense.alias("dense"), (a["n"] + sign * b["n"]).alias("n"), packed.alias("signs"))
 
 

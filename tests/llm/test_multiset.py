@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -42,3 +43,30 @@ def test_sums_are_homomorphic(spark):
         *[multiset.as_text(F.col(c)).alias(c) for c in ("a", "both", "turned")],
     ).first()
     assert r["sum"] == r.both == r.turned and r.less == r.a
+
+
+def test_sums_hold_beyond_a_lane(spark):
+    """Long texts, sums and differences: lanes wrap by themselves, in any order of adding."""
+    many = "a b. " * (1 << 20) + "c d. e f.\ng h."
+    rows = spark.createDataFrame([("x. y.\nz.", many, many + "\nx. y.\nz.")], "one string, two string, both string")
+    fp = multiset.with_fingerprints(rows, {"a": "one", "b": "two", "c": "both"})
+    got = fp.select(multiset.combine(F.col("a"), F.col("b")).alias("sum"), multiset.combine(F.col("c"), F.col("a"), -1).alias("less"), "b", "c").first()
+    assert got["sum"] == got["c"] and got["less"] == got["b"]
+
+
+def test_against_plain_sums(spark, prose):
+    """Dense lanes and sign lanes from Spark's own hash of each part, summed here."""
+    texts = [prose(1, 40).replace(" ", ". ", 9), "one.\none.\n\ntwo! three?", "", None, "\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in multiset.with_fingerprints(df, {"f": "t"}).select("i", "f").collect()}
+    hashes = {}
+    for i, t in enumerate(texts):
+        lines, bits = (t or "").split("\n"), [s.strip(" ") for s in re.split(r"[.!?|\n]+", t or "")]
+        for seed, parts in [(k, lines) for k in range(multiset.DENSE)] + [(100 + k, [b for b in bits if b]) for k in range(multiset.WORDS)]:
+            rows = spark.createDataFrame([(p,) for p in parts] or [(None,)], "p string").where("p is not null").select(F.xxhash64(F.lit(seed), "p").alias("h")).collect()
+            hashes[i, seed] = [r.h & (2**64 - 1) for r in rows]
+    for i in got:
+        dense = [x for k in range(multiset.DENSE) for x in (sum(h & 0xFFFFFFFF for h in hashes[i, k]) % 2**32, sum(h >> 32 for h in hashes[i, k]) % 2**32)]
+        lanes = [[sum(h >> (s + multiset.LANE * j) & 1 for h in hashes[i, 100 + k]) % 2**20 for j in range(3)] for k in range(multiset.WORDS) for s in range(multiset.SHIFTS)]
+        assert got[i].dense == dense
+        assert [[v >> (multiset.LANE * j) & multiset.LANE_MASK for j in range(3)] for v in got[i].signs] == lanes
