@@ -263,7 +263,7 @@ def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Training counts come from all rows whose crc32(id as text) mod 5 is not 1.  A
-    null text counts as empty: one token, the end.  Repeated rows each count and
+    null text counts as empty: one token, the end.  Ids are whole numbers.  Repeated rows each count and
     come back as often.  Memory: a group of documents of about GROUP_BYTES, its
     distinct tokens, and ``pass_bytes`` of filter segments; more segments mean more
     passes over the documents.
@@ -294,9 +294,14 @@ def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in bodies})  # at most pass_bytes
         missing = frozenset(range(shards)) - sizes.keys() if i == 0 else frozenset()
         one = by_group.cogroup(known.groupBy("grp")).applyInArrow(_score_group(shared, missing, shards, n_train, n_distinct), SCORED_DDL)
+        if len(_passes(sizes, pass_bytes)) > 1:  # one pass's segments at a time
+            one = materialise(one, "scored-pass")
+            shared.destroy()
         scored = one if scored is None else scored.unionByName(one)
     if len(_passes(sizes, pass_bytes)) > 1:
         scored = _sum_passes(scored, len(_passes(sizes, pass_bytes)))
+    scored = materialise(scored, "scored")
+    spark.sql(f"DROP TABLE {name}")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
