@@ -14,9 +14,12 @@ those beyond the smallest document of their bucket are removed.
 Steps: (1) texts equal to a smaller document's are settled by hash, (2) the rest
 are written in groups of bounded size, bucketed by group, so that later steps read
 them without a shuffle, (3) each group lists its anchors, (4) shards of anchors tell
-the shared ones, (5) the groups cut segments, (6) suffix sorting, (7) each group
-removes its ranges.  An anchor of very many documents is not sorted in one task:
-its windows are grouped by their hash with a map-side minimum instead.
+the shared ones, (5) each group hands on its distinct segments once, with the least
+and the greatest document that holds them, (6) the distinct segments of all groups
+meet: suffix sorting, (7) each group that asked gets the answers and removes its
+ranges.  So an anchor of very many segments in one text, or of one segment in very
+many texts, is a few rows.  An anchor with very many segments all the same is not
+sorted in one task: its windows are grouped by themselves, with a map-side minimum.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ from quillmerge.sources.scratch import materialise, scratch_path
 
 #: Bytes of an anchor gram (between 16 and 24, and under the window's length).
 GRAM = 20
-#: Documents that share an anchor beyond which its windows are grouped by hash.
-HOT_DOCS = 20_000
+#: Segments of an anchor beyond which its windows are grouped one by one.
+HOT_SEGMENTS = 20_000
 #: Text bytes of a group; anchors of a shard follow from it.
 GROUP_BYTES = 32 << 20
 #: Segment bytes that a suffix sort holds at a time.
@@ -160,38 +162,42 @@ def removed_ranges(docs: np.ndarray, segments: list[bytes], length: int) -> list
 
 
 def _list_anchors(length: int, shards: int):
-    """One group's anchors, a row for each shard: sorted hashes as differences, and how many documents hold each."""
+    """One group's anchors, a row for each shard: sorted hashes as differences, how many documents hold each and how often."""
+
     def run(group: pa.Table) -> pa.Table:
         grp = group.column("grp")[0].as_py()
-        found = [np.unique(anchors(t, length)[0]) for b in group.to_batches() for t in texts(b, "text")]
-        keys, docs = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        found = [np.unique(anchors(t, length)[0], return_counts=True) for b in group.to_batches() for t in texts(b, "text")]
+        empty = np.empty(0, np.int64)
+        keys, at = np.unique(np.concatenate([empty.view(np.uint64), *(k for k, _ in found)]), return_inverse=True)
+        docs = np.bincount(at, minlength=len(keys))
+        runs = np.bincount(at, np.concatenate([empty, *(n for _, n in found)]), len(keys)).astype(np.int64)
         shard = (keys >> np.uint64(40)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
-        keys, docs, shard = keys[order], docs[order], shard[order].astype(np.int64)
+        keys, docs, runs, shard = keys[order], docs[order], runs[order], shard[order].astype(np.int64)
         cut = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(s, grp, pack_keys(keys[a:b]), pack_counts(docs[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        cols = zip(*rows, strict=True) if rows else [[], [], [], []]
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "grp", "keys", "docs"])
+        rows = [(s, grp, pack_keys(keys[a:b]), pack_counts(docs[a:b]), pack_counts(runs[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        cols = zip(*rows, strict=True) if rows else [[], [], [], [], []]
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "grp", "keys", "docs", "runs"])
 
     return run
 
 
-def _shared_anchors(hot_docs: int):
+def _shared_anchors(hot_segments: int):
     """One shard: for each group the anchors that another document holds too, and which of them are hot."""
 
     def run(shard: pa.Table) -> pa.Table:
-        groups, keys, docs = shard.column("grp").to_pylist(), [], []
-        for k, d in zip(shard.column("keys").to_pylist(), shard.column("docs").to_pylist(), strict=True):
-            keys.append(unpack_keys(k))
-            docs.append(unpack_counts(d))
+        groups = shard.column("grp").to_pylist()
+        keys = [unpack_keys(k) for k in shard.column("keys").to_pylist()]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(docs), len(every)).astype(np.int64)
+        total = lambda c: np.bincount(inverse, np.concatenate([unpack_counts(x) for x in shard.column(c).to_pylist()]), len(every)).astype(np.int64)
+        docs, runs = total("docs"), total("runs")
         rows = []
         for g, own in zip(groups, keys, strict=True):
-            n = total[np.searchsorted(every, own)]
-            if (n > 1).any():
-                rows.append((g, own[(n > 1) & (n <= hot_docs)].astype("<u8").tobytes(), own[n > hot_docs].astype("<u8").tobytes()))
+            at = np.searchsorted(every, own)
+            shared, hot = docs[at] > 1, runs[at] > hot_segments
+            if shared.any():
+                rows.append((g, own[shared & ~hot].astype("<u8").tobytes(), own[shared & hot].astype("<u8").tobytes()))
         kinds = [pa.int32(), pa.binary(), pa.binary()]
         cols = zip(*rows, strict=True) if rows else [[], [], []]
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["grp", "warm", "hot"])
@@ -199,75 +205,74 @@ def _shared_anchors(hot_docs: int):
     return run
 
 
+def _sorted_keys(table: pa.Table, column: str) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(table.column(column).to_pylist()), "<u8")) if table.num_rows else np.empty(0, np.uint64)
+
+
+def _holds(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+
+
 def _cut_segments(length: int):
-    """One group: a segment for each run of windows with a shared anchor; of hot anchors each window by itself."""
+    """One group: each distinct segment of a shared anchor once, of hot anchors each distinct window, with its least and greatest document."""
+    names = ["anchor", "hot", "segment"]
+
+    def distinct(parts: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(parts).group_by(names).aggregate([("low", "min"), ("high", "max")])
+        return out.rename_columns({"low_min": "low", "high_max": "high"}).select([*names, "low", "high"])
 
     def run(group: pa.Table, shared: pa.Table) -> pa.Table:
-        names = ["anchor", "hot", "grp", "row", "doc", "begin", "segment"]
-        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        load = lambda c: np.sort(np.frombuffer(b"".join(shared.column(c).to_pylist()), "<u8"))
-        warm, hot = (load(c) if shared.num_rows else np.empty(0, np.uint64) for c in ("warm", "hot"))
-        holds = lambda keys, h: keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
-        out, parts = [], ([], [])
+        warm, hot = _sorted_keys(shared, "warm"), _sorted_keys(shared, "hot")
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
+        held = [pa.table([pa.array([], k) for k in kinds], names=[*names, "low", "high"])]
         for b in group.to_batches():
-            for n, text in enumerate(texts(b, "text")):
+            found: tuple[list, list] = ([], [])
+            for doc, text in zip(b.column("doc").to_pylist(), texts(b, "text"), strict=True):
                 h, first, last = anchors(text, length)
-                take = holds(warm, h)
-                k, a, z = h[take].view(np.int64), first[take], last[take]
-                parts[0].append((np.full(len(k), n), k, a, [text[i : j + length] for i, j in zip(a.tolist(), z.tolist(), strict=True)]))
-                take = holds(hot, h)
-                at = [i for i, j in zip(first[take].tolist(), last[take].tolist(), strict=True) for i in range(i, j + 1)]
-                own = [text[i : i + length] for i in at]
-                k = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)).view(np.int64)
-                parts[1].append((np.full(len(k), n), k, np.array(at, np.int64), own))
-            for is_hot, found in enumerate(parts):
-                if found:
-                    row, k, a = (np.concatenate([x[i] for x in found]) for i in range(3))
-                    cut = pa.array([s for x in found for s in x[3]], pa.binary())
-                    take = pa.array(row)
-                    cols = [pa.array(k), pa.array(np.full(len(k), bool(is_hot))), *(b.column(c).take(take) for c in ("grp", "row", "doc")), pa.array(a), cut]
-                    out.append(pa.table([c.cast(t) for c, t in zip(cols, kinds, strict=True)], names=names))
-                    found.clear()
-        res = pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds, strict=True))).empty_table()
+                take = _holds(warm, h)
+                if take.any():
+                    a, z = first[take].tolist(), last[take].tolist()
+                    found[0].append((h[take].view(np.int64), doc, [text[i : j + length] for i, j in zip(a, z, strict=True)]))
+                take = _holds(hot, h)
+                if take.any():
+                    k, a, z = h[take].view(np.int64), first[take], last[take]
+                    found[1].append((np.repeat(k, z - a + 1), doc, [text[i : i + length] for x, y in zip(a.tolist(), z.tolist(), strict=True) for i in range(x, y + 1)]))
+            for is_hot, some in enumerate(found):
+                if some:
+                    docs = np.repeat([d for _, d, _ in some], [len(c) for *_, c in some])
+                    cols = [np.concatenate([k for k, *_ in some]), np.full(len(docs), bool(is_hot)), [x for *_, c in some for x in c], docs, docs]
+                    held.append(distinct([pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*names, "low", "high"])]))
+        out = distinct(held)
+        own = pa.array(np.fromiter(map(xxhash.xxh64_intdigest, out.column("segment").to_pylist()), np.uint64, out.num_rows).view(np.int64))
+        grp = pa.array(np.full(out.num_rows, group.column("grp")[0].as_py() if group.num_rows else 0, np.int32))
+        res = out.append_column("h", own).append_column("grp", grp)
         give_back()
-        return res
+        return res.select(["grp", "hot", "anchor", "h", "low", "high", "segment"])
 
     return run
 
 
-SEGMENTS = "anchor long, hot boolean, grp int, row long, doc long, begin long, segment binary"
-RANGES = "grp int, row long, doc long, begin long, end long"
+SEGMENTS = "grp int, hot boolean, anchor long, h long, low long, high long, segment binary"
+ANSWERS = "hot boolean, anchor long, h long, low long, begins array<int>, ends array<int>"
 
 
 def _sorted_ranges(length: int):
-    """Segments in order of their anchor: ranges to remove.  Whole anchors are taken together, about SORT_BYTES at a time."""
+    """Distinct segments in order of their anchor: what goes of each.  Whole anchors are taken together, about SORT_BYTES at a time."""
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held)
-        docs = part.column("doc").to_numpy()
-        # equal segments are sorted once: all windows of a row beyond the least document go
-        coded = part.column("segment").combine_chunks().dictionary_encode()
-        own = coded.indices.to_numpy()
-        least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
-        np.minimum.at(least, own, docs)
-        later = np.flatnonzero(docs > least[own])
-        sizes = pc.binary_length(coded.dictionary).to_numpy()
-        row, begin, end = [later], [np.zeros(len(later), np.int64)], [sizes[own[later]].astype(np.int64)]
-        cut = removed_ranges(least, coded.dictionary.to_pylist(), length)
-        if cut:
-            seg, a, z = (np.array(x) for x in zip(*cut, strict=True))
-            first = np.flatnonzero(docs == least[own])
-            first = first[np.argsort(own[first], kind="stable")]
-            lo, hi = np.searchsorted(own[first], seg), np.searchsorted(own[first], seg, "right")
-            n = hi - lo
-            row.append(first[np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)])
-            begin.append(np.repeat(a, n))
-            end.append(np.repeat(z, n))
-        row, begin, end = (np.concatenate(x) for x in (row, begin, end))
-        if len(row):
-            base, take = part.column("begin").to_numpy()[row], pa.array(row)
-            cols = [part.column(c).combine_chunks().take(take) for c in ("grp", "row", "doc")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(base + begin), pa.array(base + end)], names=["grp", "row", "doc", "begin", "end"])
+        low, high = part.column("low").to_numpy(), part.column("high").to_numpy()
+        cut = removed_ranges(low, part.column("segment").to_pylist(), length)
+        begins: dict[int, list[int]] = {}
+        ends: dict[int, list[int]] = {}
+        for seg, a, z in cut:
+            begins.setdefault(seg, []).append(a)
+            ends.setdefault(seg, []).append(z)
+        rows = np.union1d(np.flatnonzero(high > low), np.fromiter(begins, np.int64, len(begins)))
+        if len(rows):
+            take = part.select(["anchor", "h", "low"]).take(pa.array(rows)).combine_chunks()
+            lists = [pa.array([x.get(r, []) for r in rows.tolist()], pa.list_(pa.int32())) for x in (begins, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), *(c.chunk(0) for c in take.columns), *lists], names=["hot", "anchor", "h", "low", "begins", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -291,17 +296,41 @@ def _sorted_ranges(length: int):
     return run
 
 
-def _remove():
+def _spans(text: bytes, doc: int, length: int, known: np.ndarray, answers: dict[int, tuple], windows: dict[int, int]) -> list[tuple[int, int]]:
+    """The ranges of one text that go; answers and windows are keyed by anchor and hash."""
+    h, first, last = anchors(text, length)
+    take, digest, out = _holds(known, h), xxhash.xxh64_intdigest, []
+    for k, a, z in zip(h[take].tolist(), first[take].tolist(), last[take].tolist(), strict=True):
+        found = answers.get(k << 64 | digest(text[a : z + length]))
+        if found is not None:
+            low, begins, ends = found
+            if doc > low:
+                out.append((a, z + length))
+            elif doc == low:
+                out += [(a + i, a + j) for i, j in zip(begins, ends, strict=True)]
+        elif windows:
+            out += [(i, i + length) for i in range(a, z + 1) if windows.get(k << 64 | digest(text[i : i + length]), doc) < doc]
+    return out
+
+
+def _remove(length: int):
     """One group: every text without its ranges."""
 
-    def run(group: pa.Table, ranges: pa.Table) -> pa.Table:
-        cut: dict[tuple, list[tuple[int, int]]] = {}
-        for row, doc, a, z in zip(*(ranges.column(c).to_pylist() for c in ("row", "doc", "begin", "end")), strict=True):
-            cut.setdefault((row, doc), []).append((a, z))
+    def run(group: pa.Table, told: pa.Table) -> pa.Table:
+        wide = [np.array(told.column(c).to_numpy(), np.int64).view(np.uint64).tolist() for c in ("anchor", "h")]
+        keys = [a << 64 | h for a, h in zip(*wide, strict=True)]
+        rows = zip(keys, told.column("hot").to_pylist(), told.column("low").to_pylist(), told.column("begins").to_pylist(), told.column("ends").to_pylist(), strict=True)
+        answers, windows = {}, {}
+        for k, hot, low, begins, ends in rows:
+            if hot:
+                windows[k] = low
+            else:
+                answers[k] = (low, begins, ends)
+        known = np.unique(np.array(wide[0], np.uint64))
         out: list[list] = [[] for _ in range(5)]
         for b in group.to_batches():
-            for row, doc, copy, text in zip(b.column("row").to_pylist(), b.column("doc").to_pylist(), b.column("copy").to_pylist(), texts(b, "text"), strict=True):
-                spans = [(0, len(text))] if copy else cut.get((row, doc), [])
+            for doc, copy, text in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), texts(b, "text"), strict=True):
+                spans = [(0, len(text))] if copy else [] if doc is None else _spans(text, doc, length, known, answers, windows)
                 kept, at, gone, n = [], 0, 0, 0
                 for a, z in sorted(spans):
                     if a > at or not n:
@@ -313,12 +342,13 @@ def _remove():
                 for c, v in zip(out, (doc, len(text), gone, n, b"".join(kept)), strict=True):
                     c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        give_back()
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for each row of ``docs``.
 
     Texts are UTF-8 bytes, null counts as empty, ids are whole numbers.  Rows of one
@@ -342,24 +372,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
 
     # 2. groups of bounded size
     name = f"groups_{uuid.uuid4().hex}"
-    whole = marked.select(F.pmod(F.hash("doc"), F.lit(groups)).cast("int").alias("grp"), F.xxhash64("text").alias("row"), "doc", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    whole = marked.select(F.pmod(F.hash("doc"), F.lit(groups)).cast("int").alias("grp"), "doc", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
     whole.write.bucketBy(groups, "grp").option("path", scratch_path(spark, "groups")).saveAsTable(name)
     table = spark.table(name)
     first = table.where(~F.col("copy") & F.col("doc").isNotNull()).groupBy("grp")
 
     # 3. - 5. anchors, the shared ones, segments
-    listed = first.applyInArrow(_list_anchors(length, shards), "shard int, grp int, keys binary, docs binary")
-    shared = materialise(listed.groupBy("shard").applyInArrow(_shared_anchors(hot_docs), "grp int, warm binary, hot binary"), "shared-anchors")
+    listed = first.applyInArrow(_list_anchors(length, shards), "shard int, grp int, keys binary, docs binary, runs binary")
+    shared = materialise(listed.groupBy("shard").applyInArrow(_shared_anchors(hot_segments), "grp int, warm binary, hot binary"), "shared-anchors")
     segments = first.cogroup(shared.groupBy("grp")).applyInArrow(_cut_segments(length), SEGMENTS)
     segments = materialise(segments, "segments")
 
-    # 6. ranges
-    warm = segments.where(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    ranges = warm.mapInArrow(_sorted_ranges(length), RANGES)
-    windows = segments.where("hot")
-    lowest = windows.groupBy("anchor", "segment").agg(F.min("doc").alias("low"))
-    hot = windows.join(lowest, ["anchor", "segment"]).where("low < doc").select("grp", "row", "doc", "begin", (F.col("begin") + length).alias("end"))
+    # 6. what goes of each distinct segment
+    distinct = segments.groupBy("hot", "anchor", "h", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    warm = distinct.where(~F.col("hot")).select("anchor", "h", "low", "high", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    none = F.array().cast("array<int>")
+    windows = distinct.where(F.col("hot") & (F.col("low") < F.col("high"))).select("hot", "anchor", "h", "low", none.alias("begins"), none.alias("ends"))
+    answers = warm.mapInArrow(_sorted_ranges(length), ANSWERS).unionByName(windows)
+    told = segments.select("grp", "hot", "anchor", "h").join(answers, ["hot", "anchor", "h"])
 
     # 7. removal
-    both = ranges.unionByName(hot)
-    return table.groupBy("grp").cogroup(both.groupBy("grp")).applyInArrow(_remove(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return table.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -39,10 +39,10 @@ def rows_of(prose):
     return rows
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_DOCS, 1])
+@pytest.mark.parametrize("hot", [substrings.HOT_SEGMENTS, 1])
 def test_removes_what_the_definition_says(docs_of, prose, hot):
     rows = rows_of(prose)
-    got = substrings.remove_repeats(docs_of(rows), length=50, hot_docs=hot).collect()
+    got = substrings.remove_repeats(docs_of(rows), length=50, hot_segments=hot).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute(rows, 50)
 
 
@@ -66,3 +66,13 @@ def test_query(spark, tmp_path, docs_of, prose):
     docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in queries.op7_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {(i, n, g, s, hashlib.sha256(k).hexdigest()) for i, n, g, s, k in brute(rows, 50)}
+
+
+def test_one_line_very_often_in_two_documents(docs_of, prose):
+    """A line a hundred thousand times in two documents is a few distinct segments."""
+    line = "this very line comes again and again in the text " * 2
+    rows = [(1, prose(1, 40) + line * 100_000), (2, line * 100_000 + prose(2, 40)), (3, prose(3, 40) + "z" * 30_000), (4, "z" * 20_000)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs_of(rows), hot_segments=1000).collect()}
+    assert got[1].n_removed == 0 and got[3].n_removed == 0
+    assert got[2].n_spans == 1 and len(line) * 100_000 <= got[2].n_removed < len(line) * 100_000 + 50
+    assert (got[4].n_removed, got[4].n_spans, bytes(got[4].kept)) == (20_000, 1, b"")
