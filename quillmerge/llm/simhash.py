@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge.llm.arrow import steps, texts
-from quillmerge.llm.similar import first_of_each, numbered_rows
+from quillmerge.llm.similar import clashing, first_of_each, numbered_rows
 from quillmerge.operators.components import connected_components
 from quillmerge.sources.scratch import materialise
 
@@ -285,6 +285,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tau: int = 4) -> DataFrame:
     """``docs`` with the first document of each near-duplicate group: smallest id, exactly one row, whatever ids repeat or are null."""
-    rows = numbered_rows(docs)
+    own = clashing(docs)
+    rows = numbered_rows(docs.withColumnsRenamed(own), text_col)
     found = near_duplicates(rows, id_col="row", text_col=text_col, width=width, tau=tau)
-    return first_of_each(rows, found.select("row", F.col("component_id").alias("component")), id_col)
+    kept = first_of_each(rows, found.select("row", F.col("component_id").alias("component")), id_col)
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})

@@ -88,3 +88,11 @@ def test_null_and_repeated_ids_keep_their_texts(docs_of, prose, keep):
     assert sorted((r.text or "") for r in got) == sorted([a, b, c, d, e, ""])
     assert {(r.doc_id, r.text) for r in got} == {(9, a), (None, b), (None, c), (7, d), (3, e), (None, None)}
     assert keep(docs_of([])).count() == 0
+
+
+def test_columns_with_clashing_names_stay(docs_of, prose):
+    docs = docs_of([(1, prose(1, 30)), (2, prose(1, 30)), (3, prose(2, 30)), (None, None), (4, "")]).selectExpr("*", "'r' AS row", "7 AS component", "8 AS key", "9 AS n")
+    for keep in (similar.keep_one, simhash.keep_one):
+        got = keep(docs).collect()
+        assert sorted((str(r.doc_id), r.row, r.component, r.key, r.n) for r in got) == [(i, "r", 7, 8, 9) for i in ("1", "3", "4")]
+        assert keep(docs.limit(0)).count() == 0
