@@ -106,3 +106,40 @@ def test_any_run_of_half_a_window_lies_in_one():
     for n in (40, 41, 59, 60, 61, 333):
         starts = toxicity.window_starts(n, s)
         assert all(any(i <= k and k + s.window // 2 <= i + s.window for i in starts.tolist()) for k in range(n - s.window // 2 + 1))
+
+
+def plain_logit(model, words):
+    """One window, word by word, gate by gate."""
+    s, p = model.s, model.p
+    ids, tri, head = toxicity.features(words or [b""], model.known, s)
+    x = []
+    for i, t, h in zip(ids, tri, head, strict=True):
+        held = [p["char"][b].astype(float) for b in t if b >= 0]
+        v = p["word"][i].astype(float) + (np.mean(held, axis=0) if held else 0)
+        v[0] += 0.4 * max([0.0 if b < 0 else float(model.telling[b]) for b in h])
+        x.append(v)
+    k, sides = s.hidden, {}
+    for d in "fb":
+        h, out = np.zeros(k), []
+        for v in x if d == "f" else x[::-1]:
+            g, u = v @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = (1 / (1 + np.exp(-(g[a : a + k] + u[a : a + k]))) for a in (0, k))
+            h = (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :]) + z * h
+            out.append(h)
+        sides[d] = out if d == "f" else out[::-1]
+    states = np.concatenate([sides["f"], sides["b"]], axis=1)
+    e = np.tanh(states @ p["A"]) @ p["v"]
+    w = np.exp(e - e.max())
+    return (states * (w / w.sum())[:, None]).sum(axis=0) @ p["o"] + p["o0"][0]
+
+
+def test_scores_are_the_highest_of_all_windows_word_by_word(prose):
+    r = random.Random(5)
+    rows = [((prose(k, r.randint(1, 120)) + (" vile rotten" if k % 3 == 0 else "")).encode(), int(k % 3 == 0)) for k in range(60)]
+    model = toxicity.train(rows, SMALL)
+    texts = [t for t, _ in rows[:12]] + [b"", ("x" * 90).encode(), "naïve — café".encode()]
+    got = toxicity.Scorer(model).logits(texts)
+    for text, x in zip(texts, got.tolist(), strict=True):
+        words = toxicity.words_of(text)
+        want = max(plain_logit(model, words[i : i + SMALL.window]) for i in toxicity.window_starts(len(words), SMALL).tolist())
+        assert abs(x - want) < 1e-3
