@@ -15,8 +15,8 @@ Steps: (1) texts equal to a smaller document's are settled by hash, (2) the rest
 are written in groups of bounded size, bucketed by group, so that later steps read
 them without a shuffle, (3) each group lists its anchors, (4) shards of anchors tell
 the shared ones, (5) each group hands on its distinct segments once, with the least
-and the greatest document that holds them, (6) the distinct segments of all groups
-meet: suffix sorting, (7) each group that asked gets the answers and removes its
+and the greatest document that holds them, (6) the segments of all groups meet by anchor:
+suffix sorting, (7) each group gets the answers to its segments and removes its
 ranges.  So an anchor of very many segments in one text, or of one segment in very
 many texts, is a few rows.  An anchor with very many segments all the same is not
 sorted in one task: its windows are grouped by themselves, with a map-side minimum.
@@ -243,36 +243,50 @@ def _cut_segments(length: int):
                     cols = [np.concatenate([k for k, *_ in some]), np.full(len(docs), bool(is_hot)), [x for *_, c in some for x in c], docs, docs]
                     held.append(distinct([pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*names, "low", "high"])]))
         out = distinct(held)
-        own = pa.array(np.fromiter(map(xxhash.xxh64_intdigest, out.column("segment").to_pylist()), np.uint64, out.num_rows).view(np.int64))
-        grp = pa.array(np.full(out.num_rows, group.column("grp")[0].as_py() if group.num_rows else 0, np.int32))
-        res = out.append_column("h", own).append_column("grp", grp)
+        digest = xxhash.xxh64_intdigest
+        wide = zip(out.column("hot").to_pylist(), out.column("segment").to_pylist(), strict=True)
+        own = np.fromiter((digest(x) if is_hot else 0 for is_hot, x in wide), np.uint64, out.num_rows).view(np.int64)
+        grp = np.full(out.num_rows, group.column("grp")[0].as_py() if group.num_rows else 0, np.int32)
+        res = out.append_column("h", pa.array(own)).append_column("grp", pa.array(grp))
         give_back()
         return res.select(["grp", "hot", "anchor", "h", "low", "high", "segment"])
 
     return run
 
 
+#: h is the segment's hash where it is a window of a hot anchor.
 SEGMENTS = "grp int, hot boolean, anchor long, h long, low long, high long, segment binary"
-ANSWERS = "hot boolean, anchor long, h long, low long, begins array<int>, ends array<int>"
+ANSWERS = "grp int, hot boolean, anchor long, h long, low long, begins array<int>, ends array<int>"
 
 
 def _sorted_ranges(length: int):
-    """Distinct segments in order of their anchor: what goes of each.  Whole anchors are taken together, about SORT_BYTES at a time."""
+    """Segments (grp, anchor, low, high, segment) in order of their anchor: what goes of each, for each group.
+
+    Whole anchors are taken together, about SORT_BYTES at a time.
+    """
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(held)
-        low, high = part.column("low").to_numpy(), part.column("high").to_numpy()
-        cut = removed_ranges(low, part.column("segment").to_pylist(), length)
+        # a segment of several groups is sorted once
+        coded = part.column("segment").combine_chunks().dictionary_encode()
+        own, each = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        low, high = np.full(len(each), np.iinfo(np.int64).max), np.full(len(each), np.iinfo(np.int64).min)
+        np.minimum.at(low, own, part.column("low").to_numpy())
+        np.maximum.at(high, own, part.column("high").to_numpy())
         begins: dict[int, list[int]] = {}
         ends: dict[int, list[int]] = {}
-        for seg, a, z in cut:
+        for seg, a, z in removed_ranges(low, each, length):
             begins.setdefault(seg, []).append(a)
             ends.setdefault(seg, []).append(z)
-        rows = np.union1d(np.flatnonzero(high > low), np.fromiter(begins, np.int64, len(begins)))
+        told = high > low
+        told[np.fromiter(begins, np.int64, len(begins))] = True
+        rows = np.flatnonzero(told[own])
         if len(rows):
-            take = part.select(["anchor", "h", "low"]).take(pa.array(rows)).combine_chunks()
-            lists = [pa.array([x.get(r, []) for r in rows.tolist()], pa.list_(pa.int32())) for x in (begins, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), *(c.chunk(0) for c in take.columns), *lists], names=["hot", "anchor", "h", "low", "begins", "ends"])
+            digest, at = xxhash.xxh64_intdigest, own[rows].tolist()
+            hashes = np.fromiter((digest(x) if t else 0 for x, t in zip(each, told.tolist(), strict=True)), np.uint64, len(each)).view(np.int64)
+            grp, anchor = (part.column(c).to_numpy()[rows] for c in ("grp", "anchor"))
+            lists = [pa.array([x.get(r, []) for r in at], pa.list_(pa.int32())) for x in (begins, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(np.zeros(len(rows), bool)), pa.array(anchor), pa.array(hashes[own[rows]]), pa.array(low[own[rows]]), *lists], names=["grp", "hot", "anchor", "h", "low", "begins", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -383,13 +397,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, id_col: str = "doc_id",
     segments = first.cogroup(shared.groupBy("grp")).applyInArrow(_cut_segments(length), SEGMENTS)
     segments = materialise(segments, "segments")
 
-    # 6. what goes of each distinct segment
-    distinct = segments.groupBy("hot", "anchor", "h", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    warm = distinct.where(~F.col("hot")).select("anchor", "h", "low", "high", "segment").repartition("anchor").sortWithinPartitions("anchor")
-    none = F.array().cast("array<int>")
-    windows = distinct.where(F.col("hot") & (F.col("low") < F.col("high"))).select("hot", "anchor", "h", "low", none.alias("begins"), none.alias("ends"))
-    answers = warm.mapInArrow(_sorted_ranges(length), ANSWERS).unionByName(windows)
-    told = segments.select("grp", "hot", "anchor", "h").join(answers, ["hot", "anchor", "h"])
+    # 6. what goes of each segment: an anchor that is not hot has a bounded number of them
+    warm = segments.where(~F.col("hot")).select("grp", "anchor", "low", "high", "segment").repartition("anchor").sortWithinPartitions("anchor")
+    windows, none = segments.where("hot"), F.array().cast("array<int>")
+    lowest = windows.groupBy("anchor", "h", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor", "h", "low")
+    hot = windows.select("grp", "hot", "anchor", "h").join(lowest, ["anchor", "h"]).select("grp", "hot", "anchor", "h", "low", none.alias("begins"), none.alias("ends"))
+    told = warm.mapInArrow(_sorted_ranges(length), ANSWERS).unionByName(hot)
 
     # 7. removal
     return table.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
