@@ -61,7 +61,7 @@ class Pieces:
         self.maybe[self.keys >> np.uint64(44)] = True
         # a byte run must lose against any way to write the text in pieces
         self.unknown = min(scores) * LONG * 4 - 1e6
-        self.table = self.coder = None
+        self.table = None
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -228,22 +228,16 @@ class Pieces:
         return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "coder")}
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, table=None, coder=None)
-
-    def encoder(self) -> Encoder:
-        """One for a Python worker, which serves many tasks."""
-        if self.coder is None:
-            self.coder = Encoder(self)
-        return self.coder
+        self.__dict__.update(state, table=None)
 
 
 class Encoder:
     """Encodes whole texts; remembers the words it has seen, up to a bound."""
 
-    def __init__(self, pieces: Pieces, most_words: int = 600_000):
+    def __init__(self, pieces: Pieces, most_words: int = 400_000):
         self.pieces, self.known = pieces, WordRows(most_words)
         self.mark = pieces.byte_ids[list(MARK.encode())]
 
@@ -308,7 +302,7 @@ def encode(docs: DataFrame, pieces: Pieces, *, text_col: str = "text", ids_col:
     plain = docs.drop(ids_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value.encoder()
+        encoder = Encoder(shared.value)  # of one task: a worker that lives on keeps no words
         for part in steps(parts, text_col, STEP):
             column = _lists(*encoder(pc.fill_null(part.column(text_col), "")))
             yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids_col])
@@ -343,9 +337,10 @@ def round_trip(docs: DataFrame, pieces: Pieces, *, id_col: str = "doc_id", text_
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        encoder = Encoder(own)
         for part in steps(parts, text_col, STEP):
             column = pc.fill_null(part.column(text_col), "")
-            ids, sizes = own.encoder()(column)
+            ids, sizes = encoder(column)
             decoded = _strings(*own.decode_all(ids, sizes))
             columns = [part.column(id_col), pa.array(sizes, pa.int64()), _lists(ids, sizes), decoded, pc.equal(decoded, column)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_pieces", "ids", "decoded", "exact"])
