@@ -93,7 +93,7 @@ def stream_incoming_check(spark, sf_dir):
     rows.write.parquet(source)
     known = materialise(people(spark, sf_dir), "people")
     start_checks(spark.readStream.schema(rows.schema).parquet(source), known, out, mark).awaitTermination()
-    return spark.read.schema("row_id int, verdict string, method string, person string").parquet(out)
+    return spark.read.schema("row_id int, verdict string, method string, person string").parquet(out).select("row_id", "verdict", "method", "person")
 
 
 # ---------------------------------------------------------------- tags
