@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmerge.llm import bitplanes, decontam, line_dedup, lm, multiset, pieces, simhash, substrings, surrogates, toxicity
+from quillmerge.llm import bitplanes, decontam, line_dedup, lm, minhash, multiset, pieces, simhash, substrings, surrogates, toxicity
 
 #: Base of the vocabulary paths; a parameter of the operators.
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -70,15 +70,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity]
+    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity, op12_minhash]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL}
+    return {"op8_line_dedup": LINE_DEDUP_SQL, "op12_minhash": MINHASH_SQL}
 
 
 #: chr(9) to chr(13) and the blank are stripped; translate lowers A-Z only.
@@ -100,3 +104,22 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
 FROM keyed LEFT JOIN hot ON keyed.k = hot.k
 GROUP BY doc_id
 """
+
+#: Every pair that shares a shingle is counted; links are followed until nothing new is reached.
+MINHASH_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM split
+), one AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS src, b.doc_id AS dst FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, dst FROM reach JOIN links ON other = src
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+"""
