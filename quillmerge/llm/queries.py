@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmerge.llm import bitplanes, decontam, line_dedup, lm, minhash, multiset, pieces, simhash, substrings, surrogates, toxicity
+from quillmerge.llm import bitplanes, decontam, line_dedup, lm, minhash, multiset, pieces, simhash, substrings, surrogates, toxicity, turns
+from quillmerge.sources.scratch import materialise
 
 #: Base of the vocabulary paths; a parameter of the operators.
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -74,15 +75,20 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(_table(spark, sf_dir, "conversations"))
+    return turns.digests(rows, materialise(turns.plans(rows), "plans"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity, op12_minhash]
+    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity, op12_minhash, op13_conversation_repair]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL, "op12_minhash": MINHASH_SQL}
+    return {"op8_line_dedup": LINE_DEDUP_SQL, "op12_minhash": MINHASH_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 #: chr(9) to chr(13) and the blank are stripped; translate lowers A-Z only.
@@ -123,3 +129,50 @@ WITH RECURSIVE split AS (
 ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
 """
+
+#: crc32 of an ASCII string, bit by bit.
+CRC32 = """xor(list_reduce([4294967295] || list_transform(range(1, 1 + length({0})), lambda i: ascii({0}[i])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: The cheapest edits by state (0 nothing yet, 1 system, 2 user, 3 assistant), row by row; at most two insertions before a row can pay.
+REPAIR_SQL = f"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), draws AS (SELECT *, {CRC32.format("k")} % 20 AS d FROM drawn
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM draws WHERE d <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM placed
+), facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+), made_up(s, t, price, letters, lines) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'),
+         (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edits(letter, s, initial, t, price) AS (
+  SELECT 'D', s, NULL::VARCHAR, s, 2 FROM range(4) AS r(s)
+  UNION ALL SELECT 'R', s, NULL::VARCHAR, CASE WHEN s = 2 THEN 3 ELSE 2 END, 1 FROM range(4) AS r(s)
+  UNION ALL SELECT 'K', * FROM (VALUES (0, 's', 1, 0), (0, 'u', 2, 0), (1, 'u', 2, 0), (2, 'a', 3, 0), (3, 'u', 2, 0))
+), best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0::BIGINT AS s, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS way FROM conversations
+  UNION ALL
+  SELECT best.conv_id, j.pos, e.t, min({{'cost': way.cost + m.price + e.price + CASE WHEN j.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END, 'audit': way.audit || m.letters || e.letter,
+         'lines': way.lines || m.lines || CASE e.letter WHEN 'K' THEN chr(10) || j.role || ':' || j.text WHEN 'R' THEN chr(10) || CASE WHEN e.t = 3 THEN 'assistant' ELSE 'user' END || ':' || j.text ELSE '' END}})
+  FROM best JOIN judged j ON j.conv_id IS NOT DISTINCT FROM best.conv_id AND j.pos = best.pos + 1 JOIN made_up m ON m.s = best.s
+  JOIN edits e ON e.s = m.t AND (e.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate') AND (e.initial IS NULL OR e.initial = j.role[1]))
+  GROUP BY best.conv_id, j.pos, e.t
+), ended AS (
+  SELECT best.conv_id, min({{'cost': way.cost + m.price, 'audit': way.audit || m.letters, 'lines': way.lines || m.lines}}) AS way
+  FROM best LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id JOIN made_up m ON m.s = best.s
+  WHERE pos = coalesce(n, 0) AND m.t IN (0, 3) GROUP BY best.conv_id
+)
+SELECT ended.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       way.cost AS cost, way.audit AS audit, sha256(substr(way.lines, 2)) AS repaired_sha256
+FROM ended LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
