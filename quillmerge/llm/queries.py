@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmerge.llm import bitplanes, decontam, line_dedup, lm, minhash, multiset, pieces, simhash, substrings, surrogates, toxicity, turns
+from quillmerge.llm import bitplanes, decontam, line_dedup, lm, merkle, minhash, multiset, pieces, simhash, substrings, surrogates, toxicity, turns
 from quillmerge.sources.scratch import materialise
 
 #: Base of the vocabulary paths; a parameter of the operators.
@@ -71,6 +71,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def merkle_audit(docs: DataFrame, step: int = merkle.LEVELS) -> DataFrame:
+    """The tree of all rows, and what it tells of texts that lost their line breaks where the id's crc32 is even."""
+    own = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(*map(F.col, own[:-1]), F.translate("text", "\n", "")))
+    tree = merkle.manifest(docs, merkle.leaf(*map(F.col, own)), tampered, id_col="doc_id", group_col="source", step=step)
+    proof = F.sha2(F.translate("path", "|,", ""), 256)
+    return tree.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -83,7 +96,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity, op12_minhash, op13_conversation_repair]
+    own = [op1_decontaminate, op2_surrogates, op3_bitplanes, op4_multiset_hash, op5_simhash, op6_language_model, op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_toxicity, op11_merkle, op12_minhash, op13_conversation_repair]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
