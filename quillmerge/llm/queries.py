@@ -101,7 +101,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL, "op12_minhash": MINHASH_SQL, "op13_conversation_repair": REPAIR_SQL}
+    return {"op8_line_dedup": LINE_DEDUP_SQL, "op11_merkle": MERKLE_SQL, "op12_minhash": MINHASH_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 #: chr(9) to chr(13) and the blank are stripped; translate lowers A-Z only.
@@ -189,3 +189,44 @@ SELECT ended.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, co
        way.cost AS cost, way.audit AS audit, sha256(substr(way.lines, 2)) AS repaired_sha256
 FROM ended LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ended.conv_id
 """
+
+#: As a leaf has it: byte count, colon, value.
+FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+
+#: Trees level by level; each leaf then climbs its own group's tree and the one over the groups.
+MERKLE_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, {FIELD.format("doc_id")} || {FIELD.format("source")} || {FIELD.format("lang")} || {FIELD.format("n_chars")} AS head, text,
+         coalesce({CRC32.format("(doc_id::VARCHAR)")} % 2 = 0, false) AS bad FROM documents
+), leaves AS (
+  SELECT doc_id, g, sha256(head || {FIELD.format("text")}) AS leaf, sha256(head || {FIELD.format("(CASE WHEN bad THEN replace(text, chr(10), '') ELSE text END)")}) AS claimed,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, sha256(head || {FIELD.format("text")})) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows
+), tree AS (
+  SELECT g, 0 AS level, i, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY g, level, i // 3, n
+), subroots AS (
+  SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1
+), trunk AS (
+  SELECT 0 AS level, i, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM trunk WHERE n > 1 GROUP BY level, i // 3, n
+), beside AS (
+  SELECT t.g, t.level, t.i, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < t.i), '') AS l, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > t.i), '') AS r
+  FROM tree t JOIN tree o ON o.g = t.g AND o.level = t.level AND o.i // 3 = t.i // 3 WHERE t.n > 1 GROUP BY ALL
+), above AS (
+  SELECT t.level, t.i, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < t.i), '') AS l, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > t.i), '') AS r
+  FROM trunk t JOIN trunk o ON o.level = t.level AND o.i // 3 = t.i // 3 WHERE t.n > 1 GROUP BY ALL
+), climb AS (
+  SELECT g, i AS leaf_i, 0 AS level, i, claimed AS digest, '' AS proof, false AS trunk FROM leaves
+  UNION ALL
+  SELECT c.g, c.leaf_i, CASE WHEN b.g IS NULL AND NOT c.trunk THEN 0 ELSE c.level + 1 END, CASE WHEN c.trunk OR b.g IS NOT NULL THEN c.i // 3 ELSE s.i END,
+         CASE WHEN c.trunk THEN sha256(a.l || c.digest || a.r) WHEN b.g IS NOT NULL THEN sha256(b.l || c.digest || b.r) ELSE c.digest END,
+         c.proof || CASE WHEN c.trunk THEN a.l || a.r WHEN b.g IS NOT NULL THEN b.l || b.r ELSE '' END, c.trunk OR b.g IS NULL
+  FROM climb c JOIN subroots s ON s.g = c.g LEFT JOIN beside b ON NOT c.trunk AND b.g = c.g AND b.level = c.level AND b.i = c.i LEFT JOIN above a ON c.trunk AND a.level = c.level AND a.i = c.i
+  WHERE NOT c.trunk OR a.i IS NOT NULL
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM leaves JOIN subroots USING (g) JOIN climb ON climb.g = leaves.g AND climb.leaf_i = leaves.i AND climb.trunk, (SELECT digest AS root FROM trunk WHERE n = 1)
+WHERE climb.level = (SELECT max(level) FROM trunk)
+"""
