@@ -5,16 +5,18 @@ from quillmerge.llm import decontam
 
 
 def brute(rows, items, width, overlap):
-    """Every passage of every text against every item, without an index."""
+    """Every passage of every text against every item, without an index; an item's passages follow its own length."""
     own = {i: decontam.as_item(i, (t or "").encode(), None, width) for i, t in items}
     own = {i: x for i, x in own.items() if x.words}
-    longest = max(len(x.words) for x in own.values())
     out = set()
     for doc, text in rows:
         words = decontam.words_of((text or "").encode())
-        for a in range(0, max(1, len(words) - longest), longest):
-            passage = words[a : a + 2 * longest]
-            for i, x in own.items():
+        for i, x in own.items():
+            size = 1
+            while size < len(x.words):
+                size *= 2
+            for a in range(0, max(1, len(words) - size), size):
+                passage = words[a : a + 2 * size]
                 share = []
                 for part in (x.question, x.answer):
                     runs = {k: set(decontam.shingles(passage, k)) for k in {len(s) for s in part}}
@@ -42,13 +44,28 @@ def test_finds_what_brute_force_finds(spark, docs_of, prose):
     assert 2 not in left and 1 in left and 50 in left
 
 
-@pytest.mark.parametrize("shards", [1, 3])
-def test_shards_change_nothing(spark, docs_of, prose, monkeypatch, shards):
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_shards_and_other_items_change_nothing(spark, docs_of, prose, monkeypatch, shards):
+    """Items of 10, 30 and 500 words; one of 14 in two pieces 60 words apart, which no passage of its own holds."""
     monkeypatch.setattr(decontam, "_shards", lambda items: list(range(shards)))
-    items = [(k, prose(900 + k, 30)) for k in range(9)]
-    rows = [(k, prose(k, 40) + " " + items[k][1]) for k in range(9)]
-    got = decontam.find_leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(9)}
+    items = [(k, prose(900 + k, (10, 30, 500)[k % 3])) for k in range(9)] + [(20, prose(950, 14))]
+    rows = [(k, prose(k, 40) + " " + items[k][1]) for k in range(9)] + [(9, "clean"), (None, None), (None, "clean too"), (None, items[1][1])]
+    apart = items[9][1].split(" ")
+    rows += [(30, " ".join(apart[:9]) + " " + prose(3, 60) + " " + " ".join(apart[5:])), (30, items[9][1])]
+    docs, bench = docs_of(rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_leaks(docs, bench)
+    want = brute(rows, items, 5, 0.8)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want == {(k, k) for k in range(9)} | {(None, 1), (30, 20)}
+    kept = decontam.drop_leaks(docs.selectExpr("*", "1 AS row"), bench)
+    assert kept.columns == [*docs.columns, "row"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(9, "clean"), (None, None), (None, "clean too"), (30, rows[13][1])], key=str)
+
+
+def test_very_long_text(spark, docs_of, prose):
+    items = [(1, prose(901, 30)), (2, prose(902, 300))]
+    many = " ".join(prose(k, 1000) for k in range(300))
+    rows = [(1, many + " " + items[1][1] + " " + many), (2, many), (3, "x" * 3_000_000)]
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 2)}
 
 
 def test_empty_tables(spark, docs_of):
@@ -87,26 +104,55 @@ def test_closed_blocks_are_not_scored(prose):
     items = [decontam.as_item(k, prose(900 + k, 30).encode(), None, 5) for k in range(400)]
     df = Counter(w for x in items for w in set(x.words))
     index = decontam.Index(items, df, len(items), 30.0, 0.8)
+    (shelf,) = index.shelves
     docs = [decontam.words_of(f"{prose(k, 40)} {prose(900 + k, 30)} {prose(k + 1, 40)}".encode()) for k in range(20)]
     found = index.leaks(docs, 5)
     assert [{index.items[j].item_id for j in x} for x in found] == [{k} for k in range(20)]
-    passages = sum(max(1, -(-(len(d) - 30) // 30)) for d in docs)
-    assert 0 < index.opened < passages * index.n_blocks / 10
-    assert index.posted < index.opened * index.block * 60
+    passages = sum(max(1, -(-(len(d) - 32) // 32)) for d in docs)
+    assert 20 <= shelf.scored < passages * len(items) / 100
+    assert shelf.pivots < passages * len(items) / 10
     # against plain BM25 over every item
     weight = [{w: float(v) for w, v in _impacts(x, df, len(items)).items()} for x in items]
     ids = np.array([index.term.get(w, -1) for w in docs[3]], np.int64)
-    hits = {(int(w), index.items[j].item_id): s for w, j, s in index.search(ids, np.array([0]), np.array([len(ids)]))}
+    hits = {(int(w), index.items[j].item_id): s for w, j, s in shelf.search(ids, np.array([0]), np.array([len(ids)]))}
     scores = {x.item_id: sum(v for w, v in weight[x.item_id].items() if w in set(docs[3])) for x in items}
     limit = {x.item_id: index.threshold[j] for j, x in enumerate(index.items)}
     assert {i for _, i in hits} == {i for i, s in scores.items() if s >= limit[i]}
     assert all(abs(s - scores[i]) < 1e-9 for (_, i), s in hits.items())
 
 
-def _impacts(item, df, n):
+def test_every_item_over_its_threshold_is_retrieved():
+    """Random passages of few words, so that pivots, shut blocks and scored items all occur: the same as scoring everything."""
+    import random
     from collections import Counter
 
-    norm = decontam.K1 * (1 - decontam.B + decontam.B * len(item.words) / 30.0)
+    r = random.Random(5)
+    words = [f"w{i}".encode() for i in range(60)]
+    draw = lambda n: b" ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=n))
+    items = [decontam.as_item(k, draw(r.choice([3, 6, 12, 25])), None, 5) for k in range(150)]
+    df = Counter(w for x in items for w in set(x.words))
+    index = decontam.Index(items, df, len(items), 12.0, 0.5)
+    index.threshold *= 0.6
+    for shelf in index.shelves:
+        shelf.__init__(shelf.items, index.term, [_impacts(x, df, len(items), 12.0) for _, x in shelf.items], np.array([index.threshold[j] for j, _ in shelf.items]), 4)
+        text = draw(2000).split()
+        ids = np.array([index.term.get(w, -1) for w in text], np.int64)
+        first = np.arange(0, 1990, 10)
+        got = {(w, j): s for w, j, s in shelf.search(ids, first, first + 10)}
+        want = {}
+        for w, a in enumerate(first.tolist()):
+            for j, (k, x) in enumerate(shelf.items):
+                score = sum(v for t, v in _impacts(x, df, len(items), 12.0).items() if t in set(text[a : a + 10]))
+                if score and score >= index.threshold[k]:
+                    want[w, j] = score
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        assert want and shelf.skips and shelf.scored
+
+
+def _impacts(item, df, n, mean=30.0):
+    from collections import Counter
+
+    norm = decontam.K1 * (1 - decontam.B + decontam.B * len(item.words) / mean)
     return {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (decontam.K1 + 1) / (f + norm) for w, f in Counter(item.words).items()}
 
 
@@ -114,4 +160,5 @@ def test_ids_of_any_type_and_other_columns(spark, docs_of, prose):
     items = spark.createDataFrame([("q-1", prose(901, 30), 1), (None, prose(902, 30), 2)], "item_id string, text string, doc_id int")
     docs = docs_of([(1, prose(901, 30)), (1, prose(902, 30)), (1, "clean")]).selectExpr("*", "'x' AS item_id", "1 AS score", "2 AS leaked")
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()} == {(1, "q-1"), (1, None)}
-    assert decontam.drop_leaks(docs, items).count() == 0
+    kept = decontam.drop_leaks(docs, items)
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] == ["clean"]
