@@ -42,6 +42,8 @@ GRAM = 20
 HOT_SEGMENTS = 20_000
 #: Text bytes of a group; anchors of a shard follow from it.
 GROUP_BYTES = 32 << 20
+#: Windows of a text that are looked at at a time.
+CHUNK = 1 << 20
 #: Segment bytes that a suffix sort holds at a time.
 SORT_BYTES = 1 << 20
 
@@ -66,14 +68,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): the anchor of each run of windows that share one, and their first and last start."""
-    if len(text) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    out = []
-    size = 1 << 22
-    for lo in range(0, len(text) - length + 1, size):
-        data = np.frombuffer(text[lo : lo + size + length - 1], np.uint8)
+def anchor_chunks(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, first, last): the anchor of each run of windows that share one, and their first and last start, stretch by stretch of the text."""
+    for lo in range(0, len(text) - length + 1, CHUNK):
+        data = np.frombuffer(text[lo : lo + CHUNK + length - 1], np.uint8)
         h = gram_hashes(data)
         # low bits give way to the position: ties fall on the leftmost gram
         low = (h & ~np.uint64(0x7FFFFF)) | np.arange(len(h), dtype=np.uint64)
@@ -86,8 +84,35 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at = (low & np.uint64(0x7FFFFF)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
-        out.append((h[at[first]], first + lo, last + lo))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield h[at[first]], first + lo, last + lo
+
+
+def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a whole text."""
+    found = list(anchor_chunks(text, length)) or [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def anchor_counts(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a text, sorted, and how many runs each has."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for h, _, _ in anchor_chunks(text, length):
+        some, n = np.unique(h, return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    return keys, counts
+
+
+def run_windows(text: bytes, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, hash) of every window of runs within one stretch; equal windows have equal hashes."""
+    lo, n = int(first[0]), last - first + 1
+    run = np.repeat(np.arange(len(n)), n)
+    start = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+    grams = gram_hashes(np.frombuffer(text[lo : int(last[-1]) + length], np.uint8))
+    h = grams[start - lo]
+    for offset in [*range(GRAM, length - GRAM, GRAM), length - GRAM]:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + grams[start - lo + offset]
+    return run, start, h
 
 
 # ---------------------------------------------------------------- suffix sorting
@@ -166,7 +191,7 @@ def _list_anchors(length: int, shards: int):
 
     def run(group: pa.Table) -> pa.Table:
         grp = group.column("grp")[0].as_py()
-        found = [np.unique(anchors(t, length)[0], return_counts=True) for b in group.to_batches() for t in texts(b, "text")]
+        found = [anchor_counts(t, length) for b in group.to_batches() for t in texts(b, "text")]
         empty = np.empty(0, np.int64)
         keys, at = np.unique(np.concatenate([empty.view(np.uint64), *(k for k, _ in found)]), return_inverse=True)
         docs = np.bincount(at, minlength=len(keys))
@@ -215,7 +240,11 @@ def _holds(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _cut_segments(length: int):
     """One group: each distinct segment of a shared anchor once, of hot anchors each distinct window, with its least and greatest document."""
-    names = ["anchor", "hot", "segment"]
+    names, kinds = ["anchor", "hot", "h", "segment"], [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def table(anchor: np.ndarray, hot: bool, h: np.ndarray, segments: list[bytes], doc: np.ndarray) -> pa.Table:
+        columns = [anchor.view(np.int64), np.full(len(anchor), hot), h.view(np.int64), segments, doc, doc]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*names, "low", "high"])
 
     def distinct(parts: list[pa.Table]) -> pa.Table:
         out = pa.concat_tables(parts).group_by(names).aggregate([("low", "min"), ("high", "max")])
@@ -223,38 +252,35 @@ def _cut_segments(length: int):
 
     def run(group: pa.Table, shared: pa.Table) -> pa.Table:
         warm, hot = _sorted_keys(shared, "warm"), _sorted_keys(shared, "hot")
-        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
-        held = [pa.table([pa.array([], k) for k in kinds], names=[*names, "low", "high"])]
+        none = np.empty(0, np.int64)
+        held = [table(none, False, none, [], none)]
+        size = 0
         for b in group.to_batches():
-            found: tuple[list, list] = ([], [])
             for doc, text in zip(b.column("doc").to_pylist(), texts(b, "text"), strict=True):
-                h, first, last = anchors(text, length)
-                take = _holds(warm, h)
-                if take.any():
-                    a, z = first[take].tolist(), last[take].tolist()
-                    found[0].append((h[take].view(np.int64), doc, [text[i : j + length] for i, j in zip(a, z, strict=True)]))
-                take = _holds(hot, h)
-                if take.any():
-                    k, a, z = h[take].view(np.int64), first[take], last[take]
-                    found[1].append((np.repeat(k, z - a + 1), doc, [text[i : i + length] for x, y in zip(a.tolist(), z.tolist(), strict=True) for i in range(x, y + 1)]))
-            for is_hot, some in enumerate(found):
-                if some:
-                    docs = np.repeat([d for _, d, _ in some], [len(c) for *_, c in some])
-                    cols = [np.concatenate([k for k, *_ in some]), np.full(len(docs), bool(is_hot)), [x for *_, c in some for x in c], docs, docs]
-                    held.append(distinct([pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*names, "low", "high"])]))
+                for h, first, last in anchor_chunks(text, length):
+                    take = _holds(warm, h)
+                    if take.any():
+                        runs = zip(first[take].tolist(), last[take].tolist(), strict=True)
+                        held.append(table(h[take], False, np.zeros(int(take.sum()), np.int64), [text[i : j + length] for i, j in runs], np.full(int(take.sum()), doc)))
+                        size += held[-1].num_rows
+                    take = _holds(hot, h)
+                    if take.any():
+                        own, start, window = run_windows(text, first[take], last[take], length)
+                        window, at = np.unique(window, return_index=True)  # one slice for each distinct window
+                        held.append(table(h[take][own[at]], True, window, [text[i : i + length] for i in start[at].tolist()], np.full(len(at), doc)))
+                        size += held[-1].num_rows
+                    if size > CHUNK // 4:
+                        held = [distinct(held)]
+                        size = 0
         out = distinct(held)
-        digest = xxhash.xxh64_intdigest
-        wide = zip(out.column("hot").to_pylist(), out.column("segment").to_pylist(), strict=True)
-        own = np.fromiter((digest(x) if is_hot else 0 for is_hot, x in wide), np.uint64, out.num_rows).view(np.int64)
         grp = np.full(out.num_rows, group.column("grp")[0].as_py() if group.num_rows else 0, np.int32)
-        res = out.append_column("h", pa.array(own)).append_column("grp", pa.array(grp))
         give_back()
-        return res.select(["grp", "hot", "anchor", "h", "low", "high", "segment"])
+        return out.append_column("grp", pa.array(grp)).select(["grp", "hot", "anchor", "h", "low", "high", "segment"])
 
     return run
 
 
-#: h is the segment's hash where it is a window of a hot anchor.
+#: h is the window's hash under a hot anchor.
 SEGMENTS = "grp int, hot boolean, anchor long, h long, low long, high long, segment binary"
 ANSWERS = "grp int, hot boolean, anchor long, h long, low long, begins array<int>, ends array<int>"
 
@@ -310,20 +336,30 @@ def _sorted_ranges(length: int):
     return run
 
 
-def _spans(text: bytes, doc: int, length: int, known: np.ndarray, answers: dict[int, tuple], windows: dict[int, int]) -> list[tuple[int, int]]:
-    """The ranges of one text that go; answers and windows are keyed by anchor and hash."""
-    h, first, last = anchors(text, length)
-    take, digest, out = _holds(known, h), xxhash.xxh64_intdigest, []
-    for k, a, z in zip(h[take].tolist(), first[take].tolist(), last[take].tolist(), strict=True):
-        found = answers.get(k << 64 | digest(text[a : z + length]))
-        if found is not None:
-            low, begins, ends = found
-            if doc > low:
-                out.append((a, z + length))
-            elif doc == low:
-                out += [(a + i, a + j) for i, j in zip(begins, ends, strict=True)]
-        elif windows:
-            out += [(i, i + length) for i in range(a, z + 1) if windows.get(k << 64 | digest(text[i : i + length]), doc) < doc]
+def _spans(text: bytes, doc: int, length: int, warm: np.ndarray, answers: dict[int, tuple], hot: np.ndarray, windows: np.ndarray, least: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of one text that go.
+
+    ``answers`` are keyed by anchor and hash of a segment of the anchors ``warm``;
+    ``windows`` are the sorted hashes of windows of the anchors ``hot``, ``least`` their documents.
+    """
+    digest, out = xxhash.xxh64_intdigest, []
+    for h, first, last in anchor_chunks(text, length):
+        take = _holds(warm, h)
+        for k, a, z in zip(h[take].tolist(), first[take].tolist(), last[take].tolist(), strict=True):
+            found = answers.get(k << 64 | digest(text[a : z + length]))
+            if found is not None:
+                low, begins, ends = found
+                if doc > low:
+                    out.append((a, z + length))
+                elif doc == low:
+                    out += [(a + i, a + j) for i, j in zip(begins, ends, strict=True)]
+        take = _holds(hot, h)
+        if take.any() and len(windows):
+            _, start, window = run_windows(text, first[take], last[take], length)
+            at = np.minimum(np.searchsorted(windows, window), len(windows) - 1)
+            gone = start[(windows[at] == window) & (least[at] < doc)]
+            begin = np.flatnonzero(np.diff(gone, prepend=-length - 1) > length)
+            out += zip(gone[begin].tolist(), (gone[np.append(begin[1:], len(gone)) - 1] + length).tolist(), strict=True) if len(gone) else []
     return out
 
 
@@ -331,20 +367,18 @@ def _remove(length: int):
     """One group: every text without its ranges."""
 
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
-        wide = [np.array(told.column(c).to_numpy(), np.int64).view(np.uint64).tolist() for c in ("anchor", "h")]
-        keys = [a << 64 | h for a, h in zip(*wide, strict=True)]
-        rows = zip(keys, told.column("hot").to_pylist(), told.column("low").to_pylist(), told.column("begins").to_pylist(), told.column("ends").to_pylist(), strict=True)
-        answers, windows = {}, {}
-        for k, hot, low, begins, ends in rows:
-            if hot:
-                windows[k] = low
-            else:
-                answers[k] = (low, begins, ends)
-        known = np.unique(np.array(wide[0], np.uint64))
+        hot = told.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+        anchor, h = (np.array(told.column(c).to_numpy(), np.int64).view(np.uint64) for c in ("anchor", "h"))
+        least = np.array(told.column("low").to_numpy(), np.int64)
+        plain = told.filter(pa.array(~hot))
+        keys = [a << 64 | x for a, x in zip(anchor[~hot].tolist(), h[~hot].tolist(), strict=True)]
+        answers = dict(zip(keys, zip(*[plain.column(c).to_pylist() for c in ("low", "begins", "ends")], strict=True), strict=True))
+        order = np.argsort(h[hot])
+        known = (np.unique(anchor[~hot]), answers, np.unique(anchor[hot]), h[hot][order], least[hot][order])
         out: list[list] = [[] for _ in range(5)]
         for b in group.to_batches():
             for doc, copy, text in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), texts(b, "text"), strict=True):
-                spans = [(0, len(text))] if copy else [] if doc is None else _spans(text, doc, length, known, answers, windows)
+                spans = [(0, len(text))] if copy else [] if doc is None else _spans(text, doc, length, *known)
                 kept, at, gone, n = [], 0, 0, 0
                 for a, z in sorted(spans):
                     if a > at or not n:

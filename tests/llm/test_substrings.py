@@ -76,3 +76,33 @@ def test_one_line_very_often_in_two_documents(docs_of, prose):
     assert got[1].n_removed == 0 and got[3].n_removed == 0
     assert got[2].n_spans == 1 and len(line) * 100_000 <= got[2].n_removed < len(line) * 100_000 + 50
     assert (got[4].n_removed, got[4].n_spans, bytes(got[4].kept)) == (20_000, 1, b"")
+
+
+@pytest.mark.parametrize("unit", ["a", "abcdefg hij"])
+def test_long_repetitive_texts_in_bounded_memory(unit):
+    """Two texts of 16 MB of one unit, through the steps of a task: under 1 GB, and in the end nothing of the second is left."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource
+import numpy as np
+import pyarrow as pa
+from quillmerge.llm import substrings as s
+n = 16 << 20
+unit = {unit!r}
+group = pa.table({{"grp": pa.array([0, 0], pa.int32()), "doc": [1, 2], "copy": [False, False], "text": [unit * (n // len(unit)), unit * (n // len(unit) - 7)]}})
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+listed = s._list_anchors(50, 1)(group)
+shared = s._shared_anchors(s.HOT_SEGMENTS)(listed)
+cut = s._cut_segments(50)(group, shared)
+assert cut.num_rows <= 2 * len(unit), cut.num_rows
+hot = cut.filter(pa.compute.equal(cut.column("hot"), True))
+told = hot.drop_columns(["high", "segment"]).append_column("begins", pa.array([[]] * hot.num_rows, pa.list_(pa.int32()))).append_column("ends", pa.array([[]] * hot.num_rows, pa.list_(pa.int32())))
+out = s._remove(50)(group, told).to_pylist()
+assert [(r["n_removed"], len(r["kept"])) for r in out] == [(0, len(group["text"][0].as_py())), (len(group["text"][1].as_py()), 0)], [(r["n_removed"], len(r["kept"])) for r in out]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", "import pyarrow.compute\n" + code], capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
