@@ -440,9 +440,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, id_col: str = "doc_i
     """Train on at most ``s.sample_docs`` documents of each class, the ones of smallest id hash.
 
     Held-out documents, rows with a null label, labels without a document and texts of
-    over ``s.sample_doc_bytes`` teach nothing; a null text counts as empty, each of
-    several rows with one id is learnt from.  The sample is chosen by ids alone and only
-    its texts are read.
+    over ``s.sample_doc_bytes`` teach nothing; a null text counts as empty; of several
+    rows with one id the one of least text hash is learnt from, so that twice
+    ``s.sample_docs`` rows come to the driver at most.  The sample is chosen by ids alone
+    and only its texts are read.
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).where(~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     there = marked.join(docs.select(F.col(id_col).alias("id")).distinct(), "id").distinct().withColumn("h", F.xxhash64("id"))
@@ -452,7 +453,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings, *, id_col: str = "doc_i
     sample = docs.sparkSession.createDataFrame([(r["id"], r["y"], r["h"]) for r in chosen], there.schema)
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= s.sample_doc_bytes)
     found = short.join(F.broadcast(sample), "id")  # bounded by sample_docs and sample_doc_bytes
-    rows = sorted(found.collect(), key=lambda r: (r["h"], r["id"], r["t"] or ""))
+    one = found.groupBy("id", "y", "h").agg(F.min(F.struct(F.xxhash64("t").alias("k"), "t"))["t"].alias("t"))  # combined before the shuffle
+    rows = sorted(one.collect(), key=lambda r: (r["h"], r["id"], r["t"] or ""))
     return train([((r["t"] or "").encode(), r["y"]) for r in rows], s)
 
 
