@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: a ternary tree for each group, and one over the groups.
 
 Leaves are numbered without sorting them.  Ids of a group become compressed bitmaps of
-65,536 ids each; partial bitmaps are merged by ``or``, a directory of popcounts runs
+4,096 ids each; partial bitmaps are merged by ``or``, a directory of popcounts runs
 over the bitmaps of a group, and a leaf's coordinate is the directory's entry plus the
 rank of its id in its bitmap (popcounts of the words before, and of the bits below).
 Ids that several rows share have one bit; such rows, and only they, are numbered among
@@ -31,11 +31,11 @@ from quillmerge.sources.scratch import materialise
 #: Children of a node; levels that one task reduces.
 ARITY, LEVELS = 3, 8
 #: Ids of one bitmap, as a power of two; bits of one directory word.
-CHUNK_BITS = 16
+CHUNK_BITS = 12
 #: A bitmap with fewer ids is a list of them.
-SPARSE = 4096
+SPARSE = 256
 #: Null ids stand before all others.
-NULL_HI = -(1 << 47) - 1
+NULL_HI = -(1 << (63 - CHUNK_BITS)) - 1
 
 
 def field(value: Column) -> Column:
@@ -66,7 +66,7 @@ def depth(n: int) -> int:
 
 
 def pack(low: np.ndarray) -> bytes:
-    """Distinct sorted numbers under 2**16 as a compressed bitmap, or as a list where they are few."""
+    """Distinct sorted numbers of a chunk as a compressed bitmap, or as a list where they are few."""
     if len(low) < SPARSE:
         return b"l" + zstandard.ZstdCompressor(level=1).compress(low.astype("<u2").tobytes())
     bits = np.zeros(1 << CHUNK_BITS, np.uint8)
@@ -75,7 +75,7 @@ def pack(low: np.ndarray) -> bytes:
 
 
 def unpack(body: bytes) -> np.ndarray:
-    """The bitmap's 1,024 words of 64 bits."""
+    """The bitmap's words of 64 bits."""
     raw = zstandard.ZstdDecompressor().decompress(body[1:], max_output_size=1 << CHUNK_BITS)
     if body[:1] == b"b":
         return np.frombuffer(raw, "<u8")
@@ -197,7 +197,7 @@ def coordinates(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         times = leaves.join(shared, ["g", "hi"]).groupBy("g", "hi", "low").agg(F.count("*").alias("n")).where("n > 1")
         times = materialise(times, "repeated-ids")
-        more = times.groupBy("g", "hi").agg(F.collect_list(F.struct("low", (F.col("n") - 1).alias("n"))).alias("extra"))  # 65,536 at most
+        more = times.groupBy("g", "hi").agg(F.collect_list(F.struct("low", (F.col("n") - 1).alias("n"))).alias("extra"))  # as many as a chunk has ids at most
         chunk = chunk.join(more, ["g", "hi"], "left")
         repeated = running(leaves.join(times.select("g", "hi", "low"), ["g", "hi", "low"]).select("g", "hi", "low", "leaf", "row", F.lit(1).alias("one")), ["g", "hi", "low"], ["leaf", "row"], "one")
         single = leaves.join(times, ["g", "hi", "low"], "left_anti").select("g", "hi", "low", "row")

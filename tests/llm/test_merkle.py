@@ -107,9 +107,9 @@ def test_other_columns_and_long_text(spark):
 
 def test_ranks_in_bitmaps():
     r = np.random.default_rng(0)
-    for n in (1, 5, 4095, 4096, 60_000, 65_536):
-        low = np.sort(r.choice(1 << 16, n, replace=False))
+    for n in (1, 5, 255, 256, 3000, 4096):
+        low = np.sort(r.choice(1 << merkle.CHUNK_BITS, n, replace=False))
         words = merkle.unpack(merkle.pack(low))
         assert (merkle.ids_of(words) == low).all()
-        asked = r.integers(0, 1 << 16, 1000)
+        asked = r.integers(0, 1 << merkle.CHUNK_BITS, 1000)
         assert (merkle.rank(words, asked) == np.searchsorted(low, asked)).all()
