@@ -8,9 +8,9 @@ similarity of the shingle sets:
 1. equal shingle sets are one set from here on,
 2. sets that share a band are linked to the least set of that band, and the
    components of these links hold the candidates,
-3. the sets of a component meet in one task (a large component in pairs of its
-   parts); a prefix index over the rarest shingles finds every pair that can
-   reach the similarity, and a pair that reaches it is a link.
+3. the sets of a component meet in one task, in parts where it is large; a prefix
+   index over the rarest shingles finds every pair that can reach the similarity,
+   and a pair that reaches it is a link.
 
 A task hands on a spanning forest of its links, never all pairs.
 """
@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmerge.llm.arrow import give_back, steps, texts
+from quillmerge.llm.arrow import steps, texts
+from quillmerge.llm.meet import links_within
 from quillmerge.operators.components import connected_components
 from quillmerge.sources.scratch import materialise, scratch_path
 
 #: A pair with Jaccard 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24, 3 in a million.
 BANDS, BAND_ROWS = 24, 4
-#: Shingles that a part of a component holds; a task holds two parts.
+#: Shingles that a part of a component holds; a task holds two parts at most.
 PART_SHINGLES = 2 << 20
 #: Text bytes of a bucket of rows.
 BUCKET_BYTES = 64 << 20
@@ -135,50 +136,18 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def _links(width: int, similarity: float, text_col: str):
-    """Rows (component, cell, row, text) sorted by the first two: the links inside each group."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, sets = None, [], []
-
-        def flush():
-            pairs = forest(sets, similarity) if len(sets) > 1 else []
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in x], pa.int64()) for x in (a, b)], names=["src", "dst"])
-
-        for part in parts:
-            where = zip(part.column("component").to_pylist(), part.column("cell").to_pylist(), strict=True)
-            for mine, row, text in zip(where, part.column("row").to_pylist(), texts(part, text_col), strict=True):
-                if mine != group:
-                    yield from flush()
-                    group, rows, sets = mine, [], []
-                rows.append(row)
-                sets.append(shingle_set(text, width))
-        yield from flush()
-        give_back()
-
-    return run
-
-
 def jaccard_links(rows: DataFrame, sets: DataFrame, text_col: str, width: int, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """(src, dst): links between rows of distinct ``sets`` that connect all candidate pairs of ``similarity`` or more.
 
-    A component of candidates with over ``part_shingles`` shingles is split by hash
-    into c parts, and each pair of parts becomes a group of its own.
+    The sets of a component of candidates meet in a task, in parts of about
+    ``part_shingles`` shingles where they are more (``meet``).
     """
     keyed = sets.select("row", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
     stars = keyed.join(least, "key").where("row <> least").select(F.col("least").alias("src"), F.col("row").alias("dst")).distinct()
-    nodes = connected_components(stars).withColumnRenamed("node", "row")
-    sized = materialise(nodes.join(sets.select("row", "n"), "row"), "candidates")
-    cells = sized.groupBy("component").agg(F.ceil(F.sum("n") / part_shingles).cast("long").alias("cells"))
-    mine = F.pmod(F.xxhash64("row"), F.col("cells"))
-    groups = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: F.least(c, mine) * F.col("cells") + F.greatest(c, mine))
-    dealt = sized.join(cells, "component").select("row", "component", F.explode(groups).alias("cell"))
-    met = rows.select("row", text_col).join(dealt, "row").select("component", "cell", "row", text_col)
-    met = met.repartition("component", "cell").sortWithinPartitions("component", "cell")
-    return met.mapInArrow(_links(width, similarity, text_col), "src long, dst long")
+    nodes = connected_components(stars)
+    members = materialise(nodes.join(sets.select("row", "n"), nodes["node"] == sets["row"]).select(F.col("component").alias("group"), "row", F.col("n").alias("weight")), "candidates")
+    return links_within(members, rows.select("row", F.col(text_col).alias("payload")), lambda t: shingle_set(t or b"", width), lambda held: forest(held, similarity), part_shingles)
 
 
 def numbered_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
