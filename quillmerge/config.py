@@ -78,6 +78,7 @@ TRUTHY = ("y", "yes", "true", "1", "t")
 FALSY = ("n", "no", "false", "0", "f")
 
 SOURCE_PRIORITY = ("naukri", "cbnexus", "gig", "audio_app")
+SOURCE_ORDER = ("naukri", "gig", "cbnexus", "audio_app")
 
 MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTHS = {spelt: i for i, m in enumerate(MONTH_NAMES, 1) for spelt in (m, m[:3])}

@@ -3,7 +3,8 @@
 Each is a pure Column expression, so normalising a table is one projection.  A
 problem is struct(category, severity, field, raw_value); E, W and I stand for
 error, warn and info.  No input makes a normaliser fail: what cannot be read is
-null, with a problem.
+null, with a problem.  ``s`` is the squashed raw text, where it has been computed in
+a projection of its own; a normaliser names it many times.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmerge import config
-from quillmerge.functions.text import looked_up, squash, title_case
+from quillmerge.functions.text import looked_up, squash, title_words
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SEVERITY = {"E": "error", "W": "warn", "I": "info"}
 
 
 def problem(category: str, severity: str, field: str, raw: Column) -> Column:
-    return F.struct(F.lit(category).alias("category"), F.lit(SEVERITY[severity]).alias("severity"), F.lit(field).alias("field"), raw.cast("string").alias("raw_value"))
+    named = F.expr(f"named_struct('category', '{category}', 'severity', '{SEVERITY[severity]}', 'field', '{field}')")
+    return named.withField("raw_value", raw.cast("string"))
 
 
 def problems(*checks: tuple[Column, Column]) -> Column:
@@ -39,9 +41,9 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def name(raw: Column, field: str = "name") -> Column:
+def name(raw: Column, field: str = "name", s: Column | None = None) -> Column:
     """struct(value, key, tokens, abbreviated, problems)."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     there = s != ""
     tokens = F.filter(F.split(F.regexp_replace(F.lower(s), "[^a-z ]", " "), " +"), lambda t: t != "")
     key = F.array_join(tokens, " ")
@@ -54,7 +56,7 @@ def name(raw: Column, field: str = "name") -> Column:
         ((letters != "") & (letters == F.lower(letters)), problem("inconsistent_casing", "I", field, raw)),
         (there & short, problem("abbreviated_name", "W", field, raw)),
     )
-    return F.struct(F.when(there, title_case(s)).alias("value"), F.when(there & (key != ""), key).alias("key"), tokens.alias("tokens"), (there & short).alias("abbreviated"), found.alias("problems"))
+    return F.struct(F.when(there, title_words(s)).alias("value"), F.when(there & (key != ""), key).alias("key"), tokens.alias("tokens"), (there & short).alias("abbreviated"), found.alias("problems"))
 
 
 def names_compatible(a: Column, b: Column) -> Column:
@@ -63,9 +65,9 @@ def names_compatible(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(a) == F.size(b)) & F.forall(alike, lambda v: F.coalesce(v, F.lit(False)))
 
 
-def phone(raw: Column, field: str = "phone") -> Column:
+def phone(raw: Column, field: str = "phone", s: Column | None = None) -> Column:
     """struct(value, problems): ten digits without country code or trunk zeros."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     digits = F.regexp_replace(s, "[^0-9]", "")
     cut = F.regexp_replace(digits, "^00", "")
     cut = F.regexp_replace(cut, "^0+(?=[0-9]{10}$)", "")
@@ -81,9 +83,9 @@ def phone(raw: Column, field: str = "phone") -> Column:
     return F.struct(F.when(ok, cut).alias("value"), found.alias("problems"))
 
 
-def email(raw: Column, field: str = "email") -> Column:
+def email(raw: Column, field: str = "email", s: Column | None = None) -> Column:
     """struct(value, alias_of, domain, problems)."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     tight = F.replace(s, F.lit(" "), F.lit(""))
     value = F.lower(tight)
     ok = value.rlike(r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$")
@@ -106,13 +108,13 @@ def email(raw: Column, field: str = "email") -> Column:
     )
 
 
-def city(raw: Column, field: str = "city") -> Column:
+def city(raw: Column, field: str = "city", s: Column | None = None) -> Column:
     """struct(value, region, region_guess, problems)."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     key = F.lower(s)
     known = looked_up(config.CITY_CANON, key)
     guess = key.isin(*config.CITY_REGION_ONLY)
-    value = F.when(s != "", F.coalesce(known, title_case(s)))
+    value = F.when(s != "", F.coalesce(known, title_words(s)))
     found = problems(
         (s == "", problem("missing_value", "W", field, raw)),
         ((s != "") & raw.rlike(r"^\s|\s$"), problem("trailing_whitespace", "I", field, raw)),
@@ -123,7 +125,7 @@ def city(raw: Column, field: str = "city") -> Column:
     return F.struct(value.alias("value"), looked_up(config.CITY_REGION, value).alias("region"), F.coalesce(guess, F.lit(False)).alias("region_guess"), found.alias("problems"))
 
 
-def date(raw: Column, field: str = "applied_date", ingest: str = config.INGEST_DATE) -> Column:
+def date(raw: Column, field: str = "applied_date", ingest: str = config.INGEST_DATE, s: Column | None = None) -> Column:
     """struct(value date, ambiguous, future, problems); dashes put the day first, slashes the month."""
     iso = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
     two = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})$"
@@ -157,12 +159,12 @@ def date(raw: Column, field: str = "applied_date", ingest: str = config.INGEST_D
         )
         return F.struct(value.alias("value"), (there & r["unclear"]).alias("ambiguous"), future.alias("future"), found.alias("problems"))
 
-    return once(once(squash(raw), read), judged)
+    return once(once(squash(raw) if s is None else s, read), judged)
 
 
-def ctc(raw: Column, field: str = "ctc_annual_inr") -> Column:
+def ctc(raw: Column, field: str = "ctc_annual_inr", s: Column | None = None) -> Column:
     """struct(value, unit, out_of_range, problems): figures under a thousand are lakhs."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     x = number(F.regexp_replace(s, r"[,₹ ]|INR", ""))
     lakh = x < config.CTC_LAKH_THRESHOLD
     value = F.round(F.when(lakh, x * 100_000).otherwise(x), 2)
@@ -180,9 +182,9 @@ def ctc(raw: Column, field: str = "ctc_annual_inr") -> Column:
 RATE = r"(?i)^([0-9]+(?:\.[0-9]+)?)(k|lakh|lac|l)?(?:/|per)(hr|hour|hourly|day|daily|month|monthly|mo)$"
 
 
-def rate(raw: Column, field: str = "rate") -> Column:
+def rate(raw: Column, field: str = "rate", s: Column | None = None) -> Column:
     """struct(hourly, monthly, basis, out_of_range, problems)."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     tight = F.replace(s, F.lit(" "), F.lit(""))
     unit = F.lower(F.regexp_extract(tight, RATE, 3))
     times = F.lower(F.regexp_extract(tight, RATE, 2))
@@ -201,9 +203,9 @@ def rate(raw: Column, field: str = "rate") -> Column:
     return F.struct(hourly.alias("hourly"), monthly.alias("monthly"), basis.alias("basis"), out.alias("out_of_range"), found.alias("problems"))
 
 
-def floating(raw: Column, field: str, lo: float | None = None, hi: float | None = None) -> Column:
+def floating(raw: Column, field: str, lo: float | None = None, hi: float | None = None, s: Column | None = None) -> Column:
     """struct(value double, problems): commas are dropped, values out of range kept."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     x = number(F.replace(s, F.lit(","), F.lit("")))
     out = F.lit(False)
     if lo is not None:
@@ -218,15 +220,15 @@ def floating(raw: Column, field: str, lo: float | None = None, hi: float | None
     return F.struct(x.alias("value"), found.alias("problems"))
 
 
-def whole(raw: Column, field: str, lo: float | None = None, hi: float | None = None) -> Column:
+def whole(raw: Column, field: str, lo: float | None = None, hi: float | None = None, s: Column | None = None) -> Column:
     """As ``floating``, rounded half to even."""
-    x = floating(raw, field, lo, hi)
+    x = floating(raw, field, lo, hi, s)
     return F.struct(F.bround(x["value"], 0).try_cast("int").alias("value"), x["problems"].alias("problems"))
 
 
-def boolean(raw: Column, field: str = "verified") -> Column:
+def boolean(raw: Column, field: str = "verified", s: Column | None = None) -> Column:
     """struct(value boolean or null, problems): an unknown word is null, not false."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     key = F.lower(s)
     value = F.when(key.isin(*config.TRUTHY), True).when(key.isin(*config.FALSY), False)
     found = problems(
@@ -237,9 +239,9 @@ def boolean(raw: Column, field: str = "verified") -> Column:
     return F.struct(value.alias("value"), found.alias("problems"))
 
 
-def status(raw: Column, field: str = "gig_status") -> Column:
+def status(raw: Column, field: str = "gig_status", s: Column | None = None) -> Column:
     """struct(value, problems)."""
-    s = squash(raw)
+    s = squash(raw) if s is None else s
     value = looked_up(config.STATUS_CANON, F.lower(s))
     found = problems(
         (s == "", problem("missing_value", "W", field, raw)),
@@ -249,10 +251,10 @@ def status(raw: Column, field: str = "gig_status") -> Column:
     return F.struct(value.alias("value"), found.alias("problems"))
 
 
-def skills(raw: Column, field: str = "skills") -> Column:
+def skills(raw: Column, field: str = "skills", s: Column | None = None) -> Column:
     """struct(values, problems): canonical names in order, once each without regard to case."""
-    s = squash(raw)
-    parts = F.filter(F.transform(F.split(s, ","), squash), lambda p: p != "")
+    s = squash(raw) if s is None else s
+    parts = F.filter(F.transform(F.split(s, ","), lambda p: F.trim(p)), lambda p: p != "")
     canon = F.transform(parts, lambda p: F.coalesce(looked_up(config.SKILL_CANON, F.lower(p)), p))
     empty = F.array().cast("array<string>")
     kept = F.aggregate(canon, empty, lambda a, p: F.when(F.exists(a, lambda q: F.lower(q) == F.lower(p)), a).otherwise(F.array_append(a, p)))

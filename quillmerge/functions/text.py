@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 ZERO_WIDTH = "\u200b\ufeff"
 
 
-@cache
-def compatibility() -> tuple[str, str]:
-    """Characters whose compatibility form (NFKC) is one ASCII character, and these: full-width, super- and subscript, circled."""
-    pairs = [(chr(c), n) for c in range(128, 0x10000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n.isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def compatible(raw: Column) -> Column:
+    """NFKC, null as empty: by the normaliser of the Unicode library that Spark itself ships, for text beyond ASCII only.
+
+    The call counts as indeterminate, so a projection that makes it is never copied
+    into later ones: what it gives is computed once.  It can't stand in a lambda.
+    """
+    text = F.coalesce(raw, F.lit(""))
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), whole).otherwise(text)
+
+
+def squeezed(text: Column) -> Column:
+    """Zero-width marks dropped, runs of white space to one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(text, ZERO_WIDTH, ""), r"(?U)\s+", " "))
 
 
 def squash(raw: Column) -> Column:
-    """Null as empty, compatibility forms of ASCII characters as these, zero-width marks dropped, runs of white space to one blank, trimmed."""
-    forms, plain = compatibility()
-    clean = F.translate(F.coalesce(raw, F.lit("")), forms + ZERO_WIDTH, plain)  # what has no counterpart goes
-    return F.trim(F.regexp_replace(clean, r"(?U)\s+", " "))
+    """Null as empty, NFKC, zero-width marks dropped, runs of white space to one blank, trimmed."""
+    return squeezed(compatible(raw))
 
 
 def sorted_json(values: Column) -> Column:
@@ -48,12 +51,17 @@ def title_token(token: Column) -> Column:
     return F.when(short, F.upper(token)).otherwise(rejoined(rejoined(caps(token), "'"), "-"))
 
 
+def title_words(squashed: Column) -> Column:
+    return F.array_join(F.transform(F.split(squashed, " "), title_token), " ")
+
+
 def title_case(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(squash(text), " "), title_token), " ")
+    return title_words(squash(text))
 
 
 def literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    quoted = ("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in values.items() for x in pair)
+    return F.expr(f"map({', '.join(quoted)})")
 
 
 def looked_up(values: dict[str, str], key: Column) -> Column:

@@ -69,8 +69,8 @@ def trust_violations(people: DataFrame, least: int = config.PROJECTS_TRUST) -> D
 
 
 def skill_agreement(members: DataFrame) -> DataFrame:
-    """(root, only_a, only_b): people whom two sources describe with different skills."""
-    named = members.where("skills is not null").groupBy("root", "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("s"))
+    """(root, only_a, only_b): people whom two sources describe with different skills; a source that names none tells nothing."""
+    named = members.where("size(skills) > 0").groupBy("root", "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("s"))
     a = named.where("source = 'naukri'").select("root", F.col("s").alias("a"))
     b = named.where("source = 'gig'").select("root", F.col("s").alias("b"))
     both = a.join(b, "root")

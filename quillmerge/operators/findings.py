@@ -29,13 +29,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def identity_issues(records: DataFrame, strong: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Links across sources, repeats within one, weak merges, names left apart, people of all three files."""
+    """Links across sources, repeats within one, weak merges, names left apart, people of just three sources."""
     own = (F.col("source"), F.col("row_number"))
     usable = records.where("usable")
-    out = []
-    for key in ("email", "phone"):
-        linked = identity.cross_source_links(usable, key).join(usable.select(F.col("uid").alias("dst"), "source", "row_number", key), "dst")
-        out.append(_rows(linked, "cross_source_match", "info", key, F.col(key), *own))
+    linked = identity.cross_source_links(usable)
+    out = [_rows(linked, "cross_source_match", "info", F.col("field"), F.col("value"), *own)]
     again = identity.duplicates_within_source(usable, ("email", "phone"))
     out.append(_rows(again, "duplicate_within_source", "warn", F.col("field"), F.col("value"), *own))
     payload = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("raw"))))
@@ -44,11 +42,11 @@ def identity_issues(records: DataFrame, strong: DataFrame, resolved: DataFrame)
     decided = identity.weak_decisions(records, strong)
     for verdict, category, severity in (("ambiguous_name_city", "ambiguous_identity", "warn"), ("same_name_conflicting_strong_key", "homonym_kept_separate", "info")):
         out.append(_rows(decided.where(F.col("verdict") == verdict), category, severity, "full_name", F.col("name_key")))
-    later = F.split("last", ":")
-    out.append(_rows(decided.where("verdict = 'merge'"), "weak_match_applied", "warn", "full_name", F.col("name_key"), later[0], later[1]))
+    second = identity.representatives(records, strong).withColumnRenamed("root", "last")
+    merged = decided.where("verdict = 'merge'").join(second, "last")
+    out.append(_rows(merged, "weak_match_applied", "warn", "full_name", F.col("name_key"), *own))
     out.append(_rows(identity.homonyms(resolved), "homonym", "info", "full_name", F.col("name_key")))
-    files = resolved.where(F.col("source") != config.SOURCE_PRIORITY[-1])
-    spread = files.groupBy("root").agg(F.countDistinct("source").alias("n"), F.min(F.struct("source_rank", "row_number", "uid"))["uid"].alias("ref"))
+    spread = resolved.groupBy("root").agg(F.countDistinct("source").alias("n"), F.min(F.struct("source_rank", "row_number", "uid"))["uid"].alias("ref"))
     out.append(_rows(spread.where("n = 3"), "three_way_match", "info", "", F.col("ref")))
     return _union(out)
 
@@ -88,7 +86,7 @@ def audit_issues(people: DataFrame, members: DataFrame) -> DataFrame:
 def relink_issue(relinked: DataFrame, key: str = "person_key") -> DataFrame:
     """One row that tells how many durable rows found their person again, of how many."""
     told = relinked.agg(F.count("person").alias("found"), F.count("*").alias("n")).where("n > 0")
-    return _rows(told, "relinked", "info", key, F.format_string("%d/%d", "found", "n"))
+    return _rows(told, "person_references_relinked", "info", key, F.format_string("%d/%d", "found", "n"))
 
 
 def ingest_issue(contacts: DataFrame) -> DataFrame:

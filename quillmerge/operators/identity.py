@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmerge import config
 from quillmerge.operators.components import connected_components
+from quillmerge.operators.forest import SMALL, minimum_forest
 from quillmerge.sources.scratch import materialise
 
 
+def place() -> Column:
+    """A record's place in the list of all records: sources in their order, rows as numbered."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in config.SOURCE_ORDER]), F.col("source"))
+    return F.struct(rank.alias("source_place"), F.col("row_number").alias("row_number"), F.col("uid").alias("uid"))
+
+
+def first_of_key(records: DataFrame, key: str) -> DataFrame:
+    """(key, anchor): the first record of each key, by place."""
+    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias("anchor"))
+
+
 def star_edges(records: DataFrame, key: str) -> DataFrame:
-    """(src, dst): every record with its key's first record; linear in the records, whatever a key's size."""
-    there = records.where(F.col(key).isNotNull()).select("uid", key)
-    anchor = there.groupBy(key).agg(F.min("uid").alias("anchor"))
-    return there.join(anchor, key).where("uid <> anchor").select(F.col("anchor").alias("src"), F.col("uid").alias("dst"))
+    """(src, dst, value, bucket, place): every usable record with its key's first one; linear in the records, whatever a key's size.
+
+    ``bucket`` is the place of the first record: in its order keys come up in the list.
+    """
+    there = records.where(F.col("usable") & F.col(key).isNotNull()).select("uid", key, place().alias("place"))
+    linked = there.join(first_of_key(there, key), key).where("uid <> anchor.uid")
+    return linked.select(F.col("anchor.uid").alias("src"), F.col("uid").alias("dst"), F.col(key).alias("value"), F.col("anchor").alias("bucket"), "place")
+
+
+def _by_email(records: DataFrame) -> DataFrame:
+    """(uid, label, phone, place) of the usable records; label: the smallest uid of the e-mail, or the record's own."""
+    there = records.where("usable").select("uid", "email", "phone", place().alias("place"))
+    least = there.where("email is not null").groupBy("email").agg(F.min("uid").alias("least"))
+    return there.join(least, "email", "left").select("uid", F.coalesce("least", "uid").alias("label"), "phone", "place")
 
 
 def strong_clusters(records: DataFrame) -> DataFrame:
-    """(uid, root): records linked by equal e-mail or phone, root the smallest uid."""
-    edges = star_edges(records, "email").unionByName(star_edges(records, "phone"))
-    linked = connected_components(edges)
-    return records.select("uid").join(linked, F.col("uid") == F.col("node"), "left").select("uid", F.coalesce("component", "uid").alias("root"))
+    """(uid, root) of the usable records: linked by equal e-mail or phone, root the smallest uid.
+
+    Records of one e-mail are a cluster as they stand; phones link these, and only such
+    links as join two of them need components.
+    """
+    labelled = materialise(_by_email(records), "labels")
+    phones = labelled.where("phone is not null").groupBy("phone").agg(F.min("label").alias("first"))
+    edges = labelled.join(phones, "phone").where("label <> first").select(F.col("first").alias("src"), F.col("label").alias("dst"))
+    linked = connected_components(edges, small=SMALL)
+    return labelled.join(linked, F.col("label") == F.col("node"), "left").select("uid", F.coalesce("component", "label").alias("root"))
+
+
+def effective_links(records: DataFrame, small: int = SMALL) -> DataFrame:
+    """(src, dst, field, value): the links that joined two clusters when taken in order.
+
+    E-mails come before phones, keys in order of their first record, records in order of
+    their place, each with its key's first.  A record has one e-mail, so all e-mail links join;
+    of the phone links those in the minimum spanning forest over the e-mails' clusters.
+    """
+    emails = star_edges(records, "email").select("src", "dst", F.lit("email").alias("field"), "value")
+    label = materialise(_by_email(records), "labels")
+    of = lambda end, name: label.select(F.col("uid").alias(end), F.col("label").alias(name))
+    phones = star_edges(records, "phone").join(of("src", "a"), "src").join(of("dst", "b"), "dst")
+    ranked = phones.select("a", "b", F.struct("bucket", "place").alias("rank"), "src", "dst", "value")
+    joined = minimum_forest(ranked, "rank", small)
+    return emails.unionByName(joined.select("src", "dst", F.lit("phone").alias("field"), "value"))
 
 
 def name_city_groups(records: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per (name_key, city): its clusters, with whether they hold e-mails and phones."""
-    keyed = records.join(clusters, "uid")
+    keyed = records.join(clusters, "uid")  # usable records only
     facts = keyed.groupBy("root").agg(F.max(F.col("email").isNotNull()).alias("has_email"), F.max(F.col("phone").isNotNull()).alias("has_phone"), F.count("*").alias("size"))
     eligible = keyed.where("usable and name_key is not null and city is not null").select("name_key", "city", "root").distinct()
     joined = eligible.join(facts, "root")
@@ -43,6 +88,12 @@ def weak_merges(decisions: DataFrame) -> DataFrame:
     return decisions.where("verdict = 'merge'").select("name_key", "city", F.col("first").alias("src"), F.col("last").alias("dst"))
 
 
+def representatives(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(root, source, row_number): the first usable record with name and city of each cluster."""
+    named = records.where("usable and name_key is not null and city is not null").select("uid", F.struct(place().alias("place"), "source", "row_number").alias("r"))
+    return named.join(clusters, "uid").groupBy("root").agg(F.min("r").alias("r")).select("root", "r.source", "r.row_number")
+
+
 def merge_reviews(records: DataFrame, clusters: DataFrame, decisions: DataFrame) -> DataFrame:
     """(reason, name_key, city, root, size): one row for each cluster of an ambiguous name, one for each conflict."""
     members = records.join(clusters, "uid")
@@ -55,15 +106,16 @@ def merge_reviews(records: DataFrame, clusters: DataFrame, decisions: DataFrame)
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """``records`` with strong_root and root: the cluster after the strong links, and after the weak merges.
+    """The usable ``records`` with strong_root and root: the cluster after the strong links, and after the weak merges.
 
+    A record that is not usable is nobody: it links with nothing and is left out.
     Weak merges are decided on the strong clusters and applied together, so that two
     of them may chain.
     """
     records = materialise(records, "records")
     strong = materialise(strong_clusters(records), "strong")
     merges = weak_merges(weak_decisions(records, strong))
-    weak = connected_components(merges).withColumnRenamed("node", "strong_root")
+    weak = connected_components(merges, small=SMALL).withColumnRenamed("node", "strong_root")
     rooted = records.join(strong.withColumnRenamed("root", "strong_root"), "uid").join(weak, "strong_root", "left")
     return materialise(rooted.withColumn("root", F.coalesce("component", "strong_root")).drop("component"), "resolved")
 
@@ -85,9 +137,12 @@ def match_methods(resolved: DataFrame) -> DataFrame:
 
 
 def homonyms(resolved: DataFrame) -> DataFrame:
-    """(name_key, people, cities): names that several people bear."""
-    named = resolved.where("usable and name_key is not null")
-    return named.groupBy("name_key").agg(F.countDistinct("root").alias("people"), F.array_join(F.array_sort(F.collect_set("city")), ", ").alias("cities")).where("people > 1")
+    """(name_key, people, cities): names that several people bear, by records with name and city; cities of all their records."""
+    named = resolved.where("usable and name_key is not null and city is not null").select("name_key", "root").distinct()
+    shared = named.groupBy("name_key").agg(F.count("*").alias("people")).where("people > 1")
+    lived = resolved.where("city is not null").select("root", "city").distinct()
+    cities = named.join(shared, "name_key").join(lived, "root").select("name_key", "people", "city").distinct()
+    return cities.groupBy("name_key", "people").agg(F.array_join(F.array_sort(F.collect_list("city")), ", ").alias("cities"))
 
 
 def duplicates_within_source(records: DataFrame, keys: tuple[str, ...] = ("email", "phone"), carry: str | None = None) -> DataFrame:
@@ -105,9 +160,9 @@ def duplicates_within_source(records: DataFrame, keys: tuple[str, ...] = ("email
     return out
 
 
-def cross_source_links(records: DataFrame, key: str) -> DataFrame:
-    """(src, dst): links of one key between records of different sources, each to the key's first record."""
-    edges = star_edges(records, key)
+def cross_source_links(records: DataFrame, small: int = SMALL) -> DataFrame:
+    """(src, dst, field, value, source, row_number): effective links between records of different sources; the row is the later record's."""
+    edges = effective_links(records, small)
     a = records.select(F.col("uid").alias("src"), F.col("source").alias("src_source"))
-    b = records.select(F.col("uid").alias("dst"), F.col("source").alias("dst_source"))
-    return edges.join(a, "src").join(b, "dst").where("src_source <> dst_source").select("src", "dst")
+    b = records.select(F.col("uid").alias("dst"), "source", "row_number")
+    return edges.join(a, "src").join(b, "dst").where("src_source <> source").select("src", "dst", "field", "value", "source", "row_number")

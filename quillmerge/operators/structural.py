@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge import config
-from quillmerge.functions.text import squash
+from quillmerge.functions.text import compatible, squeezed
 
 
 def row_outcome(values: Column, header: list[str]) -> Column:
     """blank_row, repeated_header, column_count_mismatch or ok."""
-    flat = F.transform(values, squash)
+    plain = F.split(compatible(F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit(""))), "\u0001")), "\u0001")
+    flat = F.when(F.size(values) == 0, F.array().cast("array<string>")).otherwise(F.transform(plain, squeezed))
     head = F.array(*[F.lit(" ".join(h.split()).lower()) for h in header])
     return (
         F.when(F.forall(flat, lambda v: v == ""), "blank_row")

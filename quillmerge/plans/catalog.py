@@ -43,6 +43,11 @@ def people(spark, sf_dir):
     return golden.people(rows, identity.match_methods(rows))
 
 
+def with_squashed(df, column):
+    """The column's squashed text as ``s``, computed once."""
+    return df.withColumn("s", squash(F.col(column)))
+
+
 # ---------------------------------------------------------------- normalisers
 
 
@@ -57,13 +62,13 @@ def _categories(problems):
 
 @query(
     f"""{O.CTES} SELECT row_number AS id, {O.name_value('full_name')} AS name, {O.name_key('full_name')} AS name_key, {O.abbreviated('full_name')} AS abbreviated,
-    concat_ws(',', CASE row_number % 7 WHEN 0 THEN 'inconsistent_casing' WHEN 1 THEN 'inconsistent_casing' WHEN 2 THEN 'abbreviated_name' END) AS problems FROM applicants"""
+    concat_ws(',', CASE WHEN full_name = '' THEN 'missing_value' ELSE CASE row_number % 7 WHEN 0 THEN 'inconsistent_casing' WHEN 1 THEN 'inconsistent_casing' WHEN 2 THEN 'abbreviated_name' END END) AS problems FROM applicants"""
 )
 def norm_name(spark, sf_dir):
-    return raw(spark, sf_dir, "applicants").withColumn("n", N.name(F.col("full_name"))).select(F.col("row_number").alias("id"), F.col("n.value").alias("name"), F.col("n.key").alias("name_key"), F.col("n.abbreviated"), _categories(F.col("n.problems")).alias("problems"))
+    return with_squashed(raw(spark, sf_dir, "applicants"), "full_name").withColumn("n", N.name(F.col("full_name"), s=F.col("s"))).select(F.col("row_number").alias("id"), F.col("n.value").alias("name"), F.col("n.key").alias("name_key"), F.col("n.abbreviated"), _categories(F.col("n.problems")).alias("problems"))
 
 
-@query(f"{O.CTES} SELECT w.row_number AS id, a.row_number % 7 = 2 OR {O.name_key('a.full_name')} = {O.name_key('w.full_name')} AS compatible FROM applicants a JOIN workers w ON a.row_number = w.row_number")
+@query(f"{O.CTES} SELECT w.row_number AS id, coalesce({O.name_key('a.full_name')} IS NOT NULL AND {O.name_key('w.full_name')} IS NOT NULL AND (a.row_number % 7 = 2 OR {O.name_key('a.full_name')} = {O.name_key('w.full_name')}), false) AS compatible FROM applicants a JOIN workers w ON a.row_number = w.row_number")
 def names_compatible(spark, sf_dir):
     a = raw(spark, sf_dir, "applicants").select("row_number", N.name(F.col("full_name"))["tokens"].alias("a"))
     b = raw(spark, sf_dir, "workers").select("row_number", N.name(F.col("full_name"))["tokens"].alias("b"))
@@ -75,14 +80,14 @@ def names_compatible(spark, sf_dir):
     coalesce({O.phone_value('phone')} <> {O.sq('phone')}, false) AS reformatted FROM contacts"""
 )
 def norm_phone(spark, sf_dir):
-    p = raw(spark, sf_dir, "contacts").withColumn("p", N.phone(F.col("phone")))
+    p = with_squashed(raw(spark, sf_dir, "contacts"), "phone").withColumn("p", N.phone(F.col("phone"), s=F.col("s")))
     has = lambda c: F.exists("p.problems", lambda x: x["category"] == c)
     return p.select(F.col("row_number").alias("id"), F.col("p.value").alias("phone"), has("invalid_format").alias("invalid"), has("inconsistent_format").alias("reformatted"))
 
 
 @query(f"{O.CTES} SELECT row_number AS id, {O.email_value('email')} AS email, {O.email_alias('email')} AS alias_of, split_part({O.email_value('email')}, '@', 2) AS domain FROM applicants")
 def norm_email(spark, sf_dir):
-    return raw(spark, sf_dir, "applicants").withColumn("e", N.email(F.col("email"))).select(F.col("row_number").alias("id"), F.col("e.value").alias("email"), F.col("e.alias_of"), F.col("e.domain"))
+    return with_squashed(raw(spark, sf_dir, "applicants"), "email").withColumn("e", N.email(F.col("email"), s=F.col("s"))).select(F.col("row_number").alias("id"), F.col("e.value").alias("email"), F.col("e.alias_of"), F.col("e.domain"))
 
 
 @query(
@@ -90,7 +95,7 @@ def norm_email(spark, sf_dir):
     suffix(city, ' ') AS trailing FROM workers"""
 )
 def norm_city(spark, sf_dir):
-    c = raw(spark, sf_dir, "workers").withColumn("c", N.city(F.col("city")))
+    c = with_squashed(raw(spark, sf_dir, "workers"), "city").withColumn("c", N.city(F.col("city"), s=F.col("s")))
     return c.select(F.col("row_number").alias("id"), F.col("c.value").alias("city"), F.col("c.region"), F.col("c.region_guess"), F.exists("c.problems", lambda p: p["category"] == "trailing_whitespace").alias("trailing"))
 
 
@@ -191,17 +196,17 @@ def rotation_repair(spark, sf_dir):
     return fixed.select("row_number", "shift", F.get("repaired", 0).alias("first_cell"))
 
 
-@query(f"{O.HEAD} SELECT uid, source, full_name, email, phone, city, gig_status, is_verified, monthly AS rate_monthly_inr FROM recs")
+@query(f"{O.HEAD} SELECT uid, source, full_name, email, phone, city, gig_status, is_verified, monthly AS rate_monthly_inr FROM every")
 def records_union(spark, sf_dir):
     return all_records(spark, sf_dir).select("uid", "source", "full_name", "email", "phone", "city", "gig_status", "is_verified", "rate_monthly_inr")
 
 
-@query(f"{O.HEAD} SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL) AS usable, count(*) FILTER (WHERE full_name IS NULL AND email IS NULL AND phone IS NULL) AS rejected FROM recs GROUP BY source")
+@query(f"{O.HEAD} SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE uid IN (SELECT uid FROM recs)) AS usable, count(*) FILTER (WHERE uid NOT IN (SELECT uid FROM recs)) AS rejected FROM every GROUP BY source")
 def row_outcomes(spark, sf_dir):
     return issues.row_outcomes(all_records(spark, sf_dir))
 
 
-@query(f"{O.HEAD} SELECT uid FROM recs WHERE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL")
+@query(f"{O.HEAD} SELECT uid FROM recs")
 def usable_rows(spark, sf_dir):
     return all_records(spark, sf_dir).where("usable").select("uid")
 
@@ -264,7 +269,10 @@ def weak_match_reviews(spark, sf_dir):
     return identity.merge_reviews(r, clusters, identity.weak_decisions(r, clusters))
 
 
-@query(f"{O.RESOLVED} SELECT name_key, count(DISTINCT root) AS people, array_to_string(list_sort(list(DISTINCT city)), ', ') AS cities FROM members WHERE name_key IS NOT NULL GROUP BY name_key HAVING count(DISTINCT root) > 1")
+@query(
+    f"""{O.RESOLVED}, bearers AS (SELECT DISTINCT name_key, root FROM members WHERE name_key IS NOT NULL AND city IS NOT NULL), shared AS (SELECT name_key, count(*) AS people FROM bearers GROUP BY name_key HAVING count(*) > 1)
+    SELECT name_key, people, array_to_string(list_sort(list(DISTINCT city)), ', ') AS cities FROM shared JOIN bearers USING (name_key) JOIN members m USING (root) WHERE city IS NOT NULL GROUP BY shared.name_key, people""".replace("JOIN members m USING (root)", "JOIN (SELECT root, city FROM members) m USING (root)")
+)
 def homonyms(spark, sf_dir):
     return identity.homonyms(members(spark, sf_dir))
 
@@ -346,7 +354,7 @@ def person_skills_norm(spark, sf_dir):
     return golden.person_skills(members(spark, sf_dir))
 
 
-@query(f"{O.HEAD} SELECT DISTINCT unnest(skills) AS skill_name FROM recs")
+@query(f"{O.HEAD} SELECT DISTINCT unnest(skills) AS skill_name FROM every")
 def skills_dim(spark, sf_dir):
     return all_records(spark, sf_dir).select(F.explode("skills").alias("skill_name")).distinct()
 
@@ -399,7 +407,7 @@ def key_coverage(spark, sf_dir):
 
 
 @query(
-    f"""{O.RESOLVED}, u AS (SELECT root, source, list_sort(list_distinct(flatten(list(skills)))) AS s FROM members WHERE skills IS NOT NULL GROUP BY root, source),
+    f"""{O.RESOLVED}, u AS (SELECT root, source, list_sort(list_distinct(flatten(list(skills)))) AS s FROM members WHERE len(skills) > 0 GROUP BY root, source),
     b AS (SELECT a.root, a.s AS x, g.s AS y FROM u a JOIN u g ON a.root = g.root WHERE a.source = 'naukri' AND g.source = 'gig'),
     d AS (SELECT root, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), ', ') AS only_a, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), ', ') AS only_b FROM b)
     SELECT * FROM d WHERE only_a <> '' OR only_b <> ''"""

@@ -109,19 +109,18 @@ def incoming_warnings(spark, sf_dir):
 
 # ---------------------------------------------------------------- findings
 
-OWN = f"""SELECT source, row_number, 'cross_source_match' AS category, 'info' AS severity, 'email' AS field, email AS raw_value FROM recs JOIN (SELECT email, min(uid) AS src FROM recs WHERE email IS NOT NULL GROUP BY email) USING (email) WHERE uid <> src AND split_part(src, ':', 1) <> source
-UNION ALL SELECT source, row_number, 'cross_source_match', 'info', 'phone', phone FROM recs JOIN (SELECT phone, min(uid) AS src FROM recs WHERE phone IS NOT NULL GROUP BY phone) USING (phone) WHERE uid <> src AND split_part(src, ':', 1) <> source
+OWN = f"""SELECT source, row_number, 'cross_source_match' AS category, 'info' AS severity, field, value AS raw_value FROM crossing
 UNION ALL SELECT source, row_number, 'duplicate_within_source', 'warn', 'email', email FROM (SELECT *, min(row_number) OVER (PARTITION BY source, email) AS first FROM recs WHERE email IS NOT NULL) WHERE row_number > first
 UNION ALL SELECT source, row_number, 'duplicate_within_source', 'warn', 'phone', phone FROM (SELECT *, min(row_number) OVER (PARTITION BY source, phone) AS first FROM recs WHERE phone IS NOT NULL) WHERE row_number > first
-UNION ALL SELECT source, row_number, 'exact_duplicate_row', 'warn', '', NULL FROM (SELECT *, min(row_number) OVER (PARTITION BY full_name, email, phone, city, experience, ctc, applied, skills) AS first FROM applicants) WHERE row_number > first
+UNION ALL SELECT source, row_number, 'exact_duplicate_row', 'warn', '', NULL FROM (SELECT *, min(row_number) OVER (PARTITION BY full_name, email, phone, city, experience, ctc, applied, skills) AS first FROM applicants WHERE source || ':' || row_number IN (SELECT uid FROM recs)) WHERE row_number > first
 UNION ALL SELECT NULL, NULL, 'ambiguous_identity', 'warn', 'full_name', name_key FROM decided WHERE verdict = 'ambiguous_name_city'
 UNION ALL SELECT NULL, NULL, 'homonym_kept_separate', 'info', 'full_name', name_key FROM decided WHERE verdict = 'same_name_conflicting_strong_key'
-UNION ALL SELECT split_part(hi, ':', 1), CAST(split_part(hi, ':', 2) AS BIGINT), 'weak_match_applied', 'warn', 'full_name', name_key FROM decided WHERE verdict = 'merge'
-UNION ALL SELECT NULL, NULL, 'homonym', 'info', 'full_name', name_key FROM members WHERE name_key IS NOT NULL GROUP BY name_key HAVING count(DISTINCT root) > 1
+UNION ALL SELECT source, row_number, 'weak_match_applied', 'warn', 'full_name', d.name_key FROM decided d JOIN (SELECT root, arg_min(source, place) AS source, arg_min(row_number, place) AS row_number FROM strong JOIN recs USING (uid) JOIN (SELECT uid, place FROM placed) USING (uid) WHERE name_key IS NOT NULL AND city IS NOT NULL GROUP BY root) r ON r.root = hi WHERE verdict = 'merge'
+UNION ALL SELECT NULL, NULL, 'homonym', 'info', 'full_name', name_key FROM members WHERE name_key IS NOT NULL AND city IS NOT NULL GROUP BY name_key HAVING count(DISTINCT root) > 1
 UNION ALL SELECT NULL, NULL, 'three_way_match', 'info', '', ref FROM people WHERE source_count = 3"""
 
 
-@query(f"{O.FULL} SELECT source, CAST(row_number AS BIGINT) AS row_number, category, severity, field, raw_value FROM ({OWN})")
+@query(f"{O.FULL}, {O.LINKS} SELECT source, CAST(row_number AS BIGINT) AS row_number, category, severity, field, raw_value FROM ({OWN})")
 def issues_identity(spark, sf_dir):
     rows = members(spark, sf_dir)
     strong = rows.select("uid", F.col("strong_root").alias("root"))
@@ -132,7 +131,7 @@ AUDITED = f"""{O.FULL}, {O.elected('monthly', O.ORDER, 'em')}, {O.elected('basis
 whole AS (SELECT p.*, monthly, basis, ctc, experience, is_verified, projects FROM people p LEFT JOIN em USING (root) LEFT JOIN eb USING (root) LEFT JOIN ec USING (root) LEFT JOIN ee USING (root) LEFT JOIN ev USING (root) LEFT JOIN ep USING (root)),
 rated AS (SELECT * FROM whole WHERE monthly > 0 AND basis IS NOT NULL), mb AS (SELECT basis, median(monthly) AS m FROM rated GROUP BY basis), mall AS (SELECT median(monthly) AS m, count(*) AS n FROM rated),
 paid AS (SELECT *, ctc / greatest(experience, 0.5) AS ratio FROM whole WHERE ctc > 0 AND experience IS NOT NULL), mr AS (SELECT median(ratio) AS m FROM paid),
-u AS (SELECT root, source, list_sort(list_distinct(flatten(list(skills)))) AS s FROM members WHERE skills IS NOT NULL GROUP BY root, source),
+u AS (SELECT root, source, list_sort(list_distinct(flatten(list(skills)))) AS s FROM members WHERE len(skills) > 0 GROUP BY root, source),
 differ AS (SELECT a.root FROM u a JOIN u g ON a.root = g.root WHERE a.source = 'naukri' AND g.source = 'gig' AND a.s <> g.s)"""
 RESERVED = "regexp_matches(email, '([@.]example\\.(com|org|net|in)|\\.(example|test|invalid|localhost))$')"
 
@@ -165,7 +164,7 @@ def report_sections(spark, sf_dir):
     return issues.sections(found(spark, sf_dir))
 
 
-@query(f"{O.ISSUES} SELECT source, CAST(row_number AS VARCHAR) AS row_number, category, severity, field, raw_value FROM issues")
+@query(f"{O.ISSUES} SELECT source, CAST(row_number AS VARCHAR) AS row_number, category, severity, field, coalesce(raw_value, '') AS raw_value FROM issues")
 def report_export(spark, sf_dir):
     """The issues written as CSV in order, and read back."""
     path = scratch_path(spark, "issues-csv")

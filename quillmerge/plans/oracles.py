@@ -61,7 +61,7 @@ def region_guess(x: str) -> str:
 def skill_list(x: str) -> str:
     parts = f"list_filter(list_transform(string_split({x}, ','), lambda p: trim(p)), lambda p: p <> '')"
     canon = f"list_transform({parts}, lambda p: coalesce({mapped(config.SKILL_CANON, 'lower(p)')}, p))"
-    return f"list_reduce(list_transform({canon}, lambda p: [p]), lambda a, b: CASE WHEN list_contains(list_transform(a, lambda q: lower(q)), lower(b[1])) THEN a ELSE list_concat(a, b) END)"
+    return f"CASE WHEN len({parts}) = 0 THEN [] ELSE list_reduce(list_transform({canon}, lambda p: [p]), lambda a, b: CASE WHEN list_contains(list_transform(a, lambda q: lower(q)), lower(b[1])) THEN a ELSE list_concat(a, b) END) END"
 
 
 RATE = r"^([0-9]+(?:\.[0-9]+)?)(k|lakh|lac|l)?(?:/|per)(hr|hour|hourly|day|daily|month|monthly|mo)$"
@@ -99,7 +99,7 @@ def status_value(x: str) -> str:
 
 
 RECS = f"""
-recs AS (
+every AS (
   SELECT source || ':' || row_number AS uid, source, 0 AS source_rank, row_number,
          {name_value('full_name')} AS full_name, {name_key('full_name')} AS name_key, {abbreviated('full_name')} AS abbreviated,
          {email_value('email')} AS email, {email_alias('email')} AS alias_of, {phone_value('phone')} AS phone,
@@ -115,8 +115,25 @@ recs AS (
   SELECT source || ':' || row_number, source, 1, row_number, {name_value('full_name')}, {name_key('full_name')}, {abbreviated('full_name')},
          NULL, NULL, {phone_value('phone')}, {city_value('city')}, {region_guess('city')}, NULL, NULL, NULL, {bool_value('verified')}, CAST(projects AS INT), NULL, NULL, NULL
   FROM contacts
+  UNION ALL
+  SELECT source || ':' || row_number, source, 3, row_number, {name_value('full_name')}, {name_key('full_name')}, {abbreviated('full_name')},
+         NULL, NULL, {phone_value('phone')}, {city_value('city')}, {region_guess('city')}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM apps
+), recs AS (
+  SELECT * FROM every WHERE CASE source WHEN 'audio_app' THEN full_name IS NOT NULL AND phone IS NOT NULL ELSE full_name IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL END
 )"""
 
+#: Links in the order of the list: e-mails first, keys as they come up, records as they stand; a phone link joins if nothing before it has.
+LINKS = """
+placed AS (SELECT uid, source, row_number, email, phone, row_number() OVER (ORDER BY CASE source WHEN 'naukri' THEN 1 WHEN 'gig' THEN 2 WHEN 'cbnexus' THEN 3 ELSE 4 END, row_number) AS place FROM recs),
+elinks AS (SELECT arg_min(uid, place) OVER (PARTITION BY email) AS src, uid AS dst, 'email' AS field, email AS value, 0 AS rank FROM placed WHERE email IS NOT NULL),
+plinks AS (SELECT src, uid AS dst, 'phone' AS field, phone AS value, row_number() OVER (ORDER BY bucket, place) AS rank
+           FROM (SELECT *, arg_min(uid, place) OVER (PARTITION BY phone) AS src, min(place) OVER (PARTITION BY phone) AS bucket FROM placed WHERE phone IS NOT NULL) WHERE src <> uid),
+both_ways AS (SELECT src, dst, rank FROM elinks UNION ALL SELECT dst, src, rank FROM elinks UNION ALL SELECT src, dst, rank FROM plinks UNION ALL SELECT dst, src, rank FROM plinks),
+walk AS (SELECT rank, src AS at FROM plinks UNION SELECT w.rank, b.dst FROM walk w JOIN both_ways b ON b.src = w.at AND b.rank < w.rank),
+effective AS (SELECT * FROM elinks WHERE src <> dst UNION ALL SELECT p.* FROM plinks p WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.rank = p.rank AND w.at = p.dst)),
+crossing AS (SELECT e.*, b.source, b.row_number FROM effective e JOIN placed a ON a.uid = e.src JOIN placed b ON b.uid = e.dst WHERE a.source <> b.source)"""
+
 STRONG = """
 edges AS (
   SELECT a.uid AS src, b.uid AS dst FROM recs a JOIN recs b ON a.email = b.email AND a.uid <> b.uid
@@ -232,6 +249,7 @@ def skill_issues(source: str) -> str:
     known = mapped(config.SKILL_CANON, "lower(p)")
     return issue_rows(
         source, "skills", "skills",
+        (f"{sq('skills')} = ''", "missing_value", "warn"),
         (f"len(list_filter({parts}, lambda p: {known} <> p)) > 0", "inconsistent_casing", "info"),
         (f"len(list_filter({parts}, lambda p: {known} IS NULL)) > 0", "unmapped_value", "warn"),
     )
@@ -244,10 +262,10 @@ ISSUES = ", ".join(
         HEAD,
         "raised AS ("
         + " UNION ALL ".join(
-            [name_issues(t) for t in ("applicants", "workers", "contacts")]
+            [name_issues(t) for t in ("applicants", "workers", "contacts", "apps")]
             + [email_issues(t) for t in ("applicants", "workers")]
-            + [phone_issues(t) for t in ("applicants", "contacts")]
-            + [city_issues(t) for t in ("applicants", "workers", "contacts")]
+            + [phone_issues(t) for t in ("applicants", "contacts", "apps")]
+            + [city_issues(t) for t in ("applicants", "workers", "contacts", "(SELECT * FROM apps WHERE city IS NOT NULL)")]
             + [skill_issues(t) for t in ("applicants", "workers")]
             + [
                 issue_rows("applicants", "experience", "experience_years", ("CAST(experience AS DOUBLE) NOT BETWEEN 0 AND 50", "out_of_range", "warn")),
@@ -264,6 +282,7 @@ ISSUES = ", ".join(
                 issue_rows("contacts", "verified", "verified", (f"{sq('verified')} = ''", "missing_value", "warn"), (f"{sq('verified')} <> '' AND {bool_value('verified')} IS NULL", "unmapped_value", "error"), (f"{bool_value('verified')} IS NOT NULL AND verified NOT IN ('Y', 'N')", "inconsistent_value", "info")),
             ]
         )
-        + "), issues AS (SELECT source, row_number, split_part(p, '|', 1) AS category, split_part(p, '|', 2) AS severity, field, raw_value FROM raised WHERE p IS NOT NULL)",
+        + "), issues AS (SELECT source, row_number, split_part(p, '|', 1) AS category, split_part(p, '|', 2) AS severity, field, raw_value FROM raised WHERE p IS NOT NULL"
+        " UNION ALL SELECT source, row_number, 'unidentifiable_row', 'error', '', NULL FROM every WHERE uid NOT IN (SELECT uid FROM recs))",
     ]
 )

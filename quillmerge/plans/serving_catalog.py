@@ -339,40 +339,10 @@ def scan_with_row_number(spark, sf_dir):
     return rows.select("row_number", by_header(header, F.col("cells")).alias("m")).select("row_number", "m.full_name", "m.phone", "m.city")
 
 
-@query(
-    f"""{O.HEAD}, e AS (SELECT email, min(uid) AS src FROM recs WHERE email IS NOT NULL GROUP BY email)
-    SELECT src, r.uid AS dst FROM recs r JOIN e ON r.email = e.email WHERE r.uid <> src AND split_part(src, ':', 1) <> r.source"""
-)
+@query(f"{O.HEAD}, {O.LINKS} SELECT src, dst, field, value, source, row_number FROM crossing")
 def cross_source_links(spark, sf_dir):
+    """Links between sources that joined two clusters when taken in order."""
     from quillmerge.operators import identity
     from quillmerge.sources.records import all_records
 
-    return identity.cross_source_links(all_records(spark, sf_dir), "email")
-
-
-@query(
-    f"""{O.RESOLVED}, {O.NAMES}, {O.CITIES}, c AS (SELECT DISTINCT m.root, w.city AS chosen, m.city AS rejected FROM members m JOIN cities w USING (root) WHERE m.city <> w.city)
-    SELECT c.root, full_name, chosen, rejected FROM c LEFT JOIN names USING (root)"""
-)
-def conflicts_report(spark, sf_dir):
-    rows = members(spark, sf_dir)
-    lost = golden.conflicts(rows, golden.elect_cities(rows), "city")
-    return lost.join(golden.elect_names(rows), "root", "left").select("root", "full_name", "chosen", "rejected")
-
-
-@query(
-    f"""{O.FULL}, sub AS (SELECT row_number AS id, {O.phone_value('phone')} AS phone FROM contacts), k AS (SELECT phone, min(root) AS root FROM people WHERE phone IS NOT NULL GROUP BY phone)
-    SELECT count(*) AS submissions, count(k.root) AS relinked FROM sub LEFT JOIN k ON sub.phone = k.phone"""
-)
-def relink_submissions(spark, sf_dir):
-    from quillmerge.functions import normalize as N
-
-    sub = raw(spark, sf_dir, "contacts").select(N.phone(F.col("phone"))["value"].alias("person_key"))
-    return serving.relinked(sub, people(spark, sf_dir)).agg(F.count("*").alias("submissions"), F.count("person").alias("relinked"))
-
-
-@query("SELECT o_orderkey AS id, '\"' || replace(o_orderpriority || ' \"' || o_orderstatus || '\"', '\"', '\"\"') || '\"' AS csv_cell, replace(o_orderpriority || '|' || o_orderstatus, '|', '\\|') AS table_cell FROM orders")
-def report_rows(spark, sf_dir):
-    text = F.concat("o_orderpriority", F.lit(' "'), "o_orderstatus", F.lit('"'))
-    bars = F.concat_ws("|", "o_orderpriority", "o_orderstatus")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), issues.csv_cell(text).alias("csv_cell"), issues.table_cell(bars).alias("table_cell"))
+    return identity.cross_source_links(all_records(spark, sf_dir))

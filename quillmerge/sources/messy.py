@@ -1,9 +1,10 @@
-"""Three disagreeing sources derived from the ``customer`` table.
+"""Four disagreeing sources derived from the ``customer`` table.
 
 Plain SQL that Spark and DuckDB both run, so that a test can hold the operators'
 results against an independent evaluation of the same rows.  Who appears where
 follows the customer key: A has name, e-mail and phone, B name and e-mail, C name
-and phone.  Spellings, aliases and damage follow it too.
+and phone, D (made outside the files) name and phone.  Spellings, aliases and damage
+follow it too; some rows name nobody and some have no skills.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ AGAIN = 9_765_000
 APPLICANTS = f"""
 once AS (
   SELECT 'naukri' AS source, CAST(k AS INT) AS row_number,
-         CASE k % 7 WHEN 0 THEN upper(f || ' ' || l) WHEN 1 THEN lower(f || ' ' || l)
-                    WHEN 2 THEN substring(f, 1, 1) || '. ' || l ELSE f || '  ' || l END AS full_name,
-         CASE WHEN k % 50 = 0 THEN 'alt.' || mail WHEN k % 5 = 0 THEN upper(mail) WHEN k % 31 = 0 THEN f || ' at ' || l ELSE mail END AS email,
-         CASE k % 4 WHEN 0 THEN '+91' || tel WHEN 1 THEN '0' || tel WHEN 2 THEN tel ELSE '91' || tel END AS phone,
+         CASE WHEN k % 61 = 0 THEN '' ELSE CASE k % 7 WHEN 0 THEN upper(f || ' ' || l) WHEN 1 THEN lower(f || ' ' || l)
+                    WHEN 2 THEN substring(f, 1, 1) || '. ' || l ELSE f || '  ' || l END END AS full_name,
+         CASE WHEN k % 61 = 0 THEN 'none' WHEN k % 50 = 0 THEN 'alt.' || mail WHEN k % 5 = 0 THEN upper(mail) WHEN k % 31 = 0 THEN f || ' at ' || l ELSE mail END AS email,
+         CASE WHEN k % 61 = 0 THEN '' ELSE CASE k % 4 WHEN 0 THEN '+91' || tel WHEN 1 THEN '0' || tel WHEN 2 THEN tel ELSE '91' || tel END END AS phone,
          {CITY_TEXT} AS city,
          CAST(k % 9 AS STRING) || '.5' AS experience,
          CASE k % 2 WHEN 0 THEN CAST(k % 40 + 2 AS STRING) || '.5' ELSE CAST(300000 + k * 10 AS STRING) END AS ctc,
@@ -53,7 +54,7 @@ once AS (
                     WHEN 1 THEN '2' || CAST(k % 9 AS STRING) || '-0' || CAST(k % 9 + 1 AS STRING) || '-2026'
                     WHEN 2 THEN '0' || CAST(k % 9 + 1 AS STRING) || '/0' || CAST(k % 7 + 1 AS STRING) || '/2026'
                     ELSE CAST(k % 31 + 1 AS STRING) || ' Feb 2026' END AS applied,
-         skill AS skills
+         CASE WHEN k % 73 = 0 THEN '' ELSE skill END AS skills
   FROM base WHERE k % 10 <= 5
 ), applicants AS (
   SELECT * FROM once UNION ALL
@@ -63,29 +64,36 @@ once AS (
 
 WORKERS = f"""
 workers AS (
-  SELECT 'gig' AS source, CAST(k AS INT) AS row_number, mail AS email, f || ' ' || l AS full_name,
+  SELECT 'gig' AS source, CAST(k AS INT) AS row_number, CASE WHEN k % 59 = 0 THEN 'n/a' ELSE mail END AS email, CASE WHEN k % 59 = 0 THEN ' ' ELSE f || ' ' || l END AS full_name,
          CASE k % 3 WHEN 0 THEN CAST(100 + k % 900 AS STRING) || '/hr' WHEN 1 THEN CAST(10 + k % 60 AS STRING) || 'k/month'
                     ELSE CAST(1000 + k % 500 AS STRING) || ' per day' END AS rate,
          CASE WHEN k % 11 = 0 THEN 'Delhi NCR' ELSE {CITY_TEXT} END AS city,
          CASE k % 5 WHEN 0 THEN 'Active' WHEN 1 THEN 'ACTIVE' WHEN 2 THEN 'on hold' WHEN 3 THEN 'inactive' ELSE 'gone' END AS status,
-         CASE WHEN k % 9 = 0 THEN 'Python,Docker' ELSE skill END AS skills
+         CASE WHEN k % 53 = 0 THEN '' WHEN k % 9 = 0 THEN 'Python,Docker' ELSE skill END AS skills
   FROM base WHERE k % 10 BETWEEN 3 AND 8
 )"""
 
 CONTACTS = f"""
 contacts AS (
-  SELECT 'cbnexus' AS source, CAST(k AS INT) AS row_number, f || ' ' || l AS full_name,
-         CASE WHEN k % 37 = 0 THEN translate(tel, '0123456789', '０１２３４５６７８９') WHEN k % 3 = 0 THEN '0091' || tel WHEN k % 3 = 1 THEN '+91-' || tel ELSE substring(tel, 1, CAST(10 - CASE WHEN k % 29 = 0 THEN 2 ELSE 0 END AS INT)) END AS phone,
+  SELECT 'cbnexus' AS source, CAST(k AS INT) AS row_number, CASE WHEN k % 67 = 0 THEN '' ELSE f || ' ' || l END AS full_name,
+         CASE WHEN k % 67 = 0 THEN '12' WHEN k % 37 = 0 THEN translate(tel, '0123456789', '０１２３４５６７８９') WHEN k % 3 = 0 THEN '0091' || tel WHEN k % 3 = 1 THEN '+91-' || tel ELSE substring(tel, 1, CAST(10 - CASE WHEN k % 29 = 0 THEN 2 ELSE 0 END AS INT)) END AS phone,
          {CITY_TEXT} AS city,
          CASE k % 6 WHEN 0 THEN 'Y' WHEN 1 THEN 'yes' WHEN 2 THEN 'No' WHEN 3 THEN 'N' WHEN 4 THEN 'maybe' ELSE '' END AS verified,
          CAST(k % 25 AS STRING) AS projects
   FROM base WHERE k % 10 IN (0, 1, 2, 3, 4, 7, 8, 9)
 )"""
 
-CTES = f"WITH {BASE}, {APPLICANTS}, {WORKERS}, {CONTACTS}"
+APPS = """
+apps AS (
+  SELECT 'audio_app' AS source, CAST(k AS INT) AS row_number, CASE WHEN k % 7 = 0 THEN '' ELSE f || ' ' || l END AS full_name,
+         CASE WHEN k % 4 = 1 THEN '12' ELSE tel END AS phone, CASE WHEN k % 3 = 0 THEN NULL ELSE alias END AS city
+  FROM base WHERE k % 23 = 5
+)"""
+
+CTES = f"WITH {BASE}, {APPLICANTS}, {WORKERS}, {CONTACTS}, {APPS}"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of ``applicants``, ``workers``, ``contacts``."""
+    """One of ``applicants``, ``workers``, ``contacts``, ``apps``."""
     text = f"{CTES} SELECT * FROM {name}".replace("FROM customer", "FROM {customer}")
     return spark.sql(text, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))

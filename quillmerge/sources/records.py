@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmerge import config
 from quillmerge.functions import normalize as N
+from quillmerge.functions.text import squash
 from quillmerge.sources import messy
 
 #: Column of the records table and its type; a source without it has null.
@@ -46,17 +47,19 @@ class SourceSpec:
     """
 
     name: str
-    fields: dict[str, Callable[[Column], Column]]
+    fields: dict[str, Callable[..., Column]]
     outputs: dict[str, str]
     identity: tuple[str, ...] = ("full_name", "email", "phone")
     needs_all: bool = False  #: all of ``identity`` must be there
     optional: tuple[str, ...] = ()  #: raw columns whose absence is no problem
 
     def records(self, raw: DataFrame) -> DataFrame:
-        normed = raw.select("source", "row_number", F.create_map(*[x for c in raw.columns if c not in ("source", "row_number") for x in (F.lit(c), F.col(c).cast("string"))]).alias("raw"), *[f(F.col(c)).alias(f"n_{c}") for c, f in self.fields.items()])
+        texts = [c for c in raw.columns if c not in ("source", "row_number")]
+        mapped = F.map_from_arrays(F.array(*map(F.lit, texts)), F.array(*[F.col(c).cast("string") for c in texts]))
+        squashed = raw.select("source", "row_number", mapped.alias("raw"), *self.fields, *[squash(F.col(c)).alias(f"s_{c}") for c in self.fields])
         # an explode of one element: the optimiser doesn't copy a normaliser into every use of its result
-        names = [f"n_{c}" for c in self.fields]
-        once = normed.select("source", "row_number", "raw", F.explode(F.array(F.struct(*names))).alias("n")).select("source", "row_number", "raw", "n.*")
+        each = F.struct(*[f(F.col(c), s=F.col(f"s_{c}")).alias(f"n_{c}") for c, f in self.fields.items()])
+        once = squashed.select("source", "row_number", "raw", F.explode(F.array(each)).alias("n")).select("source", "row_number", "raw", "n.*")
         cols = [F.col(f"n_{self.outputs[c]}").cast(t).alias(c) if c in self.outputs else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()]
         there = [F.col(f"n_{self.outputs[c]}").isNotNull() for c in self.identity]
         usable = reduce(lambda a, b: a & b if self.needs_all else a | b, there)
@@ -79,7 +82,7 @@ CITY = {"city": "city.value", "region_guess": "city.region_guess"}
 SPECS = {
     "applicants": SourceSpec(
         "naukri",
-        {"full_name": N.name, "email": N.email, "phone": N.phone, "city": N.city, "experience": lambda c: N.floating(c, "experience_years", *config.EXPERIENCE_PLAUSIBLE), "ctc": N.ctc, "applied": N.date, "skills": N.skills},
+        {"full_name": N.name, "email": N.email, "phone": N.phone, "city": N.city, "experience": lambda c, s: N.floating(c, "experience_years", *config.EXPERIENCE_PLAUSIBLE, s=s), "ctc": N.ctc, "applied": N.date, "skills": N.skills},
         NAME | CITY | {"email": "email.value", "email_alias_of": "email.alias_of", "phone": "phone.value", "experience_years": "experience.value", "ctc_annual_inr": "ctc.value", "applied_date": "applied.value", "skills": "skills.values"},
     ),
     "workers": SourceSpec(
@@ -90,7 +93,7 @@ SPECS = {
     ),
     "contacts": SourceSpec(
         "cbnexus",
-        {"full_name": N.name, "phone": N.phone, "city": N.city, "verified": N.boolean, "projects": lambda c: N.whole(c, "projects_completed")},
+        {"full_name": N.name, "phone": N.phone, "city": N.city, "verified": N.boolean, "projects": lambda c, s: N.whole(c, "projects_completed", s=s)},
         NAME | CITY | {"phone": "phone.value", "is_verified": "verified.value", "projects_completed": "projects.value"},
         identity=("full_name", "phone"),
     ),
@@ -109,9 +112,9 @@ APP = SourceSpec(
 
 
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of all sources, in one table."""
+    """The records of all four sources, in one table."""
     out = None
-    for name, spec in SPECS.items():
+    for name, spec in (SPECS | {"apps": APP}).items():
         one = spec.records(messy.source(spark, sf_dir, name))
         out = one if out is None else out.unionByName(one)
     return out

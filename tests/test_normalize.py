@@ -142,3 +142,21 @@ def test_dates_of_one_shape_only(spark):
 def test_compatibility_forms_are_read(spark):
     row = spark.createDataFrame([("９８７６５ ４３２１０", "ＡＳＨＡ\u3000Ｒａｏ", "ａ@ｘ．test")], "p string, n string, e string").select(N.phone(F.col("p"))["value"], N.name(F.col("n"))["value"], N.email(F.col("e"))["value"]).first()
     assert tuple(row) == ("9876543210", "Asha Rao", "a@x.test")
+
+
+def test_squash_over_all_characters_is_full_nfkc(spark):
+    """Every assigned character, between letters and with a mark behind it, as Python's own tables have it."""
+    import unicodedata
+
+    def squashed(text):
+        return " ".join(unicodedata.normalize("NFKC", text).replace("​", "").replace("﻿", "").split())
+
+    # characters that only one of the two Unicode versions knows are left out
+    old = unicodedata.ucd_3_2_0
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) != "Cn" or old.category(chr(c)) != "Cn")]
+    plain = [c for c in known if not c.isspace() or c == " "]
+    texts = ["".join(f"a{c}b{c}́ " for c in plain[i : i + 64]) for i in range(0, len(plain), 64)] + ["\U0001d7d7\U0001d7d6", "Soﬁa", "Å"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", squash(F.col("t")).alias("s")).collect()
+    wrong = [(r.t, r.s) for r in rows if r.s != squashed(r.t)]
+    assert not wrong, wrong[:2]
+    assert {r.t: r.s for r in rows}["Soﬁa"] == "Sofia"
