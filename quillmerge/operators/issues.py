@@ -67,7 +67,7 @@ def thousands(n: Column) -> Column:
 
 #: Sections of the appendix, in order, and the categories of each.
 SECTIONS = {
-    "Structure": ("blank_row", "repeated_header", "column_count_mismatch", "scrambled_columns", "unidentifiable_row"),
+    "Structure": ("blank_row", "repeated_header", "column_count_mismatch", "scrambled_columns", "unidentifiable_row", "undecodable_bytes", "oversized_cell", "unterminated_quote"),
     "Formats": ("missing_value", "invalid_format", "invalid_value", "inconsistent_format", "inconsistent_casing", "inconsistent_value", "trailing_whitespace"),
     "Units and dates": ("mixed_units", "ambiguous_date", "future_date", "out_of_range", "unit_correlates_with_magnitude"),
     "Vocabularies": ("unmapped_value", "precision_loss", "suspicious_value", "abbreviated_name", "alias_email"),

@@ -331,11 +331,11 @@ def quality_score(spark, sf_dir):
 )
 def scan_with_row_number(spark, sf_dir):
     """Contacts written as CSV part files and read back by record number."""
-    from quillmerge.sources.csv_records import by_header, numbered, read_records, write_lines
+    from quillmerge.sources.csv_records import by_header, read_records, write_lines
 
     path, header = scratch_path(spark, "contacts-csv"), ["full_name", "phone", "city"]
     write_lines(raw(spark, sf_dir, "contacts").select("row_number", F.array(*header).alias("cells")), path, header, "row_number")
-    rows = numbered(read_records(spark, path)).where("row_number > 1")
+    rows = read_records(spark, path, across=True).where("row_number > 1")
     return rows.select("row_number", by_header(header, F.col("cells")).alias("m")).select("row_number", "m.full_name", "m.phone", "m.city")
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quillmerge.functions import normalize as N
 from quillmerge.operators import structural
-from quillmerge.sources.csv_records import numbered, read_records
+from quillmerge.sources.csv_records import read_records
 from quillmerge.sources.records import APP, SPECS, with_problems
 
+#: What the CSV reader tells of a record.
+FAULTS = ("undecodable_bytes", "oversized_cell", "unterminated_quote")
 SKIPPED = "source string, row_number long, category string, severity string, field string, raw_value string"
 
 
@@ -38,7 +40,7 @@ def _row_problem(category: str, severity: str, raw: Column | None = None) -> Col
 
 
 def repaired(rows: DataFrame, spec: FileSpec) -> tuple[DataFrame, DataFrame]:
-    """(rows as the source's raw columns with ``row_problems``, skipped rows as issues) of (row_number, cells).
+    """(rows as the source's raw columns with ``row_problems``, skipped rows as issues) of (row_number, cells, fault).
 
     Blank rows and repeated headers are skipped; a row of another width is padded or
     cut; rotated cells are turned back.  Each leaves its problem.
@@ -49,7 +51,7 @@ def repaired(rows: DataFrame, spec: FileSpec) -> tuple[DataFrame, DataFrame]:
     out = seen.where(F.col("outcome").isin("blank_row", "repeated_header"))
     skipped = out.select(F.lit(name).alias("source"), "row_number", F.col("outcome").alias("category"), F.when(F.col("outcome") == "blank_row", "warn").otherwise(repeat).alias("severity"), F.lit("").alias("field"), F.lit(None).cast("string").alias("raw_value"))
     kept = seen.where(~F.col("outcome").isin("blank_row", "repeated_header")).withColumn("cells", structural.to_width(F.col("cells"), len(header)))
-    checks = [(F.col("outcome") == "column_count_mismatch", _row_problem("column_count_mismatch", "W"))]
+    checks = [(F.col("fault").isNotNull(), N.problems(*[(F.col("fault") == c, _row_problem(c, "E")) for c in FAULTS])[0]), (F.col("outcome") == "column_count_mismatch", _row_problem("column_count_mismatch", "W"))]
     values = F.col("cells")
     if spec.rotated:
         kept = structural.with_rotation(kept, "cells")
@@ -62,7 +64,7 @@ def repaired(rows: DataFrame, spec: FileSpec) -> tuple[DataFrame, DataFrame]:
 def read_source(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
     """(records, skipped rows as issues) of one source's CSV files; the first record of the first file is its header."""
     spec = FILES[name]
-    rows = numbered(read_records(spark, path)).where("row_number > 1").select("row_number", "cells")
+    rows = read_records(spark, path, across=True).where("row_number > 1").select("row_number", "cells", "fault")
     raw, skipped = repaired(rows, spec)
     records = SPECS[spec.source].records(raw.drop("row_problems"))
     problems = raw.select("row_number", "row_problems")
