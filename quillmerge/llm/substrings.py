@@ -96,6 +96,9 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def anchor_counts(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchors of a text, sorted, and how many runs each has."""
     keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(text) < CHUNK:
+        for h, _, _ in anchor_chunks(text, length):
+            return np.unique(h, return_counts=True)
     for h, _, _ in anchor_chunks(text, length):
         some, n = np.unique(h, return_counts=True)
         keys, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
@@ -242,8 +245,12 @@ def _cut_segments(length: int):
     """One group: each distinct segment of a shared anchor once, of hot anchors each distinct window, with its least and greatest document."""
     names, kinds = ["anchor", "hot", "h", "segment"], [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
-    def table(anchor: np.ndarray, hot: bool, h: np.ndarray, segments: list[bytes], doc: np.ndarray) -> pa.Table:
-        columns = [anchor.view(np.int64), np.full(len(anchor), hot), h.view(np.int64), segments, doc, doc]
+    def table(found: list[tuple], hot: bool) -> pa.Table:
+        """One table of (anchors, hashes, segments, document) of many texts."""
+        anchor, h, segments, doc = zip(*found, strict=True)
+        sizes = [len(x) for x in segments]
+        docs = np.repeat(np.array(doc, np.int64), sizes)
+        columns = [np.concatenate(anchor).view(np.int64), np.full(len(docs), hot), np.concatenate(h).view(np.int64), [x for some in segments for x in some], docs, docs]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*names, "low", "high"])
 
     def distinct(parts: list[pa.Table]) -> pa.Table:
@@ -252,26 +259,36 @@ def _cut_segments(length: int):
 
     def run(group: pa.Table, shared: pa.Table) -> pa.Table:
         warm, hot = _sorted_keys(shared, "warm"), _sorted_keys(shared, "hot")
-        none = np.empty(0, np.int64)
-        held = [table(none, False, none, [], none)]
+        none = np.empty(0, np.uint64)
+        held = [table([(none, none, [], 0)], False)]
+        found: tuple[list, list] = ([], [])
         size = 0
+
+        def settle():
+            nonlocal size
+            fresh = [distinct([table(some, bool(is_hot))]) for is_hot, some in enumerate(found) if some]
+            held[:] = [distinct([*held, *fresh])] if sum(t.num_rows for t in fresh) > CHUNK // 8 else [*held, *fresh]
+            found[0].clear()
+            found[1].clear()
+            size = 0
+
         for b in group.to_batches():
             for doc, text in zip(b.column("doc").to_pylist(), texts(b, "text"), strict=True):
                 for h, first, last in anchor_chunks(text, length):
                     take = _holds(warm, h)
                     if take.any():
-                        runs = zip(first[take].tolist(), last[take].tolist(), strict=True)
-                        held.append(table(h[take], False, np.zeros(int(take.sum()), np.int64), [text[i : j + length] for i, j in runs], np.full(int(take.sum()), doc)))
-                        size += held[-1].num_rows
+                        runs = [text[i : j + length] for i, j in zip(first[take].tolist(), last[take].tolist(), strict=True)]
+                        found[0].append((h[take], np.zeros(len(runs), np.uint64), runs, doc))
+                        size += len(runs)
                     take = _holds(hot, h)
                     if take.any():
                         own, start, window = run_windows(text, first[take], last[take], length)
                         window, at = np.unique(window, return_index=True)  # one slice for each distinct window
-                        held.append(table(h[take][own[at]], True, window, [text[i : i + length] for i in start[at].tolist()], np.full(len(at), doc)))
-                        size += held[-1].num_rows
+                        found[1].append((h[take][own[at]], window, [text[i : i + length] for i in start[at].tolist()], doc))
+                        size += len(at)
                     if size > CHUNK // 4:
-                        held = [distinct(held)]
-                        size = 0
+                        settle()
+            settle()
         out = distinct(held)
         grp = np.full(out.num_rows, group.column("grp")[0].as_py() if group.num_rows else 0, np.int32)
         give_back()
