@@ -83,7 +83,7 @@ def _elected(members: DataFrame) -> DataFrame:
     )
 
 
-#: How a conflict of a field was settled.
+#: How a conflict of a field was settled: fixed values.
 RULES = {
     "full_name": "prefer the fully spelled name over an initial, then the longest",
     "email": "prefer the primary (non-alias) address, then source priority",
@@ -126,21 +126,24 @@ def people(members: DataFrame, methods: DataFrame) -> DataFrame:
     return out.withColumn("region", region)
 
 
-def numbered(people_rows: DataFrame) -> DataFrame:
-    """``people_rows`` with person_id, dense from 1 in order of e-mail, phone, name and ref (null last).
+def dense(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``, dense from 1 in an order that no two rows share.
 
-    Rows are dealt to ranges of the order first; a person's number is its place in
-    its range plus the sizes of the ranges before, so no task sorts all people.
+    Rows are dealt to ranges of the order first; a number is a row's place in its range
+    plus the sizes of the ranges before, so no task sorts all rows.
     """
-    order = [F.coalesce(F.col(c), F.lit("~")) for c in ("email", "phone", "full_name")] + [F.col("ref")]
-    keyed = people_rows.withColumn("sort_key", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]))
-    dealt = keyed.repartitionByRange("sort_key").withColumn("part", F.spark_partition_id())
-    dealt = materialise(dealt, "numbering")
+    keyed = rows.withColumn("sort_key", F.struct(*[_col(o).alias(f"k{i}") for i, o in enumerate(order)]))
+    dealt = materialise(keyed.repartitionByRange("sort_key").withColumn("part", F.spark_partition_id()), "numbering")
     sizes = dealt.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("sort_key"))
-    return dealt.join(F.broadcast(base), "part").withColumn("person_id", (F.col("base") + place).cast("long")).drop("part", "base", "sort_key")
+    return dealt.join(F.broadcast(base), "part").withColumn(name, (F.col("base") + place).cast("long")).drop("part", "base", "sort_key")
+
+
+def numbered(people_rows: DataFrame) -> DataFrame:
+    """``people_rows`` with person_id, dense from 1 in order of e-mail, phone, name and ref (null last)."""
+    return dense(people_rows, [*[F.coalesce(F.col(c), F.lit("~")) for c in ("email", "phone", "full_name")], "ref"], "person_id")
 
 
 def person_skills(members: DataFrame) -> DataFrame:

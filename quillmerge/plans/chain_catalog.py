@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmerge.operators import findings, golden, identity, issues, serving, signal
+from quillmerge.operators import findings, golden, identity, issues, load, serving, signal
 from quillmerge.plans import oracles as O
 from quillmerge.plans.catalog import found, members, people, query, raw, table
 from quillmerge.sources import wav
@@ -194,6 +194,29 @@ def rebuild_swap(spark, sf_dir):
     return one("people", store.read("people")).unionByName(one("orders", store.read("orders"))).unionByName(one("log", log)).unionByName(one("tags", store.durable("tags", "user_id long, event_id long")))
 
 
+def loaded(spark, sf_dir):
+    """All derived tables of a run, written by one job under their rules."""
+    store = Store(spark, scratch_path(spark, "store"))
+    store.rebuild(load.derived_tables(all_records(spark, sf_dir)), load.RULES)
+    return store
+
+
+@query(f"{O.FULL}, named AS (SELECT DISTINCT root, unnest(skills) AS skill FROM members) SELECT count(*) AS source_rows_read, (SELECT count(*) FROM recs) AS source_rows_used, (SELECT count(*) FROM people) AS people_created, (SELECT count(*) FROM named) AS person_skills FROM every")
+def load_run(spark, sf_dir):
+    store = loaded(spark, sf_dir)
+    skills = store.read("person_skills").agg(F.count("*").alias("person_skills"))
+    return store.read("load_runs").select("source_rows_read", "source_rows_used", "people_created").crossJoin(skills)  # single rows
+
+
+@query(
+    f"""{O.FULL}, named AS (SELECT root, skill, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources FROM (SELECT root, source, unnest(skills) AS skill FROM members) GROUP BY root, skill),
+    ids AS (SELECT skill, row_number() OVER (ORDER BY skill) AS skill_id FROM (SELECT DISTINCT skill FROM named))
+    SELECT person_id, skill_id, named.sources FROM named JOIN ids USING (skill) JOIN numbered USING (root)"""
+)
+def person_skill_ids(spark, sf_dir):
+    return loaded(spark, sf_dir).read("person_skills")
+
+
 @query(
     """SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'not_a_list' END AS error, CASE WHEN turn % 3 = 2 THEN NULL ELSE CASE turn % 3 WHEN 0 THEN 2 ELSE 1 END END AS n,
     CASE WHEN turn % 3 = 0 THEN role END AS first_role FROM conversations"""

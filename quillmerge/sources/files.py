@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from quillmerge.functions import normalize as N
 from quillmerge.operators import structural
 from quillmerge.sources.csv_records import read_records
 from quillmerge.sources.records import APP, SPECS, with_problems
+from quillmerge.sources.store import Files
 
 #: What the CSV reader tells of a record.
 FAULTS = ("undecodable_bytes", "oversized_cell", "unterminated_quote")
@@ -77,11 +77,7 @@ def app_contacts(spark: SparkSession, path: str) -> DataFrame | None:
     A contact's number is its id; the phone as it was typed counts before the
     normalised one, a missing city is no problem.
     """
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return APP.records(as_raw_contacts(table))
+    return APP.records(as_raw_contacts(spark.read.parquet(path))) if Files(spark).exists(path) else None
 
 
 def as_raw_contacts(table: DataFrame) -> DataFrame:
