@@ -96,6 +96,21 @@ def stream_incoming_check(spark, sf_dir):
     return spark.read.schema("row_id int, verdict string, method string, person string").parquet(out).select("row_id", "verdict", "method", "person")
 
 
+@query(f"{VERDICTS} SELECT verdict, method, count(*) AS n FROM verdicts GROUP BY verdict, method")
+def csv_arrivals(spark, sf_dir):
+    """The check of CSV files as they arrive, with its ledger: verdicts by method, each row once though the stream runs twice."""
+    from quillmerge.streaming.arrivals import Arrivals
+
+    source, out = scratch_path(spark, "arrivals-csv"), scratch_path(spark, "arrival-sinks")
+    rows = arrived(spark, sf_dir)
+    rows.select(F.col("in_name").alias("Full Name"), F.col("in_email").alias("E-mail"), F.col("in_phone").alias("Mobile"), F.col("in_city").alias("Town")).write.csv(source, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    known = materialise(people(spark, sf_dir), "people")
+    arrivals = Arrivals(spark, out, lambda: known)
+    for mark in ("first", "second"):  # the second run has lost its checkpoint
+        arrivals.start(source, scratch_path(spark, mark)).awaitTermination()
+    return arrivals.read("verdicts").groupBy("verdict", "method").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- tags
 
 TAGGED = "tags AS (SELECT coalesce(email, phone) AS person_key FROM people WHERE coalesce(email, phone) IS NOT NULL AND length(coalesce(email, phone)) % 3 = 0)"
