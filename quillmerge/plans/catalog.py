@@ -118,13 +118,14 @@ def norm_unit_mix(spark, sf_dir):
 
 @query(f"{O.CTES} SELECT row_number AS id, {O.hourly('rate')} AS hourly, {O.monthly('rate')} AS monthly, {O.rate_parts('rate')[0]} AS basis FROM workers")
 def norm_rate(spark, sf_dir):
-    return raw(spark, sf_dir, "workers").withColumn("r", N.rate(F.col("rate"))).select(F.col("row_number").alias("id"), "r.hourly", "r.monthly", "r.basis")
+    return with_squashed(raw(spark, sf_dir, "workers"), "rate").withColumn("r", N.rate(F.col("rate"), s=F.col("s"))).select(F.col("row_number").alias("id"), "r.hourly", "r.monthly", "r.basis")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS price, l_linenumber <> 7 AND l_extendedprice > 50000 AS out_of_range FROM lineitem")
 def norm_float(spark, sf_dir):
     text = F.when(F.col("l_linenumber") == 7, "nan").otherwise(F.col("l_extendedprice").cast("string"))
-    n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.floating(text, "price", 0, 50_000).alias("n"))
+    known = with_squashed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t")), "t")
+    n = known.select("l_orderkey", "l_linenumber", N.floating(F.col("t"), "price", 0, 50_000, s=F.col("s")).alias("n"))
     return n.select("l_orderkey", "l_linenumber", F.col("n.value").alias("price"), F.exists("n.problems", lambda p: p["category"] == "out_of_range").alias("out_of_range"))
 
 
