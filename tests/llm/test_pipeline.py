@@ -57,3 +57,26 @@ def test_run_applies_all(spark, tmp_path, docs_of, prose):
     tables(spark, tmp_path, docs_of, prose)
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not {5, 200, 201, 204} & got and len(got) > 60
+
+
+def test_null_and_repeated_ids_and_clashing_columns_stay(spark, tmp_path, docs_of, prose):
+    """Clean rows stay whatever id they share with a leak or a copy, and so do a caller's columns."""
+    tables(spark, tmp_path, docs_of, prose)
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()}
+    rows = [(None, prose(801, 40)), (None, prose(802, 40)), (7, prose(803, 40)), (7, prose(804, 40)), (7, bench[1]), (None, bench[2]), (8, None), (9, prose(801, 40))]
+    docs = docs_of(rows).selectExpr("*", "1 AS toxicity", "2 AS n_lines", "3 AS n_dropped", "4 AS row", "'x' AS item_id")
+    stage = dict(corpus_pipeline.STAGES)
+    for name in ("line_dedup", "near_duplicates", "decontamination"):
+        docs = stage[name](spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "toxicity", "n_lines", "n_dropped", "row", "item_id"]
+    kept = docs.collect()
+    assert sorted((r.text or "") for r in kept) == sorted(["", *(prose(k, 40) for k in (801, 802, 803, 804))])
+    assert all((r.toxicity, r.n_lines, r.n_dropped, r.row) == (1, 2, 3, 4) for r in kept)
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path, docs_of, prose):
+    tables(spark, tmp_path, docs_of, prose)
+    docs = docs_of([])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
