@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmerge.functions import normalize as N
 from quillmerge.functions.text import is_blank, sorted_json, squash
-from quillmerge.operators import audit, golden, identity, issues, serving, structural
+from quillmerge.operators import audit, golden, identity, issues, load, serving, structural
 from quillmerge.plans import oracles as O
 from quillmerge.sources import messy
 from quillmerge.sources.records import SPECS, all_records
@@ -223,7 +223,7 @@ def record_person(spark, sf_dir):
     """Every source record with the number of its person."""
     rows = members(spark, sf_dir)
     folk = golden.numbered(golden.people(rows, identity.match_methods(rows)))
-    return rows.select("uid", "root").join(folk.select("root", "person_id"), "root").select("uid", "person_id")
+    return load.with_person(rows.select("uid"), rows, folk).select("uid", "person_id")
 
 
 @query(
