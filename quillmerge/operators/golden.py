@@ -12,7 +12,25 @@ from quillmerge.sources.scratch import materialise
 MEMBER_ORDER = ("source_rank", "row_number", "uid")
 
 #: Fields that come from the first member that has them.
-EXCLUSIVE = ("experience_years", "ctc_annual_inr", "applied_date", "rate_hourly_inr", "rate_monthly_inr", "rate_basis", "gig_status", "is_verified", "projects_completed")
+EXCLUSIVE = (
+    "experience_years",
+    "ctc_annual_inr",
+    "ctc_unit_detected",
+    "ctc_out_of_range",
+    "applied_date",
+    "applied_date_ambiguous",
+    "applied_date_is_future",
+    "rate_hourly_inr",
+    "rate_monthly_inr",
+    "rate_basis",
+    "rate_out_of_range",
+    "gig_status",
+    "is_verified",
+    "projects_completed",
+)
+
+#: Flags of a person: nothing found is no, never unknown.  ``is_verified`` is none of them: there unknown is a third state.
+FLAGS = ("city_is_region_guess", "ctc_out_of_range", "applied_date_ambiguous", "applied_date_is_future", "rate_out_of_range")
 
 
 def _col(c: Column | str) -> Column:
@@ -126,6 +144,11 @@ def people(members: DataFrame, methods: DataFrame) -> DataFrame:
     return out.withColumn("region", region)
 
 
+def with_flags(people_rows: DataFrame) -> DataFrame:
+    """``people_rows`` with no null among its flags."""
+    return people_rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in FLAGS})
+
+
 def dense(rows: DataFrame, order: list, name: str) -> DataFrame:
     """``rows`` with ``name``, dense from 1 in an order that no two rows share.
 

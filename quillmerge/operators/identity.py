@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmerge import config
@@ -105,6 +105,27 @@ def merge_reviews(records: DataFrame, clusters: DataFrame, decisions: DataFrame)
     return each.unionByName(conflicts)
 
 
+def with_details(reviews: DataFrame, records: DataFrame, clusters: DataFrame, shown: int = 3) -> DataFrame:
+    """``reviews`` with score (0: no merge was weighed), detail and resolved (false).
+
+    The detail of a conflict names the first ``shown`` e-mails, or phones, of either
+    cluster; a cluster may hold any number of them.
+    """
+    apart = F.col("reason") == "same_name_conflicting_strong_key"
+    ends = reviews.where(apart).select(F.explode(F.split("root", r" \| ")).alias("end")).distinct()
+    held = records.join(clusters, "uid").join(ends, F.col("root") == F.col("end"), "left_semi")
+    keys = held.select("root", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("email", "phone")])).alias("k")).select("root", "k.*").where("value is not null").distinct()
+    first = keys.withColumn("rn", F.row_number().over(Window.partitionBy("root", "kind").orderBy("value"))).where(F.col("rn") <= shown)  # cut before the shuffle
+    told = first.groupBy("root").pivot("kind", ["email", "phone"]).agg(F.array_join(F.array_sort(F.collect_list("value")), ", "))
+    of = lambda side: told.select(F.col("root").alias(f"root_{side}"), F.col("email").alias(f"email_{side}"), F.col("phone").alias(f"phone_{side}"))
+    two = reviews.where(apart).withColumns({"root_a": F.substring_index("root", " | ", 1), "root_b": F.substring_index("root", " | ", -1)}).join(of("a"), "root_a", "left").join(of("b"), "root_b", "left")
+    differ = lambda name, kind: F.format_string(f"same name and city, other {name}: %s; %s", f"{kind}_a", f"{kind}_b")
+    detail = F.when((F.col("email_a") != "") & (F.col("email_b") != ""), differ("e-mails", "email")).otherwise(differ("phones", "phone"))
+    many = reviews.where(~apart).withColumn("detail", F.concat(F.lit("one of several clusters of "), "name_key", F.lit(" in "), "city"))
+    out = many.unionByName(two.select(*reviews.columns, detail.alias("detail")))
+    return out.withColumns({"score": F.lit(0.0), "resolved": F.lit(False)})
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """The usable ``records`` with strong_root and root: the cluster after the strong links, and after the weak merges.
 

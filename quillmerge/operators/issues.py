@@ -92,7 +92,7 @@ def totals(found: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))).alias("by_category"))
 
 
-def export_csv(df: DataFrame, path: str, *order: str) -> None:
+def export_csv(df: DataFrame, path: str, *order: Column | str) -> None:
     """Write a report's rows as CSV with a header, in order over its files."""
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge.functions.text import sorted_json
-from quillmerge.operators import findings, golden, identity, issues
+from quillmerge.operators import findings, golden, identity, issues, report
 from quillmerge.sources.constraints import Allowed, Refers, Required, Rule, Unique
 from quillmerge.sources.scratch import materialise
 
 RULES: list[Rule] = [
-    Required("people", ("person_id", "full_name", "sources", "source_count", "record_count", "match_methods", "match_confidence")),
+    Required("people", ("person_id", "full_name", *golden.FLAGS, "sources", "source_count", "record_count", "match_methods", "match_confidence")),
     Allowed("people", "gig_status IN ('active', 'inactive', 'paused')"),
     Allowed("people", "match_confidence > 0 AND match_confidence <= 1"),
     Unique("people", ("person_id",)),
@@ -29,8 +29,8 @@ RULES: list[Rule] = [
     Refers("person_skills", "skill_id", "skills", "skill_id"),
     Required("field_conflicts", ("field", "chosen_value", "rejected_value", "rule")),
     Refers("field_conflicts", "person_id", "people", "person_id"),
-    Required("merge_review", ("reason", "name_key", "city")),
-    Required("data_issues", ("severity", "category")),
+    Required("merge_review", ("reason", "name_key", "city", "score", "detail", "resolved")),
+    Required("data_issues", ("severity", "category", "description", "action_taken")),
     Allowed("data_issues", "severity IN ('error', 'warn', 'info')"),
 ]
 
@@ -61,10 +61,13 @@ def derived_tables(records: DataFrame, skipped: DataFrame | None = None) -> dict
     named = materialise(golden.person_skills(members), "skills")
     skills = materialise(skill_ids(named), "skill-ids")
     logged = issues.issues(records).unionByName(findings.identity_issues(records, clusters, members)).unionByName(findings.audit_issues(found, members))
-    logged = materialise(logged if skipped is None else logged.unionByName(skipped), "issues")
+    logged = logged if skipped is None else logged.unionByName(skipped)
+    logged = materialise(report.with_entity(report.worded(logged), records, found), "issues")
     decided = identity.weak_decisions(records, clusters)
-    people = numbered.withColumnsRenamed({"methods": "match_methods", "confidence": "match_confidence", "first_seen": "first_seen_source", "region": "city_region"}).drop("root", "ref")
-    used = records.select("uid", F.col("source").alias("source_name"), F.col("row_number").alias("source_row_number"), F.col("usable").alias("was_used"), sorted_json(F.col("raw")).alias("raw_json"))
+    people = numbered.withColumnsRenamed({"methods": "match_methods", "confidence": "match_confidence", "first_seen": "first_seen_source", "region": "city_region", "region_guess": "city_is_region_guess"}).drop("root", "ref")
+    people = golden.with_flags(people)
+    repairs = F.when(F.exists("problems", lambda p: p["category"] == "scrambled_columns"), "rotated_columns")
+    used = records.select("uid", F.col("source").alias("source_name"), F.col("row_number").alias("source_row_number"), F.col("usable").alias("was_used"), repairs.alias("repairs"), sorted_json(F.col("raw")).alias("raw_json"))
     conflicts = golden.all_conflicts(members).join(by_root, "root").select("person_id", "field", F.col("chosen").alias("chosen_value"), F.col("chosen_sources").alias("chosen_source"), F.col("rejected").alias("rejected_value"), F.col("rejected_sources").alias("rejected_source"), "rule")
     run = records.agg(F.count("*").alias("source_rows_read"), F.count_if("usable").alias("source_rows_used"))
     counts = numbered.agg(F.count("*").alias("people_created")).crossJoin(logged.agg(F.count("*").alias("issues_logged")))  # single rows
@@ -74,7 +77,7 @@ def derived_tables(records: DataFrame, skipped: DataFrame | None = None) -> dict
         "skills": skills,
         "person_skills": named.join(by_root, "root").join(skills.withColumnRenamed("skill_name", "skill"), "skill").select("person_id", "skill_id", "sources"),
         "field_conflicts": conflicts,
-        "merge_review": identity.merge_reviews(records, clusters, decided).select("reason", "name_key", "city", F.col("root").alias("cluster_root"), F.col("size").alias("cluster_size")),
+        "merge_review": identity.with_details(identity.merge_reviews(records, clusters, decided), records, clusters).withColumnsRenamed({"root": "cluster_root", "size": "cluster_size"}),
         "data_issues": logged,
         "load_runs": run.crossJoin(counts),
     }

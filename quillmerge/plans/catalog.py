@@ -321,18 +321,18 @@ def golden_exclusive(spark, sf_dir):
 
 
 SHARED = ("full_name", "email", "phone", "city")
-LOST = f"""{O.RESOLVED}, {O.NAMES}, {O.EMAILS}, {O.PHONES}, {O.CITIES},
-held AS ({' UNION ALL '.join(f"SELECT root, source, '{c}' AS field, {c} AS value FROM members WHERE {c} IS NOT NULL" for c in SHARED)}),
+LOST = f"""held AS ({' UNION ALL '.join(f"SELECT root, source, '{c}' AS field, {c} AS value FROM members WHERE {c} IS NOT NULL" for c in SHARED)}),
 win AS ({' UNION ALL '.join(f"SELECT root, '{c}' AS field, {c} AS chosen FROM {t}" for c, t in zip(SHARED, ('names', 'emails', 'phones', 'cities'), strict=True))}),
 bv AS (SELECT root, field, chosen, value, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM held JOIN win USING (root, field) GROUP BY ALL),
 tot AS (SELECT root, field, sum(n) AS total, max(n) FILTER (WHERE value <> chosen) AS next FROM bv GROUP BY ALL)"""
 
 
-@query(
-    f"""{LOST} SELECT l.root, l.field, l.chosen, w.sources AS chosen_sources, l.value AS rejected, l.sources AS rejected_sources,
+LOST_ROWS = f"""SELECT l.root, l.field, l.chosen, w.sources AS chosen_sources, l.value AS rejected, l.sources AS rejected_sources,
     CASE WHEN l.field = 'city' AND w.n > next THEN 'majority vote across sources (' || w.n || '/' || total || ')' ELSE {O.mapped(golden.RULES, 'l.field')} END AS rule
     FROM bv l JOIN bv w ON l.root = w.root AND l.field = w.field AND w.value = w.chosen JOIN tot t ON t.root = l.root AND t.field = l.field WHERE l.value <> l.chosen"""
-)
+
+
+@query(f"{O.RESOLVED}, {O.NAMES}, {O.EMAILS}, {O.PHONES}, {O.CITIES}, {LOST} {LOST_ROWS}")
 def field_conflicts(spark, sf_dir):
     return golden.all_conflicts(members(spark, sf_dir)).where(F.col("field").isin(*SHARED))
 

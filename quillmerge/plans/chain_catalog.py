@@ -136,9 +136,7 @@ differ AS (SELECT a.root FROM u a JOIN u g ON a.root = g.root WHERE a.source = '
 RESERVED = "regexp_matches(email, '([@.]example\\.(com|org|net|in)|\\.(example|test|invalid|localhost))$')"
 
 
-@query(
-    f"""{AUDITED}
-    SELECT 'undeliverable_domain' AS category, 'info' AS severity, 'email' AS field, count(*) FILTER (WHERE {RESERVED}) || '/' || count(email) AS raw_value FROM people HAVING count(*) FILTER (WHERE {RESERVED}) > 0
+AUDIT_ROWS = f"""SELECT 'undeliverable_domain' AS category, 'info' AS severity, 'email' AS field, count(*) FILTER (WHERE {RESERVED}) || '/' || count(email) AS raw_value FROM people HAVING count(*) FILTER (WHERE {RESERVED}) > 0
     UNION ALL SELECT 'unit_correlates_with_magnitude', 'warn', 'rate', printf('%.1f', h.m / g.m) FROM mb h, mb g, mall WHERE h.basis = 'hourly' AND g.basis = 'monthly' AND n >= 6
     UNION ALL SELECT 'statistical_outlier', 'info', 'rate', ref FROM rated, mall WHERE n >= 6 AND (monthly > 3 * m OR monthly < m / 3)
     UNION ALL SELECT 'statistical_outlier', 'info', 'ctc_annual_inr', ref FROM paid, mr WHERE ratio > 3 * m OR ratio < m / 3
@@ -146,7 +144,9 @@ RESERVED = "regexp_matches(email, '([@.]example\\.(com|org|net|in)|\\.(example|t
     UNION ALL SELECT 'match_key_coverage', 'warn', '', count(*) FILTER (WHERE email IS NULL) || ',' || count(*) FILTER (WHERE phone IS NULL) || ',' || count(*) FILTER (WHERE email IS NULL AND phone IS NULL) || '/' || count(*) FROM people
     UNION ALL SELECT 'cross_source_disagreement', 'info', 'skills', root FROM differ
     UNION ALL SELECT 'cross_source_agreement', 'info', 'skills', NULL FROM differ HAVING count(*) = 0"""
-)
+
+
+@query(f"{AUDITED} {AUDIT_ROWS}")
 def issues_audit(spark, sf_dir):
     rows = members(spark, sf_dir)
     folk = materialise(golden.people(rows, identity.match_methods(rows)), "people")

@@ -26,10 +26,15 @@ COLUMNS = {
     "region_guess": "boolean",
     "experience_years": "double",
     "ctc_annual_inr": "double",
+    "ctc_unit_detected": "string",
+    "ctc_out_of_range": "boolean",
     "applied_date": "date",
+    "applied_date_ambiguous": "boolean",
+    "applied_date_is_future": "boolean",
     "rate_hourly_inr": "double",
     "rate_monthly_inr": "double",
     "rate_basis": "string",
+    "rate_out_of_range": "boolean",
     "gig_status": "string",
     "is_verified": "boolean",
     "projects_completed": "int",
@@ -83,12 +88,12 @@ SPECS = {
     "applicants": SourceSpec(
         "naukri",
         {"full_name": N.name, "email": N.email, "phone": N.phone, "city": N.city, "experience": lambda c, s: N.floating(c, "experience_years", *config.EXPERIENCE_PLAUSIBLE, s=s), "ctc": N.ctc, "applied": N.date, "skills": N.skills},
-        NAME | CITY | {"email": "email.value", "email_alias_of": "email.alias_of", "phone": "phone.value", "experience_years": "experience.value", "ctc_annual_inr": "ctc.value", "applied_date": "applied.value", "skills": "skills.values"},
+        NAME | CITY | {"email": "email.value", "email_alias_of": "email.alias_of", "phone": "phone.value", "experience_years": "experience.value", "ctc_annual_inr": "ctc.value", "ctc_unit_detected": "ctc.unit", "ctc_out_of_range": "ctc.out_of_range", "applied_date": "applied.value", "applied_date_ambiguous": "applied.ambiguous", "applied_date_is_future": "applied.future", "skills": "skills.values"},
     ),
     "workers": SourceSpec(
         "gig",
         {"full_name": N.name, "email": N.email, "rate": N.rate, "city": N.city, "status": N.status, "skills": N.skills},
-        NAME | CITY | {"email": "email.value", "email_alias_of": "email.alias_of", "rate_hourly_inr": "rate.hourly", "rate_monthly_inr": "rate.monthly", "rate_basis": "rate.basis", "gig_status": "status.value", "skills": "skills.values"},
+        NAME | CITY | {"email": "email.value", "email_alias_of": "email.alias_of", "rate_hourly_inr": "rate.hourly", "rate_monthly_inr": "rate.monthly", "rate_basis": "rate.basis", "rate_out_of_range": "rate.out_of_range", "gig_status": "status.value", "skills": "skills.values"},
         identity=("full_name", "email"),
     ),
     "contacts": SourceSpec(
