@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmerge import config
 from quillmerge.functions import normalize as N
+from quillmerge.functions.text import squash
 from quillmerge.operators import audit
 
 #: Column names that an incoming file may use for each field.
@@ -61,6 +62,17 @@ def check_summary(verdicts: DataFrame) -> DataFrame:
     return counts.withColumn("needs_attention", (F.col("duplicate") > 0) | (F.col("needs_review") > 0))
 
 
+def batch_totals(verdicts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The counts of a batch of ``rows`` and its ``verdicts``: has_duplicates, undeliverable, and a summary in words.
+
+    An address is undeliverable here where its domain starts with "example.".
+    """
+    mails = rows.select("in_email", squash(F.col("in_email")).alias("s")).select(N.email(F.col("in_email"), s=F.col("s"))["domain"].alias("domain"))
+    counts = check_summary(verdicts).withColumn("has_duplicates", F.col("duplicate") > 0)
+    out = counts.crossJoin(mails.agg(F.count_if(F.col("domain").startswith("example.")).alias("undeliverable")))  # single rows
+    return out.withColumn("summary", F.format_string("%d row(s): %d duplicate, %d new, %d need review", "checked", "duplicate", "new", "needs_review"))
+
+
 def digest(verdicts: DataFrame, most: int = 5) -> DataFrame:
     """The alert's text for each verdict but ``new``: the first ids, and how many more."""
     told = verdicts.where("verdict <> 'new'")

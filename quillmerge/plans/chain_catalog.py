@@ -276,6 +276,16 @@ def wav_round_trip(spark, sf_dir):
     return back.select("vec_id", "error", "rate", "bits", whole.alias("whole"))
 
 
+@query(
+    """SELECT vec_id, vec_id % 10 <> 7 AS analysis_ok, CASE WHEN vec_id % 10 = 7 THEN 'not_wav' END AS analysis_note, CASE WHEN vec_id % 10 <> 7 THEN round((44 + 2 * len(embedding)) * 8.0 / round(len(embedding) / 16000.0, 3) / 1000.0, 1) END AS bitrate_kbps,
+    CASE WHEN vec_id % 10 <> 7 THEN 256.0 END AS pcm_bitrate_kbps FROM embeddings"""
+)
+def clip_bit_rates(spark, sf_dir):
+    """Bit rates and outcome of each clip, damaged ones among them."""
+    files = clips(spark, sf_dir).withColumn("length", F.length("content"))
+    return signal.analysed(wav.decoded(files), "vec_id").select("vec_id", "analysis_ok", "analysis_note", "bitrate_kbps", "pcm_bitrate_kbps")
+
+
 @query()
 def clip_analysis(spark, sf_dir):
     """All measurements of each clip; one that can't be read keeps its row and its error."""

@@ -75,6 +75,20 @@ def dup_check_summary(spark, sf_dir):
     return serving.check_summary(verdicts(spark, sf_dir))
 
 
+@query(
+    f"""{VERDICTS}, mailed AS (SELECT row_id, email AS in_email FROM kept JOIN workers ON workers.row_number = row_id),
+    c AS (SELECT count(*) AS checked, count(*) FILTER (WHERE verdict = 'duplicate') AS duplicate, count(*) FILTER (WHERE verdict = 'needs_review') AS needs_review, count(*) FILTER (WHERE verdict = 'new') AS "new" FROM verdicts)
+    SELECT checked, duplicate, needs_review, "new", duplicate + needs_review > 0 AS needs_attention, duplicate > 0 AS has_duplicates,
+    (SELECT count(*) FILTER (WHERE split_part({O.email_value('in_email')}, '@', 2) LIKE 'example.%') FROM mailed) AS undeliverable,
+    checked || ' row(s): ' || duplicate || ' duplicate, ' || "new" || ' new, ' || needs_review || ' need review' AS summary FROM c"""
+)
+def batch_totals(spark, sf_dir):
+    """A batch's totals, its rows with the addresses of the workers of the same number."""
+    mails = raw(spark, sf_dir, "workers").select(F.col("row_number").alias("row_id"), "email")
+    rows = arrived(spark, sf_dir).join(mails, "row_id").withColumn("in_email", F.col("email"))
+    return serving.batch_totals(verdicts(spark, sf_dir), rows)
+
+
 @query(
     f"""{VERDICTS}, r AS (SELECT verdict, row_id, row_number() OVER (PARTITION BY verdict ORDER BY row_id) AS rn FROM verdicts WHERE verdict <> 'new')
     SELECT verdict, string_agg(CAST(row_id AS VARCHAR), ', ' ORDER BY row_id) FILTER (WHERE rn <= 5) || CASE WHEN count(*) > 5 THEN ', +' || (count(*) - 5) || ' more' ELSE '' END AS line FROM r GROUP BY verdict"""
@@ -314,6 +328,16 @@ def snr_abstain(spark, sf_dir):
     return signal.frame_stats(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8).select("vec_id", "estimated_snr_db")
 
 
+@query(
+    f"""{FRAMES} SELECT b.vec_id, CASE WHEN top - floor < 6 THEN 'frames differ by ' || printf('%.1f', top - floor) || ' dB only, speech and background can''t be told apart'
+    WHEN speech IS NULL OR noise IS NULL THEN 'all frames fall on one side of the split' END AS snr_note, CASE WHEN top - floor >= 6 AND speech IS NOT NULL AND noise IS NOT NULL THEN round(100.0 * share, 2) END AS speech_ratio_pct
+    FROM b JOIN g USING (vec_id) JOIN (SELECT f.vec_id, avg(CASE WHEN db > floor + least(greatest(3.0, (top - floor) * 0.5), 15.0) THEN 1.0 ELSE 0.0 END) AS share FROM f JOIN b USING (vec_id) GROUP BY f.vec_id) s USING (vec_id)"""
+)
+def snr_notes(spark, sf_dir):
+    """Why a clip has no signal-to-noise figure, and the share of speech where it has one."""
+    return signal.frame_stats(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8).select("vec_id", "snr_note", "speech_ratio_pct")
+
+
 @query()
 def block_loudness(spark, sf_dir):
     return signal.with_loudness(table(spark, sf_dir, "embeddings"), "embedding", RATE).select("vec_id", "integrated_lufs", "loudness_range_lu")

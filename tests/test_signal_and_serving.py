@@ -49,7 +49,7 @@ def test_signal_to_noise(spark):
     df = spark.createDataFrame([(1, bursts.tolist()), (2, sine(1000, 8, freq=100).tolist())], "k int, s array<double>")
     got = {x.k: x for x in signal.frame_stats(df, "k", "s", 50).collect()}
     assert got[1].estimated_snr_db > 15 and abs(got[1].speech_ratio_pct - 50) < 12
-    assert got[2].estimated_snr_db is None
+    assert got[2].estimated_snr_db is None and got[2].snr_note.startswith("frames differ by 0.0 dB") and got[1].snr_note is None
 
 
 def test_quality_never_blames_the_unknown(spark):
@@ -166,6 +166,31 @@ def test_clips_that_cannot_be_read_keep_their_row(spark):
     assert all(got[k].error and got[k].score is None for k in (2, 3, 4, 5, 6)) and got[6].error == "not_wav"
 
 
+def test_quality_tells_what_it_left_out_and_that_all_is_well(spark):
+    q = lambda snr, note: signal.quality(snr, F.lit(0.0), F.lit(-10.0), F.lit(5.0), F.lit(16000), F.lit(0.0), F.lit(0.0), note)
+    none = F.lit(None).cast("double")
+    row = spark.range(1).select(q(none, F.lit("flat")).alias("a"), q(F.lit(30.0), F.lit(None).cast("string")).alias("b"), q(F.lit(5.0), F.lit("flat")).alias("c")).first()
+    assert row.a.reasons == ["no signal-to-noise figure: flat"] and row.a.score == 100
+    assert row.b.reasons == [signal.NO_DEFECT] and row.b.score == 100
+    assert row.c.reasons == ["estimated SNR below 10 dB"] and row.c.score == 70
+
+
+def test_empty_clips_keep_their_row(spark):
+    clips = spark.createDataFrame([(1, [], 16000, None), (2, None, None, "not_wav"), (3, [0.5] * 16000, 16000, None)], "k int, samples array<float>, rate int, error string")
+    got = {r.k: r for r in signal.analysed(clips, "k").collect()}
+    assert [got[k].analysis_note for k in (1, 2, 3)] == ["no samples", "not_wav", None] and [got[k].analysis_ok for k in (1, 2, 3)] == [False, False, True]
+    assert got[1].score is None and got[3].reasons[0].startswith("no signal-to-noise figure")
+
+
+def test_batch_totals(spark):
+    verdicts = spark.createDataFrame([(1, "duplicate"), (2, "new"), (3, "new")], "row_id int, verdict string")
+    rows = spark.createDataFrame([("A@Example.com",), ("b@mail.example.com",), ("c at example.com",), (None,)], "in_email string")
+    (told,) = serving.batch_totals(verdicts, rows).collect()
+    assert told.undeliverable == 1 and told.has_duplicates and told.summary == "3 row(s): 1 duplicate, 2 new, 0 need review"
+    (none,) = serving.batch_totals(verdicts.limit(0), rows.limit(0)).collect()
+    assert none.undeliverable == 0 and not none.has_duplicates and none.summary.startswith("0 row(s)")
+
+
 def test_quality_gives_reasons(spark):
     q = signal.quality(F.lit(15.0), F.lit(0.5), F.lit(-10.0), F.lit(5.0), F.lit(16000), F.lit(0.0), F.lit(0.0))
     assert spark.range(1).select(q.alias("q")).first().q.reasons == ["estimated SNR below 20 dB", "some samples clipped"]
