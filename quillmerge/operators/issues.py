@@ -71,7 +71,7 @@ SECTIONS = {
     "Formats": ("missing_value", "invalid_format", "invalid_value", "inconsistent_format", "inconsistent_casing", "inconsistent_value", "trailing_whitespace"),
     "Units and dates": ("mixed_units", "ambiguous_date", "future_date", "out_of_range", "unit_correlates_with_magnitude"),
     "Vocabularies": ("unmapped_value", "precision_loss", "suspicious_value", "abbreviated_name", "alias_email"),
-    "Identity": ("duplicate_within_source", "exact_duplicate_row", "cross_source_match", "ambiguous_identity", "homonym", "homonym_kept_separate", "weak_match_applied", "three_way_match"),
+    "Identity": ("duplicate_within_source", "exact_duplicate_row", "cross_source_match", "ambiguous_identity", "homonym", "homonym_kept_separate", "weak_match_applied", "three_way_match", "app_contacts_ingested", "person_references_relinked"),
     "Audit": ("undeliverable_domain", "statistical_outlier", "business_rule_violation", "match_key_coverage", "cross_source_agreement", "cross_source_disagreement"),
 }
 

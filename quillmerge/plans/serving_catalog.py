@@ -177,6 +177,19 @@ def tag_upsert(spark, sf_dir):
     return current_tags(spark, sf_dir)
 
 
+@query(f"{LAST} SELECT * FROM last")
+def stream_tags(spark, sf_dir):
+    """The same from a stream of four files that hold the tags in no order."""
+    from quillmerge.streaming.tags import Tags
+
+    source, out, mark = (scratch_path(spark, x) for x in ("tags", "tag-batches", "stream"))
+    good = checked_tags(spark, sf_dir).where("error is null").select("user_id", "ts", "event_id", "category", "confidence")
+    good.repartition(4, F.xxhash64("event_id")).write.parquet(source)
+    tags = Tags(spark, out, "user_id", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in good.schema))
+    tags.start(spark.readStream.schema(good.schema).option("maxFilesPerTrigger", 1).parquet(source), mark).awaitTermination()
+    return tags.read().select("user_id", "category", "confidence")
+
+
 @query(
     f"""{LAST}, s AS (SELECT category, count(*) AS n, count(confidence) AS k, CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) AS total FROM last GROUP BY category)
     SELECT category, n, CASE WHEN k > 0 THEN ((2 * total + 10 * k) // (20 * k)) / 1000.0 END AS mean_confidence FROM s"""
