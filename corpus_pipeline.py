@@ -40,7 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: Jaccard 0.8 or more of five-word shingles."""
+    """One document of each near-duplicate group: SimHash candidates and MinHash ones for the rest, linked at Jaccard 0.8 or more of five-word shingles."""
     return similar.keep_one(docs, width=5, similarity=0.8)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmerge.llm.arrow import plus, steps, texts
-from quillmerge.llm.similar import clashing, numbered_rows
+from quillmerge.llm.numbered import clashing, numbered_rows
 from quillmerge.sources.scratch import materialise
 
 #: A-Z become a-z, other ASCII that is neither letter nor digit separates words.

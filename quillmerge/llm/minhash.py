@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from quillmerge.llm.arrow import steps, texts
 from quillmerge.llm.meet import links_within
-from quillmerge.llm.similar import forest, numbered_rows, shingle_set
+from quillmerge.llm.numbered import numbered_rows
+from quillmerge.llm.similar import forest, shingle_set
 from quillmerge.operators.components import connected_components
 from quillmerge.sources.scratch import materialise
 

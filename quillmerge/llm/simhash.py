@@ -8,7 +8,8 @@ within tau bits must agree within the threshold of at least one partition.  The
 thresholds and m come from dynamic programming over estimated candidate counts,
 which use the bit statistics of all fingerprints.  Every value is stored once
 per probed partition and probes the values a few flipped bits away; a bucket is
-verified locally and hands on a spanning forest, never all pairs.
+verified locally and hands on a spanning forest, never all pairs; one too large
+for a task meets by parts (``meet``).
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmerge.llm.arrow import steps, texts
-from quillmerge.llm.similar import clashing, first_of_each, numbered_rows
+from quillmerge.llm.meet import links_within
+from quillmerge.llm.numbered import clashing, first_of_each, numbered_rows
 from quillmerge.operators.components import connected_components
 from quillmerge.sources.scratch import materialise
 
 BITS = 64
-#: Stored values of one bucket that a task takes at a time; larger buckets are split into cells.
+#: Stored values of one bucket that a task takes at a time; larger buckets meet by parts.
 CELL = 4096
 
 
@@ -44,7 +46,11 @@ def fingerprint(text: bytes, width: int) -> int:
     k = max(0, len(words) - width)
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     spans = zip(starts[: k + 1].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(view[a:b], 42) for a, b in spans), np.uint64, k + 1)
+    return signature(np.fromiter((digest(view[a:b], 42) for a, b in spans), np.uint64, k + 1))
+
+
+def signature(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none: 0."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
@@ -168,10 +174,10 @@ def _bucket_rows(plan: list[tuple[list[int], int]]):
     return run
 
 
-def forest(stored: np.ndarray, probes: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Links that span what ``stored`` x (stored + probes) within tau bits connects."""
-    every = np.concatenate([stored, probes]).view(np.uint64)
-    n_s, seen, links = len(stored), np.zeros(len(every), bool), []
+def forest(every: np.ndarray, n_s: int, tau: int) -> list[tuple[int, int]]:
+    """Links, as positions, that span what the first ``n_s`` values (stored) x all of them (probes follow) within tau bits connect."""
+    every = every.view(np.uint64)
+    seen, links = np.zeros(len(every), bool), []
     for start in range(n_s):
         if seen[start]:
             continue
@@ -185,12 +191,11 @@ def forest(stored: np.ndarray, probes: np.ndarray, tau: int) -> list[tuple[int,
             seen[near] = True
             links += [(x, int(y)) for y in near]
             stack += near.tolist()
-    signed = every.view(np.int64)
-    return [(int(signed[a]), int(signed[b])) for a, b in links]
+    return links
 
 
 def _verified(tau: int):
-    """Rows sorted by (part, bucket, cell, probing first): the links inside each group."""
+    """Rows sorted by (part, bucket): the links inside each group."""
 
     def links_of(stored: np.ndarray, group: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
         edges = np.flatnonzero(np.diff(group)) + 1
@@ -206,15 +211,17 @@ def _verified(tau: int):
                 out += zip(fp[a[ok]].tolist(), fp[b[ok]].tolist(), strict=True)
         for first, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
             mine, own = fp[first : first + size], stored[first : first + size]
-            out += forest(np.unique(mine[own]), np.setdiff1d(mine[~own], mine[own]), tau)
+            stored_here = np.unique(mine[own])
+            every = np.concatenate([stored_here, np.setdiff1d(mine[~own], stored_here)])
+            out += [(int(every[i]), int(every[j])) for i, j in forest(every, len(stored_here), tau)]
         return out
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray):
-            new = np.concatenate(([True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1)))
-            pairs = links_of(rows[:, 3] == 1, np.cumsum(new), np.ascontiguousarray(rows[:, 4]))
+            new = np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))
+            pairs = links_of(rows[:, 2] == 1, np.cumsum(new), np.ascontiguousarray(rows[:, 3]))
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
@@ -222,9 +229,9 @@ def _verified(tau: int):
         for part in parts:
             if not part.num_rows:
                 continue
-            held.append(np.stack([part.column(i).cast(pa.int64()).to_numpy() for i in range(5)], axis=1))
+            held.append(np.stack([part.column(i).cast(pa.int64()).to_numpy() for i in range(4)], axis=1))
             rows = np.concatenate(held)
-            same = np.all(rows[:, :3] == rows[-1, :3], axis=1)
+            same = np.all(rows[:, :2] == rows[-1, :2], axis=1)
             cut = len(rows) - int(same[::-1].argmin()) if not same.all() else 0  # the last group may go on
             if cut:
                 yield from flush(rows[:cut])
@@ -238,33 +245,46 @@ def _verified(tau: int):
 def hamming_links(values: DataFrame, tau: int = 4, cell: int = CELL) -> DataFrame:
     """(src, dst): links between distinct ``fp`` values that connect all pairs within ``tau`` bits.
 
-    A bucket with more than ``cell`` stored values is split by hash into c parts,
-    and each pair of parts becomes a group of its own, so that no task holds more
-    than two parts and their probes, and no pair is left out.
+    A bucket with more than ``cell`` stored values meets by parts of about that many and
+    their probes (``meet``), so that no task holds more than two parts, and no pair is
+    left out.
     """
     n, co = bit_statistics(values)
     plan = allocate(n, co, tau)
     if n < 2:
         return values.sparkSession.createDataFrame([], "src long, dst long")
     rows = values.mapInArrow(_bucket_rows(plan), "part int, bucket long, stored boolean, fp long")
-    masks = values.sparkSession.createDataFrame([(k, int(np.uint64(sum(1 << b for b in bits)).view(np.int64))) for k, (bits, _) in enumerate(plan)], "part int, mask long")
+    # a stored value and the probes that come with it, on average, weigh one
+    weigh = [1 / (1 + sum(comb(len(bits), d) for d in range(1, t + 1)) / 2) for bits, t in plan]
+    masks = [(k, int(np.uint64(sum(1 << b for b in bits)).view(np.int64)), weigh[k]) for k, (bits, _) in enumerate(plan)]
     hot = (
-        values.join(F.broadcast(masks))  # a row per partition, at most tau + 2
-        .groupBy("part", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
+        values.join(F.broadcast(values.sparkSession.createDataFrame(masks, "part int, mask long, weight double")))  # a row per partition, at most tau + 2
+        .groupBy("part", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "weight")
         .count()
         .where(F.col("count") > cell)
-        .select("part", "bucket", F.ceil(F.col("count") / cell).cast("int").alias("cells"))
+        .select("part", "bucket", "weight")
     )
     hot = materialise(hot, "hot-buckets")
-    if hot.isEmpty():
-        spread = rows.select("part", "bucket", F.lit(0).cast("long").alias("cell"), "stored", "fp")
-    else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("long")
-        tagged = rows.join(hot, ["part", "bucket"], "left")
-        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda c: F.least(c, mine) * F.col("cells") + F.greatest(c, mine))
-        spread = tagged.select("part", "bucket", F.explode(F.when(F.col("cells").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("cell"), "stored", "fp")
-    dealt = spread.repartition("part", "bucket", "cell").sortWithinPartitions("part", "bucket", "cell")
-    return dealt.mapInArrow(_verified(tau), "src long, dst long")
+    some = not hot.isEmpty()
+    cold = rows.join(hot, ["part", "bucket"], "left_anti") if some else rows
+    links = cold.repartition("part", "bucket").sortWithinPartitions("part", "bucket").mapInArrow(_verified(tau), "src long, dst long")
+    if not some:
+        return links
+    # a value is in a bucket once, so it numbers its row there
+    members = rows.join(hot, ["part", "bucket"]).select(F.xxhash64("part", "bucket").alias("group"), F.col("fp").alias("row"), "weight")
+    payload = values.select(F.col("fp").alias("row"), F.col("fp").cast("string").alias("payload"))
+    met = links_within(materialise(members, "hot-rows"), payload, int, lambda held: forest(np.array(held, np.int64), len(held), tau), cell)
+    return links.unionByName(met)
+
+
+def linked(fps: DataFrame, id_col: str, tau: int) -> DataFrame:
+    """(id_col, fp, component_id) for every row of (id_col, fp): the smallest id reachable over values ``tau`` or fewer bits apart."""
+    values = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fp-values")
+    nodes = connected_components(hamming_links(values.select("fp"), tau)).withColumnRenamed("node", "fp")
+    whole = values.join(nodes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = whole.select("fp", "component").join(least, "component").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tau: int = 4) -> DataFrame:
@@ -274,13 +294,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bits apart.  Repeated rows come back as often; a null id is returned and takes
     part only as a copy (its component is the smallest non-null id, null if none).
     """
-    fps = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    values = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fp-values")
-    nodes = connected_components(hamming_links(values.select("fp"), tau)).withColumnRenamed("node", "fp")
-    whole = values.join(nodes, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = whole.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    return linked(materialise(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints"), id_col, tau)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tau: int = 4) -> DataFrame:

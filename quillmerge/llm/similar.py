@@ -1,23 +1,24 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-SimHash values of two texts with Jaccard 0.8 lie about ten of 64 bits apart, and
-no partition of 64 bits can be probed at a distance that wide.  Candidates
-therefore come from MinHash bands, and what decides is the exact Jaccard
-similarity of the shingle sets:
+What decides is the exact Jaccard similarity of the shingle sets; SimHash finds
+what to compare, and MinHash bands find the rest:
 
 1. equal shingle sets are one set from here on,
-2. sets that share a band are linked to the least set of that band, and the
-   components of these links hold the candidates,
-3. the sets of a component meet in one task, in parts where it is large; a prefix
-   index over the rarest shingles finds every pair that can reach the similarity,
-   and a pair that reaches it is a link.
+2. sets whose SimHash values lie ``TAU`` or fewer of 64 bits apart, found by
+   generalised pigeonhole partitioning (``simhash``), are candidates,
+3. the sets of a component of candidates meet in one task, in parts where it is
+   large; a prefix index over the rarest shingles finds every pair that can reach the
+   similarity, and a pair that reaches it is a link,
+4. two texts of Jaccard 0.8 lie about ten bits apart, many of them more, and no
+   partition can be probed at a distance that takes them all.  A MinHash band that
+   sets of different linked groups share makes these sets candidates again, and they
+   meet as in 3.
 
 A task hands on a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 
 from quillmerge.llm.arrow import steps, texts
 from quillmerge.llm.meet import links_within
+from quillmerge.llm.numbered import clashing, first_of_each, numbered_rows
+from quillmerge.llm.simhash import linked, signature
 from quillmerge.operators.components import connected_components
-from quillmerge.sources.scratch import materialise, scratch_path
+from quillmerge.sources.scratch import materialise
 
+#: SimHash bits that candidates differ in at most: the mean distance of a pair with Jaccard 0.8.
+TAU = 10
 #: A pair with Jaccard 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24, 3 in a million.
 BANDS, BAND_ROWS = 24, 4
 #: Shingles that a part of a component holds; a task holds two parts at most.
 PART_SHINGLES = 2 << 20
-#: Text bytes of a bucket of rows.
-BUCKET_BYTES = 64 << 20
 _RNG = np.random.default_rng(20)
 MULTS = _RNG.integers(1 << 31, size=BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SALTS = _RNG.integers(1 << 63, size=BANDS, dtype=np.uint64)
@@ -70,7 +73,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(row, set_key binary, n, keys array<long>) of each row of (row, text)."""
+    """(row, set_key binary, fp, n, keys array<long>) of each row of (row, text); ``fp``: the SimHash value of the set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(parts, text_col):
@@ -81,13 +84,14 @@ def _sets(rows: DataFrame, text_col: str, width: int) -> DataFrame:
                 [
                     part.column("row"),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()),
+                    pa.array(np.array([signature(s) for s in own], np.uint64).view(np.int64)),
                     pa.array([len(s) for s in own], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64())),
                 ],
-                names=["row", "set_key", "n", "keys"],
+                names=["row", "set_key", "fp", "n", "keys"],
             )
 
-    return rows.select("row", text_col).mapInArrow(run, "row long, set_key binary, n long, keys array<long>")
+    return rows.select("row", text_col).mapInArrow(run, "row long, set_key binary, fp long, n long, keys array<long>")
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -136,48 +140,34 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def jaccard_links(rows: DataFrame, sets: DataFrame, text_col: str, width: int, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
-    """(src, dst): links between rows of distinct ``sets`` that connect all candidate pairs of ``similarity`` or more.
-
-    The sets of a component of candidates meet in a task, in parts of about
-    ``part_shingles`` shingles where they are more (``meet``).
-    """
-    keyed = sets.select("row", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
-    stars = keyed.join(least, "key").where("row <> least").select(F.col("least").alias("src"), F.col("row").alias("dst")).distinct()
-    nodes = connected_components(stars)
-    members = materialise(nodes.join(sets.select("row", "n"), nodes["node"] == sets["row"]).select(F.col("component").alias("group"), "row", F.col("n").alias("weight")), "candidates")
-    return links_within(members, rows.select("row", F.col(text_col).alias("payload")), lambda t: shingle_set(t or b"", width), lambda held: forest(held, similarity), part_shingles)
-
+def _met(groups: DataFrame, rows: DataFrame, sets: DataFrame, text_col: str, width: int, similarity: float, part_shingles: int) -> DataFrame:
+    """(src, dst): links of ``similarity`` or more between the candidates of each group of (row, group)."""
+    members = materialise(groups.join(sets.select("row", F.col("n").alias("weight")), "row"), "candidates")
+    payload = rows.select("row", F.col(text_col).alias("payload"))
+    links = links_within(members, payload, lambda t: shingle_set(t or b"", width), lambda held: forest(held, similarity), part_shingles)
+    return materialise(links, "jaccard-links")
 
-def numbered_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``row``, a number that no other row has; written once, so that it stays.
-
-    Bucketed by it: the joins that fetch candidates and pick the kept rows shuffle row
-    numbers, and the texts no more.
-    """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = least * max(1, -(-size // (least * BUCKET_BYTES)))
-    name = f"rows_{uuid.uuid4().hex}"
-    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartition(buckets, "row")
-    dealt.write.bucketBy(buckets, "row").option("path", scratch_path(spark, "rows")).saveAsTable(name)
-    return spark.table(name)
 
+def simhash_links(rows: DataFrame, sets: DataFrame, text_col: str, width: int, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """(src, dst): links that connect all pairs of ``similarity`` or more whose SimHash values are ``TAU`` or fewer bits apart."""
+    near = linked(materialise(sets.select("row", "fp"), "fingerprints"), "row", TAU)
+    return _met(near.select("row", F.col("component_id").alias("group")), rows, sets, text_col, width, similarity, part_shingles)
 
-def clashing(docs: DataFrame) -> dict[str, str]:
-    """Columns of the caller named like the row number, and what they are called meanwhile."""
-    return {c: f"{c}_of_docs" for c in docs.columns if c.lower() == "row"}
 
+def jaccard_links(rows: DataFrame, sets: DataFrame, text_col: str, width: int, similarity: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """(src, dst): links between rows of distinct ``sets`` that connect all candidate pairs of ``similarity`` or more.
 
-def first_of_each(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """The first row of each group of (row, component): smallest id, null ids last; equal ids by their content."""
-    content = F.xxhash64(*[c for c in rows.columns if c != "row"])
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), content.alias("content"), F.col("row").alias("row"))
-    own = rows.select("row", order.alias("order")).join(groups.select("row", "component"), "row")
-    best = own.groupBy("component").agg(F.min("order").alias("best")).select(F.col("best.row").alias("row"))
-    return rows.join(best, "row", "left_semi").drop("row")
+    SimHash links first; a MinHash band whose sets these left in several groups makes its
+    sets candidates.  The sets of a component of candidates meet in a task, in parts of
+    about ``part_shingles`` shingles where they are more (``meet``).
+    """
+    near = simhash_links(rows, sets, text_col, width, similarity, part_shingles)
+    done = connected_components(near).withColumnRenamed("node", "row")
+    keyed = sets.select("row", "keys").join(done, "row", "left").select("row", F.coalesce("component", "row").alias("of"), F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("row").alias("least"), F.min("of").alias("a"), F.max("of").alias("b")).where("a < b").select("key", "least")
+    stars = keyed.join(least, "key").where("row <> least").select(F.col("least").alias("src"), F.col("row").alias("dst")).distinct()
+    nodes = connected_components(stars).select(F.col("node").alias("row"), F.col("component").alias("group"))
+    return near.unionByName(_met(nodes, rows, sets, text_col, width, similarity, part_shingles))
 
 
 def components(rows: DataFrame, *, text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -185,7 +175,7 @@ def components(rows: DataFrame, *, text_col: str = "text", width: int = 5, simil
     every = materialise(_sets(rows, text_col, width), "shingle-sets")
     alike = every.groupBy("set_key").agg(F.min("row").alias("set_row"))
     apart = every.join(alike.select(F.col("set_row").alias("row")), "row", "left_semi")
-    links = materialise(jaccard_links(rows, apart.where("n > 0"), text_col, width, similarity), "jaccard-links")
+    links = jaccard_links(rows, apart.where("n > 0"), text_col, width, similarity)
     linked = connected_components(links).select(F.col("node").alias("set_row"), "component")
     whole = every.select("row", "set_key").join(alike, "set_key").join(linked, "set_row", "left")
     return whole.select("row", F.coalesce("component", "set_row").alias("component"))

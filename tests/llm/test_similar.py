@@ -96,3 +96,36 @@ def test_columns_with_clashing_names_stay(docs_of, prose):
         got = keep(docs).collect()
         assert sorted((str(r.doc_id), r.row, r.component, r.key, r.n) for r in got) == [(i, "r", 7, 8, 9) for i in ("1", "3", "4")]
         assert keep(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [similar.PART_SHINGLES, 100])
+def test_simhash_links_are_exact_and_join_all_pairs_in_reach(docs_of, prose, size):
+    rows = similar.numbered_rows(docs_of(list(enumerate(corpus(prose)))))
+    sets = similar._sets(rows, "text", 5).where("n > 2").dropDuplicates(["set_key"]).cache()
+    own = {r.row: similar.shingle_set((r.text or "").encode(), 5) for r in rows.collect()}
+    fps = {r.row: r.fp for r in sets.collect()}
+    assert all(f % 2**64 == simhash.signature(own[row]) for row, f in fps.items())
+    links = similar.simhash_links(rows, sets, "text", 5, 0.8, size)
+    of = {r.node: r.component for r in similar.connected_components(links).collect()}
+
+    def alike(a, b):
+        both = len(np.intersect1d(own[a], own[b]))
+        return 5 * both >= 4 * (len(own[a]) + len(own[b]) - both)
+
+    assert all(alike(r.src, r.dst) for r in links.collect())
+    pairs = [(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) % 2**64).bit_count() <= similar.TAU and alike(a, b)]
+    assert sum(((fps[a] ^ fps[b]) % 2**64).bit_count() > 4 for a, b in pairs) > 20
+    assert all(of[a] == of[b] for a, b in pairs)
+    sets.unpersist()
+
+
+@pytest.mark.parametrize("seed", [13827, 201701, 515258])
+def test_stage_links_by_simhash_what_shares_no_band(spark, docs_of, seed):
+    """Texts of Jaccard 0.8 without a common MinHash band, seven bits apart at most."""
+    words = [f"w{seed}x{i}" for i in range(14)]
+    a, b = " ".join(words[:12]), " ".join(words)
+    x, y = (similar.shingle_set(t.encode(), 5) for t in (a, b))
+    assert len(np.intersect1d(x, y)) == 8 and len(np.union1d(x, y)) == 10
+    assert not (similar.bands(x) == similar.bands(y)).any()
+    got = corpus_pipeline.drop_copies(spark, docs_of([(1, a), (2, b), (3, "some other text")]), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
