@@ -10,6 +10,10 @@ which use the bit statistics of all fingerprints.  Every value is stored once
 per probed partition and probes the values a few flipped bits away; a bucket is
 verified locally and hands on a spanning forest, never all pairs; one too large
 for a task meets by parts (``meet``).
+
+Partitions are used twice.  The shuffle takes those without probes as long as the
+buckets fit a task, so it moves tau + 1 rows a value however many values there are.
+A task that holds a large bucket makes partitions for it, and probes them itself.
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ from quillmerge.sources.scratch import materialise
 
 BITS = 64
 #: Stored values of one bucket that a task takes at a time; larger buckets meet by parts.
-CELL = 4096
+CELL = 1 << 19
+#: Values of a bucket that a task compares each with each; it probes a larger bucket's partitions.
+EACH = 1 << 15
+#: Comparisons that numpy makes at a time.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -122,8 +130,9 @@ def within(p: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(dist[: most + 1])
 
 
-def allocate(n: int, co: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
-    """The (bits, threshold) pairs of least estimated cost; the thresholds sum to tau - m + 1."""
+def allocate(n: int, co: np.ndarray, tau: int, most: int | None = None) -> list[tuple[list[int], int]]:
+    """The (bits, threshold) pairs of least estimated cost; the thresholds sum to tau - m + 1 and are ``most`` at most."""
+    most = tau if most is None else most
     p = np.diag(co) / max(n, 1)
     best: tuple[float, list] = (float("inf"), [])
     for m in range(1, tau + 3):
@@ -132,7 +141,7 @@ def allocate(n: int, co: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
         for bits in groups:
             near, grown = within(p[bits], tau), {}
             for used, (cost, chosen) in table.items():
-                for t in range(-1, tau + 1):
+                for t in range(-1, most + 1):
                     probes = sum(comb(len(bits), d) for d in range(t + 1)) * n
                     own = 0.0 if t < 0 else 20.0 * probes + 0.05 * near[t] * n * n / 2
                     if used + t not in grown or cost + own < grown[used + t][0]:
@@ -143,15 +152,38 @@ def allocate(n: int, co: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
     return best[1]
 
 
+def shuffled(n: int, co: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
+    """The plan with the least highest threshold whose buckets fit a task: tau + 1 rows a value, without probes, up to about ``CELL`` * 2 ** (64 // (tau + 1)) values."""
+    p = np.diag(co) / max(n, 1)
+    for most in range(tau + 1):
+        plan = allocate(n, co, tau, most)
+        if all(n * within(p[bits], 0)[0] <= CELL for bits, _ in plan):
+            break
+    return plan
+
+
 # ---------------------------------------------------------------- probing and verification
 
 
-def _bucket_rows(plan: list[tuple[list[int], int]]):
-    """For each value its stored row and its probes: (part, bucket, stored, fp).
+def _stored_and_probes(fp: np.ndarray, bits: list[int], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, stored, fp): each value's stored row and its probes in one partition.
 
     Of two values whose partitions differ, only the one with a 0 in the lowest
     differing bit probes, so a pair meets once per partition.
     """
+    mask = np.uint64(sum(1 << b for b in bits)).view(np.int64)
+    out = [(fp & mask, np.ones(len(fp), bool), fp)]
+    for d in range(1, t + 1):
+        for flip in combinations(bits, d):
+            mine = fp[(fp >> flip[0]) & 1 == 0]
+            flips = np.uint64(sum(1 << b for b in flip)).view(np.int64)
+            out.append(((mine ^ flips) & mask, np.zeros(len(mine), bool), mine))
+    bucket, stored, value = (np.concatenate(x) for x in zip(*out, strict=True))
+    return bucket, stored, value
+
+
+def _bucket_rows(plan: list[tuple[list[int], int]]):
+    """For each value its stored row and its probes: (part, bucket, stored, fp)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -159,69 +191,103 @@ def _bucket_rows(plan: list[tuple[list[int], int]]):
                 fp = part.column("fp").slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64)
                 if not len(fp):
                     continue
-                out = []
                 for k, (bits, t) in enumerate(plan):
-                    mask = np.uint64(sum(1 << b for b in bits)).view(np.int64)
-                    out.append((np.full(len(fp), k), fp & mask, np.ones(len(fp), bool), fp))
-                    for d in range(1, t + 1):
-                        for flip in combinations(bits, d):
-                            mine = fp[(fp >> flip[0]) & 1 == 0]
-                            flips = np.uint64(sum(1 << b for b in flip)).view(np.int64)
-                            out.append((np.full(len(mine), k), (mine ^ flips) & mask, np.zeros(len(mine), bool), mine))
-                a, b, c, e = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b), pa.array(c), pa.array(e)], names=["part", "bucket", "stored", "fp"])
+                    bucket, stored, value = _stored_and_probes(fp, bits, t)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(value), k, np.int32)), pa.array(bucket), pa.array(stored), pa.array(value)], names=["part", "bucket", "stored", "fp"]
+                    )
 
     return run
 
 
+def _few_pairs(every: np.ndarray, n_s: int, tau: int) -> list[tuple[int, int]] | None:
+    """The pairs, as positions, of stored x all values within tau bits; None where they are more than the values."""
+    out: list[tuple[int, int]] = []
+    step = max(1, BLOCK // len(every))
+    for i in range(0, n_s, step):
+        rest = every[i:]
+        near = np.flatnonzero(np.bitwise_count(every[i : min(i + step, n_s), None] ^ rest) <= tau)
+        a, b = np.divmod(near, len(rest))
+        later = a < b
+        if len(out) + np.count_nonzero(later) > len(every):
+            return None
+        out += zip((a[later] + i).tolist(), (b[later] + i).tolist(), strict=True)
+    return out
+
+
 def forest(every: np.ndarray, n_s: int, tau: int) -> list[tuple[int, int]]:
     """Links, as positions, that span what the first ``n_s`` values (stored) x all of them (probes follow) within tau bits connect."""
     every = every.view(np.uint64)
-    seen, links = np.zeros(len(every), bool), []
-    for start in range(n_s):
-        if seen[start]:
-            continue
-        seen[start] = True
-        stack = [start]
-        while stack:
-            x = stack.pop()
-            # a probe meets only stored values
-            pool = np.flatnonzero(~seen) if x < n_s else np.flatnonzero(~seen[:n_s])
-            near = pool[np.bitwise_count(every[pool] ^ every[x]) <= tau]
-            seen[near] = True
-            links += [(x, int(y)) for y in near]
-            stack += near.tolist()
+    if (few := _few_pairs(every, n_s, tau)) is not None:
+        return few
+    left = [(every[:n_s], np.arange(n_s)), (every[n_s:], np.arange(n_s, len(every)))]  # stored, probes: not yet reached
+    links: list[tuple[int, int]] = []
+    stack: list[int] = []
+    while stack or len(left[0][0]):
+        if not stack:
+            stack, left[0] = [int(left[0][1][0])], (left[0][0][1:], left[0][1][1:])
+        x = stack.pop()
+        # a probe meets only stored values
+        for i in range(2 if x < n_s else 1):
+            value, at = left[i]
+            near = np.bitwise_count(value ^ every[x]) <= tau
+            if near.any():
+                found, left[i] = at[near].tolist(), (value[~near], at[~near])
+                links += [(x, y) for y in found]
+                stack += found
     return links
 
 
+def spanning(every: np.ndarray, tau: int) -> list[tuple[int, int]]:
+    """Links, as values, that span what distinct values within tau bits connect; many values probe partitions of their own."""
+    if len(every) <= EACH:
+        return [(int(every[i]), int(every[j])) for i, j in forest(every, len(every), tau)]
+    co = np.zeros((BITS, BITS))
+    for i in range(0, len(every), 1 << 14):
+        part = np.ascontiguousarray(every[i : i + (1 << 14)])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        co += bits.T @ bits
+    out: list[tuple[int, int]] = []
+    for bits, t in allocate(len(every), co, tau, 1):
+        bucket, stored, fp = _stored_and_probes(every, bits, t)
+        order = np.argsort(bucket, kind="stable")
+        out += _links_of(stored[order], bucket[order], fp[order], tau, deep=False)
+    return out
+
+
+def _links_of(stored: np.ndarray, group: np.ndarray, fp: np.ndarray, tau: int, deep: bool = True) -> list[tuple[int, int]]:
+    """Links, as values, inside each run of equal ``group``; runs of over ``EACH`` rows go by ``spanning`` where ``deep``."""
+    edges = np.flatnonzero(np.diff(group)) + 1
+    starts, sizes = np.concatenate(([0], edges)), np.diff(np.concatenate(([0], edges, [len(group)])))
+    out: list[tuple[int, int]] = []
+    small = sizes <= 16
+    for size in np.unique(sizes[small & (sizes > 1)]).tolist():
+        first = starts[sizes == size]
+        for i, j in combinations(range(size), 2):
+            a, b = first + i, first + j
+            ok = (stored[a] | stored[b]) & (fp[a] != fp[b])
+            ok &= np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= tau
+            out += zip(fp[a[ok]].tolist(), fp[b[ok]].tolist(), strict=True)
+    for first, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        mine, own = fp[first : first + size], stored[first : first + size]
+        if deep and size > EACH:
+            out += spanning(np.unique(mine), tau)
+            continue
+        stored_here = np.unique(mine[own])
+        every = np.concatenate([stored_here, np.setdiff1d(mine[~own], stored_here)])
+        out += [(int(every[i]), int(every[j])) for i, j in forest(every, len(stored_here), tau)]
+    return out
+
+
 def _verified(tau: int):
     """Rows sorted by (part, bucket): the links inside each group."""
 
-    def links_of(stored: np.ndarray, group: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-        edges = np.flatnonzero(np.diff(group)) + 1
-        starts, sizes = np.concatenate(([0], edges)), np.diff(np.concatenate(([0], edges, [len(group)])))
-        out: list[tuple[int, int]] = []
-        small = sizes <= 16
-        for size in np.unique(sizes[small & (sizes > 1)]).tolist():
-            first = starts[sizes == size]
-            for i, j in combinations(range(size), 2):
-                a, b = first + i, first + j
-                ok = (stored[a] | stored[b]) & (fp[a] != fp[b])
-                ok &= np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= tau
-                out += zip(fp[a[ok]].tolist(), fp[b[ok]].tolist(), strict=True)
-        for first, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-            mine, own = fp[first : first + size], stored[first : first + size]
-            stored_here = np.unique(mine[own])
-            every = np.concatenate([stored_here, np.setdiff1d(mine[~own], stored_here)])
-            out += [(int(every[i]), int(every[j])) for i, j in forest(every, len(stored_here), tau)]
-        return out
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray):
             new = np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)))
-            pairs = links_of(rows[:, 2] == 1, np.cumsum(new), np.ascontiguousarray(rows[:, 3]))
+            pairs = _links_of(rows[:, 2] == 1, np.cumsum(new), np.ascontiguousarray(rows[:, 3]), tau)
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
@@ -250,7 +316,7 @@ def hamming_links(values: DataFrame, tau: int = 4, cell: int = CELL) -> DataFram
     left out.
     """
     n, co = bit_statistics(values)
-    plan = allocate(n, co, tau)
+    plan = shuffled(n, co, tau)
     if n < 2:
         return values.sparkSession.createDataFrame([], "src long, dst long")
     rows = values.mapInArrow(_bucket_rows(plan), "part int, bucket long, stored boolean, fp long")
@@ -273,7 +339,12 @@ def hamming_links(values: DataFrame, tau: int = 4, cell: int = CELL) -> DataFram
     # a value is in a bucket once, so it numbers its row there
     members = rows.join(hot, ["part", "bucket"]).select(F.xxhash64("part", "bucket").alias("group"), F.col("fp").alias("row"), "weight")
     payload = values.select(F.col("fp").alias("row"), F.col("fp").cast("string").alias("payload"))
-    met = links_within(materialise(members, "hot-rows"), payload, int, lambda held: forest(np.array(held, np.int64), len(held), tau), cell)
+
+    def local(held: list[int]) -> list[tuple[int, int]]:
+        at = {v: i for i, v in enumerate(held)}
+        return [(at[a], at[b]) for a, b in spanning(np.array(held, np.int64), tau)]
+
+    met = links_within(materialise(members, "hot-rows"), payload, int, local, cell)
     return links.unionByName(met)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -99,3 +100,71 @@ def test_keep_one_and_empty(docs_of):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "quite another text with words"), (1, "a b c d e f")]
     assert sorted(r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()) == [1, 2]
     assert simhash.near_duplicates(docs_of([])).count() == 0
+
+
+def test_a_large_table_shuffles_no_more_rows_a_value(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    fp = r.integers(1 << 63, size=400, dtype=np.int64)
+    values = spark.createDataFrame([(v,) for v in fp.tolist()], "fp long")
+    n, co = simhash.bit_statistics(values)
+    plans, rows_of = [], simhash._bucket_rows
+    monkeypatch.setattr(simhash, "_bucket_rows", lambda plan: plans.append(plan) or rows_of(plan))
+    for times in (1, 100, 500, 5000):
+        monkeypatch.setattr(simhash, "bit_statistics", lambda _, k=times: (n * k, co * k))
+        simhash.hamming_links(values, 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(fp)], names=["fp"])
+    assert [sum(b.num_rows for b in rows_of(plan)(iter([batch]))) for plan in plans] == [11 * len(fp)] * 4
+
+
+def components(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    return [find(x) for x in range(n)], len({find(x) for x in range(n)})
+
+
+def bucket(r, groups, size):
+    """Distinct values that agree in six bits: lone ones, and groups with up to eight bits changed."""
+    lone = r.integers(1 << 64, size=2000, dtype=np.uint64)
+    near = np.repeat(lone[:groups], size)
+    for _ in range(8):
+        near ^= np.uint64(1) << r.integers(64, size=len(near), dtype=np.uint64)
+    return r.permutation(np.unique(np.concatenate([lone, near]) & ~np.uint64(63)))
+
+
+def same(n, one, other):
+    (a, k), (b, m) = components(n, one), components(n, other)
+    return k == m == len(set(zip(a, b, strict=True)))
+
+
+@pytest.mark.parametrize(("groups", "size"), [(60, 6), (2, 900)])
+def test_partitions_made_in_a_task_find_every_pair(monkeypatch, groups, size):
+    every = bucket(np.random.default_rng(6), groups, size)
+    i, j = np.nonzero(np.triu(np.bitwise_count(every[:, None] ^ every) <= 10, 1))
+    brute = list(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(brute) > 100
+    monkeypatch.setattr(simhash, "EACH", 100)
+    signed = every.view(np.int64)
+    at = {v: k for k, v in enumerate(signed.tolist())}
+    links = [(at[a], at[b]) for a, b in simhash.spanning(signed, 10)]
+    assert all((int(every[a]) ^ int(every[b])).bit_count() <= 10 for a, b in links)
+    assert same(len(every), links, brute) and len(links) < 12 * len(every)
+    whole = simhash._links_of(np.ones(len(every), bool), np.zeros(len(every)), signed, 10)
+    assert same(len(every), [(at[a], at[b]) for a, b in whole], brute)
+
+
+@pytest.mark.parametrize(("groups", "size"), [(60, 6), (2, 900)])
+def test_stored_values_meet_probes_and_probes_do_not_meet(groups, size):
+    every = bucket(np.random.default_rng(8), groups, size)
+    n_s = len(every) // 2
+    i, j = np.nonzero(np.triu(np.bitwise_count(every[:, None] ^ every) <= 10, 1))
+    brute = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < n_s]
+    links = simhash.forest(every.view(np.int64), n_s, 10)
+    assert all(min(a, b) < n_s for a, b in links) and len(links) <= len(every)
+    assert same(len(every), links, brute)
